@@ -1,0 +1 @@
+"""Composite jobs built from the operators."""
