@@ -1,6 +1,9 @@
 """The registered corpus queries and the SQL of those that SQL can express."""
 
-from tidemark.llm import quality_rules
+from tidemark.llm import minhash, quality_rules
 
-QUERIES = {"op6_quality_rules": quality_rules.op6_quality_rules}
+QUERIES = {
+    "op5_minhash": minhash.op5_minhash,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
+}
 ORACLES = {"op6_quality_rules": quality_rules.ORACLE_SQL}
