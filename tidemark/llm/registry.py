@@ -1,8 +1,9 @@
 """The registered corpus queries and the SQL of those that SQL can express."""
 
-from tidemark.llm import minhash, quality_rules
+from tidemark.llm import minhash, quality_rules, substring_dedup
 
 QUERIES = {
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_minhash": minhash.op5_minhash,
     "op6_quality_rules": quality_rules.op6_quality_rules,
 }
