@@ -1,10 +1,15 @@
 """The registered corpus queries and the SQL of those that SQL can express."""
 
-from tidemark.llm import minhash, quality_rules, substring_dedup
+from tidemark.llm import licenses, minhash, pii, quality_rules, substring_dedup
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op2_licenses": licenses.op2_licenses,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_minhash": minhash.op5_minhash,
     "op6_quality_rules": quality_rules.op6_quality_rules,
 }
-ORACLES = {"op6_quality_rules": quality_rules.ORACLE_SQL}
+ORACLES = {
+    "op2_licenses": licenses.ORACLE_SQL,
+    "op6_quality_rules": quality_rules.ORACLE_SQL,
+}
