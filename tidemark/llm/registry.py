@@ -1,13 +1,29 @@
 """The registered corpus queries and the SQL of those that SQL can express."""
 
-from tidemark.llm import licenses, minhash, pii, quality_rules, substring_dedup
+from tidemark.llm import (
+    decontaminate,
+    licenses,
+    line_dedup,
+    minhash,
+    pii,
+    pitman_yor,
+    quality_rules,
+    sentencepiece,
+    substring_dedup,
+    toxicity,
+)
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_licenses": licenses.op2_licenses,
+    "op3_lm_scores": pitman_yor.op3_lm_scores,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_minhash": minhash.op5_minhash,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_sentencepiece": sentencepiece.op7_sentencepiece,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op2_licenses": licenses.ORACLE_SQL,
