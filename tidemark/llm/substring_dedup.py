@@ -273,9 +273,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows = looked.mapInPandas(_send_windows(buckets), "bucket long, kind int, docs binary, at binary, whole binary, check binary")
     late = windows.groupBy("bucket").applyInPandas(_late_windows, "doc_id long, low int, high int")
     gone = late.groupBy("doc_id").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high"))
+    out = "doc_id long, n_words long, n_removed long, kept_text string"
+    known = texts.join(gone, "doc_id", "left").mapInPandas(_kept, out)
     nobody = all_.where("doc_id IS NULL").select("doc_id", "text", *[F.lit(None).cast("array<int>").alias(c) for c in ("low", "high")])
-    both = texts.join(gone, "doc_id", "left").unionByName(nobody)
-    return both.mapInPandas(_kept, "doc_id long, n_words long, n_removed long, kept_text string")
+    return known.unionByName(nobody.mapInPandas(_kept, out))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
