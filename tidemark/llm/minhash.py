@@ -3,12 +3,13 @@
 Each text becomes the set of its 5-word shingles. A register holds, for one of 128 hash ranges, the leading-zero count
 and ten further bits of the least shingle hash there. Bands of four registers make the buckets; for two sets of
 similarity 0.85 all 32 bands differ with probability (1 - 0.85**4)**32 < 1e-10. Candidates pass a collision-corrected
-Jaccard estimate and are then confirmed on the full shingle sets of the whole texts.
+Jaccard estimate and are then confirmed on the full shingle sets of the whole texts. Small sets have fewer, wider bands,
+of which an unspoilt one is certain.
 
 Groups of any size are handled without emitting their pairs: documents with equal sets are one class with the smallest
-id as its representative; each bucket is first a star around its smallest member; only members of a bucket that the
-confirmed star links leave in different components are compared with one another. So every link between different texts
-is either confirmed or joins documents that are connected already.
+id as its representative; each bucket is first a star around its smallest member. Members of a bucket that the confirmed
+star links leave in different components are then compared across components, at places chosen by an exact prefix bound
+on their shingles. So every link between different texts is either confirmed or joins documents connected already.
 
 Defined results: a null or empty text, or one without words, has no shingle, is linked with nothing and is kept. Rows
 with the same id are one document whose texts are taken as they come (each row gets its own count, all share the
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, cut, documents, mix, shingle_set, word_names
@@ -120,6 +121,58 @@ def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int
     return both.mapInPandas(_confirmed(percent), "a long, b long")
 
 
+def _bands(percent: int):
+    """Bucket keys of a sketch.
+
+    Sets of at most (b - 1) t / (1 - t) shingles differ from a similar one in fewer than b, and each of these spoils one
+    band at most; so b bands are enough for them, and wider bands meet fewer strangers. A set takes the numbers of bands
+    that it may share with a smaller partner.
+    """
+    least = F.ceil(F.col("n_shingles") * percent / 100)
+    limit = lambda b: (b - 1) * percent // (100 - percent) if b < BANDS else 1 << 62
+    keys, b = [], 4
+    while b <= BANDS:
+        width = 2 * REGISTERS // b
+        use = (least <= limit(b)) & (F.col("n_shingles") > (limit(b // 2) if b > 4 else 0))
+        for j in range(b):
+            band = F.substring("registers", j * width + 1, width)
+            keys.append(F.when(use & (band != F.lit(bytes(width))), F.xxhash64(F.lit(b), F.lit(j), band)))
+        b *= 2
+    return F.array_compact(F.array(*keys))
+
+
+def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for key, component, text in zip(batch["doc_id"], batch["component"], batch["text"]):
+            own = shingle_set(word_names(text, lower=True))
+            yield pd.DataFrame({"doc_id": key, "component": component, "n": len(own), "shingle": own.view(np.int64)})
+
+
+def _across(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) from different components that may be similar enough, losing none that are.
+
+    Shingles are put into one order, rare ones first. Of a pair that is similar enough, the first common shingle stands so
+    early in both sets that enough can follow it; pairs are met at such places only. Members of a large group that are
+    not linked to it have shingles of their own there, which nobody else has.
+    """
+    each = rest.join(texts, "doc_id").mapInPandas(_shingles, "doc_id long, component long, n long, shingle long")
+    each = cut(each, "shingles")
+    spread = each.groupBy("shingle").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("f", "shingle"))
+    placed = each.join(spread, "shingle").withColumn("p", rank)
+    # as the larger set of a pair: at most n - percent n + 1; only shingles of several components can join any
+    early = cut(placed.where((F.col("p") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("lo") < F.col("hi"))), "early")
+    cols = ["doc_id", "component", "n", "p"]
+    x = early.where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1)
+    x = x.select("shingle", *[F.col(c).alias(f"x_{c}") for c in cols])
+    y = early.select("shingle", *[F.col(c).alias(f"y_{c}") for c in cols])
+    need = F.ceil((F.col("x_n") + F.col("y_n")) * percent / (100 + percent))
+    fits = (F.col("x_component") != F.col("y_component")) & (F.col("x_n") <= F.col("y_n")) & (100 * F.col("x_n") >= percent * F.col("y_n"))
+    enough = 1 + F.least(F.col("x_n") - F.col("x_p"), F.col("y_n") - F.col("y_p")) >= need
+    met = x.join(y, (x["shingle"] == y["shingle"]) & fits & enough)
+    return met.select(F.greatest("x_doc_id", "y_doc_id").alias("a"), F.least("x_doc_id", "y_doc_id").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -129,16 +182,11 @@ def near_duplicates(
     named = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(named.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    only = texts.where("doc_id IS NOT NULL")
-
-    width = 2 * ROWS
-    band = lambda j: F.substring("registers", j * width + 1, width)
-    keys = [
-        F.when(band(j) != F.lit(bytes(width)), F.xxhash64(F.lit(j), band(j))) for j in range(BANDS)
-    ]
-    buckets = reps.select("doc_id", F.explode(F.array_compact(F.array(*keys))).alias("bucket"))
+
+    buckets = reps.select("doc_id", F.explode(_bands(percent)).alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
     shared = cut(buckets.join(hubs.select("bucket", "hub"), "bucket"), "buckets")
+    only = cut(texts.join(shared.select("doc_id").distinct(), "doc_id"), "texts")
 
     stars = shared.where("hub < doc_id").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     first = cut(_links(stars, reps, only, percent), "links")
@@ -148,15 +196,8 @@ def near_duplicates(
     placed = shared.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = placed.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rest = cut(placed.join(open_.select("bucket"), "bucket", "left_semi"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    cross = (
-        x.join(y, F.expr("x.bucket = y.bucket AND x.component < y.component"))
-        .select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b"))
-        .distinct()
-    )
-    cross = cross.join(stars, ["a", "b"], "left_anti")
-    links = cut(_links(cross, reps, only, percent), "links")
+    rest = cut(placed.join(open_.select("bucket"), "bucket", "left_semi").select("doc_id", "component").distinct(), "rest")
+    links = cut(_links(_across(rest, only, percent), reps, only, percent), "links")
     # merge the components that the late links join
     of = grouped.select("node", "component")
     edges = (
