@@ -213,6 +213,8 @@ def _send_windows(buckets: int):
 
 def _first(whole, check, docs, at) -> np.ndarray:
     """Which windows are the first of their words; equal ids and starts are one occurrence."""
+    if not len(whole):
+        return np.zeros(0, bool)
     order = np.lexsort((at, docs, check, whole))
     w, c, d, a = whole[order], check[order], docs[order], at[order]
     head = np.append(True, (w[1:] != w[:-1]) | (c[1:] != c[:-1]))
