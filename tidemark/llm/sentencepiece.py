@@ -32,7 +32,7 @@ from tidemark.llm.common import documents
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Stretches whose ids a worker remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 
 def load_vocabulary(path: str = MODEL) -> dict:
@@ -113,6 +113,31 @@ class Viterbi:
             back.append(ids)
         return [i for ids in reversed(back) for i in ids]
 
+    def whole(self, chars: str) -> list[int]:
+        """feed() and close() of a stretch so short that nothing is committed before its end."""
+        if len(chars) >= 2 * self.longest:
+            return self.feed(chars) + self.close()
+        get, longest = self.pieces.get, self.longest
+        cost, step = [0.0], [(0, ())]
+        for end in range(1, len(chars) + 1):
+            best, at, own = math.inf, -1, None
+            for start in range(end - longest if end > longest else 0, end):
+                piece = get(chars[start:end])
+                if piece is not None and cost[start] + piece[1] < best:
+                    best, at, own = cost[start] + piece[1], start, piece[0]
+            if own is None:
+                raw = chars[end - 1].encode("utf-8", "surrogatepass")
+                cost.append(cost[end - 1] + self.fallback * len(raw))
+                step.append((end - 1, tuple(self.byte_ids[b] for b in raw)))
+            else:
+                cost.append(best)
+                step.append((at, (own,)))
+        back, at = [], len(chars)
+        while at > 0:
+            at, ids = step[at]
+            back.append(ids)
+        return [i for ids in reversed(back) for i in ids]
+
     def close(self) -> list[int]:
         out = self._ids(len(self.text))
         self._reset()
@@ -138,11 +163,11 @@ class Coder:
         for part in self.stretch.findall(" " + text):
             ids = seen.get(part)
             if ids is None:
-                ids = self.search.feed(part) + self.search.close()
+                ids = self.search.whole(part)
                 if len(part) <= 64:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
-                    seen[part] = ids
+                    seen[part] = tuple(ids)
             out += ids
         return out
 
