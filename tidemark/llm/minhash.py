@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, cut, documents, mix, shingle_set, word_names
@@ -33,6 +33,8 @@ BANDS = REGISTERS // ROWS
 MANTISSA = 10
 #: An estimate this far under the threshold is over six standard errors away with 128 registers.
 MARGIN = 0.2
+#: Cells in each of the two tables that count shingles; more make the order finer, the results are the same.
+CELLS = 1 << 19
 
 _SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, registers binary"
 _EDGES = np.array([(i << 64) // REGISTERS for i in range(REGISTERS)], dtype=object)
@@ -141,11 +143,45 @@ def _bands(percent: int):
     return F.array_compact(F.array(*keys))
 
 
-def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cells(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two cells in which a shingle is counted."""
+    bits = np.uint64(CELLS.bit_length() - 1)
+    high, low = shingles >> (np.uint64(64) - bits), shingles & np.uint64(CELLS - 1)
+    return high.astype(np.int64), low.astype(np.int64) + CELLS
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(2 * CELLS, np.int64)
     for batch in batches:
-        for key, component, text in zip(batch["doc_id"], batch["component"], batch["text"]):
-            own = shingle_set(word_names(text, lower=True))
-            yield pd.DataFrame({"doc_id": key, "component": component, "n": len(own), "shingle": own.view(np.int64)})
+        for text in batch["text"]:
+            for cells in _cells(shingle_set(word_names(text, lower=True))):
+                np.add.at(total, cells, 1)
+    cell = np.flatnonzero(total)
+    yield pd.DataFrame({"cell": cell, "n": total[cell]})
+
+
+def _early(percent: int, levels):
+    """The shingles that may be the first common one of a similar pair, with their places p from 1 on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[pd.DataFrame] = []
+        waiting = 0
+        for batch in batches:
+            for key, component, text in zip(batch["doc_id"], batch["component"], batch["text"]):
+                own = shingle_set(word_names(text, lower=True))
+                one, two = _cells(own)
+                order = np.lexsort((own, np.minimum(levels.value[one], levels.value[two])))
+                # as the larger set of a pair, n - percent n + 1 places at most
+                first = own[order[: len(own) + 1 + (-percent * len(own)) // 100]]
+                rows.append(pd.DataFrame({"doc_id": key, "component": component, "n": len(own), "p": np.arange(1, len(first) + 1), "shingle": first.view(np.int64)}))
+                waiting += len(first)
+                if waiting >= 100_000:
+                    yield pd.concat(rows)
+                    rows, waiting = [], 0
+        if rows:
+            yield pd.concat(rows)
+
+    return run
 
 
 def _across(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -154,14 +190,23 @@ def _across(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     Shingles are put into one order, rare ones first. Of a pair that is similar enough, the first common shingle stands so
     early in both sets that enough can follow it; pairs are met at such places only. Members of a large group that are
     not linked to it have shingles of their own there, which nobody else has.
+
+    Any order is right as long as it is the same everywhere, so rarity is the power of two in the lesser of two counts
+    kept in a table of fixed size, and only the early shingles of a text leave its task.
     """
-    each = rest.join(texts, "doc_id").mapInPandas(_shingles, "doc_id long, component long, n long, shingle long")
-    each = cut(each, "shingles")
-    spread = each.groupBy("shingle").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("f", "shingle"))
-    placed = each.join(spread, "shingle").withColumn("p", rank)
-    # as the larger set of a pair: at most n - percent n + 1; only shingles of several components can join any
-    early = cut(placed.where((F.col("p") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("lo") < F.col("hi"))), "early")
+    spark = rest.sparkSession
+    apart = cut(rest.join(texts, "doc_id").select("doc_id", "component", "text"), "apart")
+    counts = apart.select("text").mapInPandas(_counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = counts.select("cell", F.floor(F.log2("n")).cast("byte").alias("level")).toArrow()  # 2 * CELLS rows at most
+    levels = np.zeros(2 * CELLS, np.int8)
+    levels[found["cell"].to_numpy()] = found["level"].to_numpy()
+    each = cut(
+        apart.mapInPandas(_early(percent, spark.sparkContext.broadcast(levels)), "doc_id long, component long, n long, p long, shingle long"),
+        "shingles",
+    )
+    # only shingles of several components can join any
+    several = each.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    early = cut(each.join(several.select("shingle"), "shingle", "left_semi"), "early")
     cols = ["doc_id", "component", "n", "p"]
     x = early.where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1)
     x = x.select("shingle", *[F.col(c).alias(f"x_{c}") for c in cols])
