@@ -64,6 +64,8 @@ class Viterbi:
     def __init__(self, vocabulary: dict):
         self.pieces, self.byte_ids = vocabulary["pieces"], vocabulary["bytes"]
         self.longest = max(map(len, self.pieces))
+        #: what pieces begin with; a beginning that is no piece itself costs too much to be chosen
+        self.prefixes = {p[:i]: (-1, math.inf) for p in self.pieces for i in range(1, len(p))} | self.pieces
         self.fallback = 10 + max(c for _, c in self.pieces.values())
         self._reset()
 
@@ -117,27 +119,34 @@ class Viterbi:
         """feed() and close() of a stretch so short that nothing is committed before its end."""
         if len(chars) >= 2 * self.longest:
             return self.feed(chars) + self.close()
-        get, longest = self.pieces.get, self.longest
-        cost, step = [0.0], [(0, ())]
-        for end in range(1, len(chars) + 1):
-            best, at, own = math.inf, -1, None
-            for start in range(end - longest if end > longest else 0, end):
+        get, size = self.prefixes.get, len(chars)
+        cost, step = [0.0] + [math.inf] * size, [(0, ())] * (size + 1)
+        for start in range(size):
+            here = cost[start]
+            if here == math.inf:
+                here = self._as_bytes(chars, start, cost, step)
+            for end in range(start + 1, size + 1):
                 piece = get(chars[start:end])
-                if piece is not None and cost[start] + piece[1] < best:
-                    best, at, own = cost[start] + piece[1], start, piece[0]
-            if own is None:
-                raw = chars[end - 1].encode("utf-8", "surrogatepass")
-                cost.append(cost[end - 1] + self.fallback * len(raw))
-                step.append((end - 1, tuple(self.byte_ids[b] for b in raw)))
-            else:
-                cost.append(best)
-                step.append((at, (own,)))
+                if piece is None:
+                    break  # no piece begins like this
+                if here + piece[1] < cost[end]:
+                    cost[end] = here + piece[1]
+                    step[end] = (start, (piece[0],))
+        if cost[size] == math.inf:
+            self._as_bytes(chars, size, cost, step)
         back, at = [], len(chars)
         while at > 0:
             at, ids = step[at]
             back.append(ids)
         return [i for ids in reversed(back) for i in ids]
 
+    def _as_bytes(self, chars: str, end: int, cost: list[float], step: list) -> float:
+        """The way to a place at which no piece ends: the character before it becomes bytes."""
+        raw = chars[end - 1].encode("utf-8", "surrogatepass")
+        cost[end] = cost[end - 1] + self.fallback * len(raw)
+        step[end] = (end - 1, tuple(self.byte_ids[b] for b in raw))
+        return cost[end]
+
     def close(self) -> list[int]:
         out = self._ids(len(self.text))
         self._reset()
