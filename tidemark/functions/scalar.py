@@ -156,3 +156,45 @@ def cosine(a: Column, b: Column) -> Column:
 
 def blank_to(c: Column, default: str) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
+
+
+def clean_text(c: Column) -> Column:
+    """Without NUL signs, white space runs as one space."""
+    return F.trim(F.regexp_replace(F.replace(c, F.lit("\x00"), F.lit("")), r"\s+", " "))
+
+
+def build_url(c: Column, prefix: str) -> Column:
+    """An absolute link as it is; a path with slash and extension of 15 characters or more under the prefix; else ''."""
+    path = (F.length(c) >= 15) & c.contains("/") & c.rlike(r"\.[A-Za-z0-9]{2,5}$")
+    return F.when(c.rlike("^https?://"), c).when(path, F.concat(F.lit(prefix.rstrip("/") + "/"), F.ltrim(c, F.lit("/")))).otherwise(F.lit(""))
+
+
+def to_crore(x: Column) -> Column:
+    """Rupees in crore to two places; NaN gives null."""
+    return F.round(F.nanvl(x.cast("double"), F.lit(None).cast("double")) / 1e7, 2)
+
+
+def pe_band(pe: Column, sector_pe: Column, band: float = 20.0) -> Column:
+    premium = F.try_divide(pe - sector_pe, sector_pe) * 100
+    return F.when(premium > band, "premium").when(premium < -band, "discount").when(premium.isNotNull(), "in_line")
+
+
+def derived_metrics(profit: Column, equity: Column, debt: Column, cash_flow: Column) -> Column:
+    """struct<roe, debt_to_equity, cash_conversion>: null where a part is null or zero."""
+    share = lambda a, b: F.when((a != 0) & (b != 0), F.try_divide(a, b))
+    return F.struct(
+        F.bround(share(profit, equity) * 100, 2).alias("roe"), F.bround(share(debt, equity), 2).alias("debt_to_equity"), F.bround(share(cash_flow, profit), 2).alias("cash_conversion")
+    )
+
+
+def meeting_type(title: Column) -> Column:
+    return F.when(F.upper(title).rlike(r"A\.G\.M|AGM"), "AGM").otherwise("EGM")
+
+
+def company_of_title(title: Column) -> Column:
+    """What stands before ' Annual'."""
+    return F.trim(F.regexp_replace(title, r"(?s) Annual.*$", ""))
+
+
+def insider_name(text: Column) -> Column:
+    return F.left(F.trim(F.regexp_replace(F.substring_index(text, "(", -1), r"\)", "")), F.lit(50))

@@ -85,3 +85,42 @@ def sanitize_response(text: Column, patterns: list[str], notes: dict[str, str],
     for trigger, note in notes.items():
         out = F.when(F.lower(query).contains(trigger) & ~out.contains(note), F.concat(out, F.lit("\n\n" + note))).otherwise(out)
     return F.trim(out)
+
+
+def headline_class(text: Column, good: list[str], bad: list[str]) -> Column:
+    """struct<label, score, good, bad>: the side with more words present, 0.5 and 0.1 for each of the difference."""
+    g, b = present(text, good), present(text, bad)
+    size = F.least(F.lit(1.0), 0.5 + 0.1 * F.abs(g - b))
+    label = F.when(g > b, "positive").when(b > g, "negative").otherwise("neutral")
+    return F.struct(label.alias("label"), F.when(g > b, size).when(b > g, -size).otherwise(F.lit(0.0)).alias("score"), g.alias("good"), b.alias("bad"))
+
+
+def keywords(text: Column, stop: list[str]) -> Column:
+    """Distinct terms of a text without stop words, sorted."""
+    t = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.sort_array(F.array_except(t, F.array(*[F.lit(w) for w in stop])))
+
+
+def is_followup(text: Column) -> Column:
+    """A question that leans on an earlier one."""
+    return F.lower(F.trim(text)).rlike(r"^(and|also|what about|how about|why|tell me more|more)\b")
+
+
+def fact_check(text: Column, year: int) -> Column:
+    """Past years (2010 on) that stand within 30 characters of a word of the future, sorted."""
+    t = F.lower(text)
+    years = F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b(20[12]\d)\b"), F.lit(1)))
+    near = lambda y: F.substring(t, F.greatest(F.instr(t, y) - 30, F.lit(1)), F.lit(64)).rlike("projected|estimated|forecast|future")
+    return F.sort_array(F.filter(years, lambda y: (y.cast("int") < year) & near(y)))
+
+
+def bullet_points(text: Column, most: int = 10) -> Column:
+    """Lines that start with a dash, without it."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s: F.trim(s))
+    return F.slice(F.transform(F.filter(lines, lambda s: s.startswith("-")), lambda s: F.trim(F.regexp_replace(s, r"^-+", ""))), 1, most)
+
+
+def analyst_score(text: Column) -> Column:
+    """The number after 'Score:' kept within 1 and 10, as -0.8 to 1."""
+    n = F.regexp_extract(text, r"(?i)score:\s*(\d+(?:\.\d+)?)", 1).try_cast("double")
+    return (F.greatest(F.lit(1.0), F.least(F.lit(10.0), n)) - 5) / 5

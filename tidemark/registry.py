@@ -436,3 +436,6 @@ FROM (SELECT event_type AS symbol, sin(event_id) AS rating, 0.1 + (user_id % 9)
 def a12_consensus(spark, d):
     e = table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.sin(F.col("event_id").cast("double")).alias("rating"), (0.1 + F.col("user_id") % 9 / 10.0).alias("confidence"))
     return pf.consensus(e).select("symbol", r("score").alias("score"), "n", "consensus")
+
+
+from tidemark import registry_filings  # noqa: E402, F401  (adds its queries to the tables above)
