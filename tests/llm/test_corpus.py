@@ -267,3 +267,49 @@ def test_pipeline_keeps_clean_rows(spark, tiny):
     whole = spark.read.parquet(f"{tiny}/documents.parquet").count()
     assert 0.6 * whole < len(out) <= whole and all(r.restored for r in out)
     assert hashlib.sha256(b"").hexdigest()  # the digest of an empty text is defined
+
+
+def test_language_model_learns_each_pair(spark):
+    rng = random.Random(3)
+    after = dict(zip(VOCABULARY, rng.sample(VOCABULARY, len(VOCABULARY))))  # every word has one follower
+
+    def chain(n):
+        out = [rng.choice(VOCABULARY)]
+        while len(out) < n:
+            out.append(after[out[-1]])
+        return out
+
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, chain(60)) for i in range(400)]
+    same = [(i, " ".join(w)) for i, w in rows]
+    mixed = [(i, " ".join(rng.sample(w, len(w)) if i in held else w)) for i, w in rows]
+    scores = []
+    for texts in (same, mixed):
+        df = pitman_yor.language_model_scores(spark.createDataFrame(texts, "doc_id long, text string"))
+        scores.append([r.score / r.n_tokens for r in df.collect() if r.doc_id in held])
+    # the order tells the next word: far likelier than one of 150 words, and mixed texts are not
+    assert min(scores[0]) > -0.35 and max(scores[1]) < -1.5
+
+
+def test_reseating_starts_from_the_current_tables():
+    import numpy as np
+
+    # the exact mean of the tables of one dish with c customers: weights are the generalised Stirling numbers
+    c, discount, strength, p = 12, 0.4, 1.0, 0.3
+    stirling = {1: 1.0}
+    for i in range(1, c):
+        stirling = {t: stirling.get(t - 1, 0) + (i - discount * t) * stirling.get(t, 0) for t in range(1, i + 2)}
+    weight = {t: x * np.prod([(strength + discount * k) * p for k in range(t)]) for t, x in stirling.items()}
+    want = sum(t * x for t, x in weight.items()) / sum(weight.values())
+    dishes = 4000
+    for few in (0, dishes + 1):  # together, and one by one
+        old, pitman_yor.FEW = pitman_yor.FEW, few
+        seats, rng = pitman_yor.Seats(np.full(dishes, c), np.arange(dishes), dishes), np.random.default_rng(4)
+        got = []
+        for turn in range(30):
+            before = seats.label.copy()
+            seats.sweep(np.full(dishes, p), discount, strength, np.ones(dishes), rng)
+            got.append(seats.tables().mean())
+            assert (np.add.reduceat(seats.size, seats.start) == c).all() and (seats.label != before).any()
+        pitman_yor.FEW = old
+        assert abs(np.mean(got[10:]) - want) < 0.03
