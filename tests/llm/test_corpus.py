@@ -313,3 +313,16 @@ def test_reseating_starts_from_the_current_tables():
             assert (np.add.reduceat(seats.size, seats.start) == c).all() and (seats.label != before).any()
         pitman_yor.FEW = old
         assert abs(np.mean(got[10:]) - want) < 0.03
+
+
+def test_line_dedup_removes_short_lines(spark):
+    line = "one two three four five six seven eight nine"
+    rows = [(1, f"a b\n{line}\nc d"), (2, f"e f\n{line}\ng h"), (3, f"{line}\n\nok\nok\ni j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(df).collect()}
+    assert got == {1: rows[0][1], 2: "e f\ng h", 3: "\nok\ni j"}
+    kept = {r.doc_id: r.text for r in line_dedup.line_dedup(df, min_words=10).collect()}
+    assert kept == dict(rows)
+    # longer floors still join lines to runs
+    runs = spark.createDataFrame([(1, "a b c\nd e f\nx"), (2, "y\na b c\nd e f"), (3, "a b c\nz")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(runs, min_words=6).collect()} == {1: "a b c\nd e f\nx", 2: "y", 3: "a b c\nz"}
