@@ -326,3 +326,21 @@ def test_line_dedup_removes_short_lines(spark):
     # longer floors still join lines to runs
     runs = spark.createDataFrame([(1, "a b c\nd e f\nx"), (2, "y\na b c\nd e f"), (3, "a b c\nz")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.line_dedup(runs, min_words=6).collect()} == {1: "a b c\nd e f\nx", 2: "y", 3: "a b c\nz"}
+
+
+def test_decontamination_of_long_and_five_word_items(spark):
+    rng = random.Random(12)
+    items = {n: [f"w{n}x{i}" for i in range(n)] for n in (5, 200, 300)}
+    rows, want = [], set()
+    for n, item in items.items():
+        for turn in range(60 if n > 5 else 3):
+            w = list(item)
+            # places of the allowed edits: the third word of five, or anywhere
+            for at in [2] if n == 5 else sorted(rng.sample(range(n), n // 5), reverse=True):
+                w[at : at + 1] = [["zz"], [], ["zz", w[at]]][turn % 3 if n == 5 else rng.randrange(3)]
+            want.add((len(rows), n))
+            rows.append((len(rows), words(rng, 20) + " " + " ".join(w) + " " + words(rng, 20)))
+    rows.append((len(rows), " ".join(["w5x0", "a", "b", "w5x3", "w5x4"])))  # two edits
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    hits = decontaminate.benchmark_hits(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in hits} == want

@@ -6,11 +6,14 @@ deleted or replaced (words are lower-case letters, digits and underscores; case
 The windows of the size of an item are embedded by CGK random walks: a walk copies the current word and moves on if a
 shared random bit of (step, word) says so, which turns an edit into a few differing coordinates. A repetition samples
 two coordinates of its own walk; a window is a candidate for an item if both agree in at least one repetition. The number
-of repetitions follows from the target recall for windows whose walks agree in half of their coordinates. Candidates are
-confirmed by the exact edit distance, with free ends within the allowed number of words.
+of repetitions follows from the target recall for windows whose walks agree in two fifths of their coordinates. With the
+allowed edits, walks agree in less the longer an item is; so windows of items of over WALKED words are all candidates.
+Candidates are confirmed by the exact edit distance, with free ends within the allowed number of words.
 
 Only windows that can match are embedded: an edit spoils at most three of an item's n - 2 word triples, so a matching
-window shares at least n - 2 - 3 floor(n/5) of them (one at the least) at nearly one alignment. This bound loses nothing.
+window shares at least n - 2 - 3 floor(n/5) of them at nearly one alignment. Where that is none (items of 5 words), word
+pairs are counted instead, of which an edit spoils at most two of n - 1; these windows are all candidates. The bounds lose
+nothing.
 
 The benchmark is sent to the tasks in blocks of a limited size, so any size of it works; every text is read whole. Null or
 empty texts and items match nothing, nor do items under three words; repeated rows give repeated results; only the id and
@@ -35,7 +38,9 @@ BLOCK_CHARS = 4_000_000
 EDIT_SHARE = 5  # one word in five may differ
 TARGET_RECALL = 0.999
 SAMPLED = 2
-AGREEMENT = 0.5
+AGREEMENT = 0.4
+#: Items of at most so many words are found by walks, which agree in AGREEMENT of their coordinates or more on average.
+WALKED = 59
 REPETITIONS = math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - AGREEMENT**SAMPLED))
 _WORDS = re.compile(r"\w+")
 
@@ -97,34 +102,54 @@ class _Items:
             if len(ids) >= 3:
                 self.items.append((key, ids))
         self.base = np.int64(len(self.number) + 1)
-        grams = [self.triples(ids) for _, ids in self.items] or [np.empty(0, np.int64)]
-        which = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        by_size: dict[int, list[int]] = {}
+        for k, (_, ids) in enumerate(self.items):
+            by_size.setdefault(self.least(len(ids))[0], []).append(k)
+        self.index = {size: self.indexed(size, of) for size, of in by_size.items()}
+
+    @staticmethod
+    def least(n: int) -> tuple[int, int]:
+        """Which grams an item of n words is looked up by, and how many of them a match shares at the least."""
+        triples = n - 2 - 3 * (n // EDIT_SHARE)
+        return (3, triples) if triples > 0 else (2, n - 1 - 2 * (n // EDIT_SHARE))
+
+    def indexed(self, size: int, of: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        grams = [self.grams(self.items[k][1], size) for k in of]
+        which = np.repeat(of, [len(g) for g in grams])
         at = np.concatenate([np.arange(len(g)) for g in grams])
         every = np.concatenate(grams)
         order = np.argsort(every, kind="stable")
-        self.grams, self.which, self.at = every[order], which[order], at[order]
+        return every[order], which[order], at[order]
 
-    def triples(self, ids: np.ndarray) -> np.ndarray:
-        return (ids[:-2] * self.base + ids[1:-1]) * self.base + ids[2:]
+    def grams(self, ids: np.ndarray, size: int) -> np.ndarray:
+        out = ids[: len(ids) - size + 1]
+        for j in range(1, size):
+            out = out * self.base + ids[j : len(ids) - size + 1 + j]
+        return out
 
     def hits(self, text: str | None) -> Iterator[tuple[int, int, int, int]]:
         """(item id, first word, words, distance) of the best match of each item found."""
         get = self.number.get
         ids = np.array([get(w, 0) for w in tokens(text)], np.int64)
-        if len(ids) < 3 or not len(self.grams):
+        if len(ids) < 3:
             return
-        known = np.flatnonzero((ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0))
-        grams = self.triples(ids)[known]
-        low, high = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
+        for size, index in self.index.items():
+            yield from self.hits_by(ids, size, *index)
+
+    def hits_by(self, ids: np.ndarray, size: int, every: np.ndarray, which: np.ndarray, places_in: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        some = len(ids) - size + 1
+        known = np.flatnonzero(np.logical_and.reduce([ids[j : some + j] > 0 for j in range(size)]))
+        grams = self.grams(ids, size)[known]
+        low, high = np.searchsorted(every, grams, "left"), np.searchsorted(every, grams, "right")
         times = high - low
         if not times.any():
             return
         rank = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        item, start = self.which[rank], np.repeat(known, times) - self.at[rank]
+        item, start = which[rank], np.repeat(known, times) - places_in[rank]
         for k in np.unique(item):
             key, own = self.items[k]
             spare = len(own) // EDIT_SHARE
-            need = max(1, len(own) - 2 - 3 * spare)
+            need = self.least(len(own))[1]
             starts = np.sort(start[item == k])
             # enough triples at alignments that differ by no more than the words that may be added or lost
             enough = np.searchsorted(starts, starts + 2 * spare, "right") - np.arange(len(starts)) >= need
@@ -132,12 +157,14 @@ class _Items:
             if not len(near):
                 continue
             places = np.unique(np.concatenate([starts[(starts >= s) & (starts <= s + 2 * spare)] for s in near]))
-            rows = np.full((len(places), len(own)), -1, np.int64)
-            for i, s in enumerate(places):
-                part = ids[max(s, 0) : s + len(own)]
-                rows[i, : len(part)] = part
+            if size == 3 and len(own) <= WALKED:
+                rows = np.full((len(places), len(own)), -1, np.int64)
+                for i, s in enumerate(places):
+                    part = ids[max(s, 0) : s + len(own)]
+                    rows[i, : len(part)] = part
+                places = places[_agree(own, rows)]
             best = None
-            for s in places[_agree(own, rows)]:
+            for s in places:
                 low_ = max(int(s) - spare, 0)
                 distance, end = edit_distance(own, ids[low_ : int(s) + len(own) + spare])
                 if distance <= spare and (best is None or (distance, low_) < best[0]):
