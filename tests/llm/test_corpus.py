@@ -344,3 +344,22 @@ def test_decontamination_of_long_and_five_word_items(spark):
     bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
     hits = decontaminate.benchmark_hits(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert {(r.doc_id, r.item_id) for r in hits} == want
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_minhash_loses_no_link_between_small_sets(spark, percent):
+    rng = random.Random(percent)
+    rows = []
+    for i in range(20_000):
+        # sets of 6 to 60 shingles whose similarity is the least that counts: the longer text has extra words at its end
+        n = rng.randint(6, 60)
+        common = -(-percent * n // 100)
+        if rng.random() < 0.4:  # exactly the threshold
+            n = 20 * rng.randint(1, 3)
+            common = n * percent // 100
+        w = [f"{i}w{k}" for k in range(n + 4)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: common + 4]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = minhash.near_duplicates(df, percent=percent)
+    assert got.where("doc_id % 2 = 1 AND component_id <> doc_id - 1").count() == 0
+    assert got.where("doc_id % 2 = 0 AND component_id <> doc_id").count() == 0

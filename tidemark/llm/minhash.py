@@ -2,9 +2,13 @@
 
 Each text becomes the set of its 5-word shingles. A register holds, for one of 128 hash ranges, the leading-zero count
 and ten further bits of the least shingle hash there. Bands of four registers make the buckets; for two sets of
-similarity 0.85 all 32 bands differ with probability (1 - 0.85**4)**32 < 1e-10. Candidates pass a collision-corrected
-Jaccard estimate and are then confirmed on the full shingle sets of the whole texts. Small sets have fewer, wider bands,
-of which an unspoilt one is certain.
+similarity 0.85 all 32 bands differ with probability (1 - 0.85**4)**32 < 1e-10, at 0.8 with 5e-8. Candidates pass a
+collision-corrected Jaccard estimate and are then confirmed on the full shingle sets of the whole texts.
+
+With few shingles most registers are empty, so sets of up to SMALL shingles are met exactly instead: two sets of n or more
+shingles and similarity t share at least ceil(t n) of them, so in one order of all shingles (that of their hashes) the
+first n - ceil(t n) + 1 of either hold a common one. These are the small sets' bucket keys, and no such pair is lost. The
+estimate of a small set is not used either, as it rests on too few registers.
 
 Groups of any size are handled without emitting their pairs: documents with equal sets are one class with the smallest
 id as its representative; each bucket is first a star around its smallest member. Members of a bucket that the confirmed
@@ -33,10 +37,12 @@ BANDS = REGISTERS // ROWS
 MANTISSA = 10
 #: An estimate this far under the threshold is over six standard errors away with 128 registers.
 MARGIN = 0.2
+#: Sets of at most so many shingles, and those that may be similar to one, are met by their first shingles.
+SMALL = 64
 #: Cells in each of the two tables that count shingles; more make the order finer, the results are the same.
 CELLS = 1 << 19
 
-_SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, registers binary"
+_SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, registers binary, first array<long>"
 _EDGES = np.array([(i << 64) // REGISTERS for i in range(REGISTERS)], dtype=object)
 _STARTS = np.array([int(x) for x in _EDGES], np.uint64)
 
@@ -72,15 +78,26 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, table: np.ndarray) ->
     return (equal - used * chance) / np.maximum(used * (1 - chance), 1e-9)
 
 
-def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for key, text in zip(batch["doc_id"], batch["text"]):
-            own = shingle_set(word_names(text, lower=True))
-            rows.append((key, len(own), int(mix(own).sum().view(np.int64)), int(mix(own + np.uint64(1)).sum().view(np.int64)), sketch(own).tobytes() if len(own) else None))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "f1", "f2", "registers"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        yield out
+def _least(n: int, percent: int) -> int:
+    """How many shingles a set of n shares at least with one as similar."""
+    return -(-percent * n // 100)
+
+
+def _sketches(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch["doc_id"], batch["text"]):
+                own = shingle_set(word_names(text, lower=True))
+                n, least = len(own), _least(len(own), percent)
+                first = own[: n - least + 1].view(np.int64) if 0 < least <= SMALL else None
+                sums = (int(mix(own + np.uint64(i)).sum().view(np.int64)) for i in (0, 1))
+                rows.append((key, n, *sums, sketch(own).tobytes() if n else None, first))
+            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "f1", "f2", "registers", "first"])
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out
+
+    return run
 
 
 def _likely(least: float):
@@ -90,7 +107,8 @@ def _likely(least: float):
             if len(batch):
                 a, b = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
                 n = np.sqrt(batch["na"].to_numpy(float) * batch["nb"].to_numpy(float))
-                batch = batch[estimate(a, b, n, table) >= least]
+                few = np.minimum(batch["na"], batch["nb"]).to_numpy() <= SMALL
+                batch = batch[few | (estimate(a, b, n, table) >= least)]
             yield batch[["a", "b"]]
 
     return run
@@ -123,24 +141,18 @@ def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int
     return both.mapInPandas(_confirmed(percent), "a long, b long")
 
 
-def _bands(percent: int):
-    """Bucket keys of a sketch.
+def _buckets():
+    """Bucket keys: the first shingles of a set that may be similar to a small one, the bands of one that isn't small.
 
-    Sets of at most (b - 1) t / (1 - t) shingles differ from a similar one in fewer than b, and each of these spoils one
-    band at most; so b bands are enough for them, and wider bands meet fewer strangers. A set takes the numbers of bands
-    that it may share with a smaller partner.
+    A set that is not small but may be similar to one has both. An empty band is no key.
     """
-    least = F.ceil(F.col("n_shingles") * percent / 100)
-    limit = lambda b: (b - 1) * percent // (100 - percent) if b < BANDS else 1 << 62
-    keys, b = [], 4
-    while b <= BANDS:
-        width = 2 * REGISTERS // b
-        use = (least <= limit(b)) & (F.col("n_shingles") > (limit(b // 2) if b > 4 else 0))
-        for j in range(b):
-            band = F.substring("registers", j * width + 1, width)
-            keys.append(F.when(use & (band != F.lit(bytes(width))), F.xxhash64(F.lit(b), F.lit(j), band)))
-        b *= 2
-    return F.array_compact(F.array(*keys))
+    keys = []
+    for j in range(BANDS):
+        band = F.substring("registers", j * 2 * ROWS + 1, 2 * ROWS)
+        keys.append(F.when(band != F.lit(bytes(2 * ROWS)), F.xxhash64(F.lit(j), band)))
+    bands = F.when(F.col("n_shingles") > SMALL, F.array_compact(F.array(*keys)))
+    none = F.array().cast("array<long>")
+    return F.concat(F.coalesce(F.transform("first", lambda x: F.xxhash64(F.lit(-1), x)), none), F.coalesce(bands, none))
 
 
 def _cells(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,12 +235,12 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = cut(texts.mapInPandas(_sketches, _SKETCH), "sketches")
+    sketches = cut(texts.mapInPandas(_sketches(percent), _SKETCH), "sketches")
     named = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(named.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
-    buckets = reps.select("doc_id", F.explode(_bands(percent)).alias("bucket"))
+    buckets = reps.select("doc_id", F.explode(_buckets()).alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
     shared = cut(buckets.join(hubs.select("bucket", "hub"), "bucket"), "buckets")
     only = cut(texts.join(shared.select("doc_id").distinct(), "doc_id"), "texts")
