@@ -1,6 +1,8 @@
 """The corpus operators against brute force on small fixtures, with the odd cases that each docstring defines."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -115,10 +117,13 @@ def test_language_model(spark, docs, texts):
         rows.setdefault(r.doc_id, r)
     train = [t for i, t in [*enumerate(texts), (6, texts[6])] if zlib.crc32(str(i).encode()) % 7 != 2]
     seen = [w for t in train for w in [*split(lower(t)), None]]
+    count = collections.Counter(seen)
     assert len(rows) == len(texts) and rows[0].train_tokens == len(seen)
     for i, t in enumerate(texts):
         own = [*split(lower(t)), None]
-        assert (rows[i].n_tokens, rows[i].n_known) == (len(own), sum(w in set(seen) for w in own))
+        assert (rows[i].n_tokens, rows[i].n_known) == (len(own), sum(w in count for w in own))
+        base = sum(math.log10((count.get(w, 0) + 1) / (len(seen) + len(count) + 1)) for w in own)
+        assert abs(rows[i].base_score - base) < 1e-9 * len(own)
         assert rows[i].score < 0
     assert pitman_yor.language_model_scores(empty(spark)).count() == 0
 
@@ -127,17 +132,22 @@ def test_predictive_probabilities_add_up():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    counts = rng.integers(0, 30, (200, pitman_yor.CONTEXTS))
-    model = pitman_yor.Model(200, counts.sum(axis=0), 0.6)
-    tables, root = pitman_yor._seated(counts, model, 3)
-    model.tables, model.tables_root = tables.sum(axis=0), root.sum()
-    parent = model.root(tables.sum(axis=1), root, tables.sum(), root.sum())
-    unknown = model.root(np.zeros(1), np.zeros(1), tables.sum(), root.sum())
-    assert abs(parent.sum() + unknown[0] - 1) < 1e-9
-    rest = pitman_yor.STRENGTH + model.discount * model.tables
-    p = (counts - model.discount * tables + rest * parent[:, None]) / (pitman_yor.STRENGTH + model.customers)
-    last = rest * unknown[0] / (pitman_yor.STRENGTH + model.customers)
-    assert np.allclose(p.sum(axis=0) + last, 1)
+    words_, rooms, discount = 200, 8, 0.6
+    counts = rng.integers(0, 30, (words_, rooms)).astype(np.int64)
+    parent = np.full(words_, 1 / (words_ + 1))
+    seats = pitman_yor.Seats(counts.ravel(), np.tile(np.arange(rooms), words_), rooms)
+    for _ in range(3):
+        seats.sweep(np.repeat(parent, rooms), discount, pitman_yor.STRENGTH, rng)
+    tables = seats.tables().reshape(counts.shape)
+    assert (tables <= counts).all() and ((tables > 0) == (counts > 0)).all() and np.allclose(seats.all, tables.sum(axis=0))
+    guests = tables.sum(axis=1)
+    root = pitman_yor.Seats(guests, np.zeros(words_, np.int64), 1)
+    root.sweep(parent, 0.5, pitman_yor.STRENGTH_ROOT, rng)
+    less = guests - 0.5 * root.tables()
+    p = pitman_yor.root_probability(np.append(less, 0.0), root.tables().sum(), guests.sum(), words_, 0.5)
+    assert abs(p.sum() - 1) < 1e-9
+    whole = pitman_yor.probability(np.vstack([counts, np.zeros(rooms)]), np.vstack([tables, np.zeros(rooms)]), counts.sum(axis=0), tables.sum(axis=0), p[:, None], discount)
+    assert np.allclose(whole.sum(axis=0), 1)
 
 
 def test_substring_dedup(spark, docs, texts):
@@ -291,28 +301,54 @@ def test_language_model_learns_each_pair(spark):
     assert min(scores[0]) > -0.35 and max(scores[1]) < -1.5
 
 
-def test_reseating_starts_from_the_current_tables():
+def test_gibbs_seats_like_a_plain_sampler():
     import numpy as np
 
-    # the exact mean of the tables of one dish with c customers: weights are the generalised Stirling numbers
-    c, discount, strength, p = 12, 0.4, 1.0, 0.3
+    def plain(turns, c, discount, strength, p, rng):
+        tables, seat, out = [c], [0] * c, []
+        for _ in range(turns):
+            for i in range(c):
+                tables[seat[i]] -= 1
+                used = sum(x > 0 for x in tables)
+                weight = [max(x - discount, 0) for x in tables] + [(strength + discount * used) * p]
+                to = rng.choices(range(len(weight)), weight)[0]
+                if to == len(tables):
+                    tables.append(0)
+                tables[to] += 1
+                seat[i] = to
+            out.append(sum(x > 0 for x in tables))
+        return out
+
+    discount, strength, p, c = 0.4, 1.0, 0.3, 12
+    # the exact distribution of the tables of one dish: weights are the generalised Stirling numbers
     stirling = {1: 1.0}
     for i in range(1, c):
         stirling = {t: stirling.get(t - 1, 0) + (i - discount * t) * stirling.get(t, 0) for t in range(1, i + 2)}
     weight = {t: x * np.prod([(strength + discount * k) * p for k in range(t)]) for t, x in stirling.items()}
-    want = sum(t * x for t, x in weight.items()) / sum(weight.values())
+    want = np.array([weight.get(t, 0) for t in range(c + 1)]) / sum(weight.values())
+    rough = np.bincount(plain(20_000, c, discount, strength, p, random.Random(1)), minlength=c + 1) / 20_000
+    assert abs(rough - want).max() < 0.02
     dishes = 4000
-    for few in (0, dishes + 1):  # together, and one by one
-        old, pitman_yor.FEW = pitman_yor.FEW, few
-        seats, rng = pitman_yor.Seats(np.full(dishes, c), np.arange(dishes), dishes), np.random.default_rng(4)
-        got = []
-        for turn in range(30):
-            before = seats.label.copy()
-            seats.sweep(np.full(dishes, p), discount, strength, np.ones(dishes), rng)
-            got.append(seats.tables().mean())
-            assert (np.add.reduceat(seats.size, seats.start) == c).all() and (seats.label != before).any()
-        pitman_yor.FEW = old
-        assert abs(np.mean(got[10:]) - want) < 0.03
+    for moves in (24, 5):  # a whole dish in a sweep, and a part of its customers
+        old, pitman_yor.MOVES = pitman_yor.MOVES, moves
+        seats, rng, got = pitman_yor.Seats(np.full(dishes, c), np.arange(dishes), dishes), np.random.default_rng(4), []
+        for turn in range(60):
+            seats.sweep(np.full(dishes, p), discount, strength, rng)
+            assert (np.add.reduceat(seats.size, seats.start) == c).all()
+            if turn >= 30:
+                got.append(np.bincount(seats.tables(), minlength=c + 1) / dishes)
+        pitman_yor.MOVES = old
+        assert abs(np.mean(got, axis=0) - want).max() < 0.01
+
+
+def test_language_model_deals_common_pairs_over_parts(spark, docs, monkeypatch):
+    whole = {(r.doc_id, r.n_tokens): r for r in pitman_yor.language_model_scores(docs).collect()}
+    monkeypatch.setattr(pitman_yor, "PART_CHARS", 4000)
+    monkeypatch.setattr(pitman_yor, "SLICE_CHARS", 9000)
+    for r in pitman_yor.language_model_scores(docs).collect():
+        other = whole[(r.doc_id, r.n_tokens)]
+        assert (r.n_known, r.train_tokens) == (other.n_known, other.train_tokens) and abs(r.base_score - other.base_score) < 1e-6
+        assert abs(r.score - other.score) < 0.1 * abs(other.score) + 0.15 * r.n_tokens  # other samples, the same model
 
 
 def test_line_dedup_removes_short_lines(spark):
