@@ -206,9 +206,49 @@ def test_sentencepiece_round_trip(spark, docs, texts):
     assert all(r.restored for r in rows if r.ids is not None) and sum(r.ids is None for r in rows) == 1
     back = {r.doc_id: r.text for r in sentencepiece.decode(sentencepiece.encode(docs)).collect()}
     assert back == dict(enumerate(texts))
+    assert sentencepiece.encode(empty(spark)).count() == 0
+    odd = spark.createDataFrame([(1, [3 + 0xFF]), (2, [10**6, -1, None, 0]), (3, []), (4, None), (5, [1, 2])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in sentencepiece.decode(odd).collect()} == {1: "\ufffd", 2: "\ufffd" * 4, 3: "", 4: None, 5: ""}
+
+
+def test_sentencepiece_ids_are_those_of_the_library(texts, tiny):
+    import pyarrow.parquet as pq
+    import sentencepiece as library
+
+    theirs = library.SentencePieceProcessor(model_file=sentencepiece.MODEL)
     coder = sentencepiece.Coder(sentencepiece.load_vocabulary())
-    for t in ["▁ a▁b", "  two  spaces ", "naïve 😀\n\n x", "a" * 5000]:
-        assert coder.decode(coder.encode(t)) == t
+    own = pq.read_table(f"{tiny}/documents.parquet")["text"].to_pylist()
+    # stretches without a space that are much longer than the window
+    long = ["a" * 500, "aaaab" * 100, "thequickbrownfoxjumpsoverthelazydog" * 40, "日本語テキスト😀" * 30, "x\ty\n\n z" * 50, "ab" * 3000]
+    for t in [*own, *texts, *long, "  two  spaces ", "naïve 😀\n\n x"]:
+        if t is not None:
+            assert coder.encode(t) == list(theirs.encode(t)), t[:50]
+            assert coder.decode(coder.encode(t)) == t
+    assert coder.decode(coder.encode("▁ a▁b")) == "▁ a▁b"
+
+
+def test_streaming_viterbi_equals_a_full_table():
+    rng = random.Random(8)
+    alphabet = "abcd"
+    pieces = {c: 4.0 for c in alphabet} | {"".join(rng.choice(alphabet) for _ in range(rng.randint(2, 6))): rng.uniform(2, 9) for _ in range(120)}
+    vocabulary = {"pieces": {p: (i, -c) for i, (p, c) in enumerate(pieces.items())}, "bytes": {b: 1000 + b for b in range(256)}, "merges": False}
+    search = sentencepiece.Viterbi(vocabulary)
+    cost = {i: c for i, c in enumerate(pieces.values())}
+    for n in [*range(1, 40), 500, 3000]:
+        text = "".join(rng.choice(alphabet + "é" * (n % 3 == 0)) for _ in range(n))
+        best = [0.0] + [math.inf] * n
+        for e in range(1, n + 1):
+            for s in range(max(0, e - 6), e):
+                best[e] = min(best[e], best[s] + pieces.get(text[s:e], math.inf))
+            if best[e] == math.inf:
+                best[e] = best[e - 1] + search.fallback
+        ids = []
+        for start in range(0, n, 7):
+            ids += search.feed(text[start : start + 7])
+            assert len(search.text) < 4 * search.longest + 7  # the window doesn't grow with the text
+        ids += search.close()
+        unknown = sum(i >= 1000 for i in ids) // 2
+        assert abs(sum(cost.get(i, 0) for i in ids) + unknown * search.fallback - best[n]) < 1e-6
 
 
 def test_line_dedup(spark, docs, texts):
