@@ -439,3 +439,51 @@ def test_minhash_loses_no_link_between_small_sets(spark, percent):
     got = minhash.near_duplicates(df, percent=percent)
     assert got.where("doc_id % 2 = 1 AND component_id <> doc_id - 1").count() == 0
     assert got.where("doc_id % 2 = 0 AND component_id <> doc_id").count() == 0
+
+
+def test_string_kernel_has_no_negative_eigenvalue(texts):
+    import numpy as np
+
+    rng = random.Random(6)
+    kernel = toxicity.Kernel(["zorgluk", "krampfo", "blixxen", "😀😀ab😀"])
+    long = "".join(rng.choice("zorglukab") for _ in range(300))
+    for w in ["zorgluk", "zxoxrxgxlxuxk", "zoorrgglluukk", "krampfozorgluk", "😀😀ab😀", "", "abc", long]:
+        plain = toxicity.subsequences(w)
+        for m, landmark in enumerate(["zorgluk", "krampfo", "blixxen", "😀😀ab😀"]):
+            own = toxicity.subsequences(landmark)
+            want = sum(v * plain.get(f, 0.0) for f, v in own.items()) ** 2 / sum(v * v for v in own.values())
+            assert abs(kernel.of([w])[0, m] - want) < 1e-9
+    # any words, and any sentences of them: each against all
+    some = [w for w in {"".join(rng.choice("abcde") for _ in range(rng.randint(4, 12))) for _ in range(60)} if toxicity.subsequences(w)]
+    own = [toxicity.subsequences(w) for w in some]
+    matrix = toxicity.Kernel(some).of(some)
+    matrix = matrix / np.array([sum(v * v for v in x.values()) for x in own])[:, None]
+    assert np.allclose(matrix, matrix.T) and np.linalg.eigvalsh(matrix).min() > -1e-9
+    sentences = np.array([[rng.random() < 0.2 for _ in some] for _ in range(40)], float)
+    assert np.linalg.eigvalsh(sentences @ matrix @ sentences.T).min() > -1e-9
+
+
+def test_toxicity_of_insults_with_letters_put_in(spark):
+    rng = random.Random(7)
+    bad, rows, labels, kinds = ["zorgluk", "krampfo", "blixxen"], [], [], {}
+    for i in range(1200):
+        w, toxic = words(rng, 60).split(), i % 3 == 0
+        w = [x + "." if k % 9 == 8 else x for k, x in enumerate(w)]
+        if toxic:
+            gap = rng.randint(0, 3)
+            kinds[i] = gap
+            w[rng.randrange(60)] = "".join(c + "".join(rng.choice("aeiou") for _ in range(gap)) for c in rng.choice(bad))
+        rows.append((i, " ".join(w), 5, None))
+        labels.append((i, int(toxic)))
+    rows += [(2000, None, 1, 1), (2001, "", 1, 1), (2002, "z o r g l u k", 1, 1), (2003, "Z-O-R-G-L-U-K!!", 1, 1), (2004, "zorgluk " * 3000, 1, 1), (5, rows[5][1], 5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, label double")
+    marks = spark.createDataFrame(labels + [(0, 0), (1, None)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.trained_score(docs, marks).collect()}
+    held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    for gap in range(4):
+        own = [i for i in held if kinds.get(i) == gap]
+        assert sum(got[i] >= 0.5 for i in own) >= 0.9 * len(own) > 0, gap
+    clean = [i for i in held if i % 3]
+    assert sum(got[i] < 0.5 for i in clean) >= 0.97 * len(clean)
+    assert got[2000] == got[2001] < 0.5 <= min(got[2002], got[2003], got[2004])
+    assert toxicity.trained_score(docs.limit(0), marks).count() == 0

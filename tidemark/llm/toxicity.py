@@ -1,18 +1,22 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-The kernel of two strings compares their subsequences of three letters; a gap within one of them (at most three letters)
-costs a factor each, so letters put into an insult, or left out of it, lower the kernel but little. Words are compared
-without case and signs, and runs of single letters as one word. The kernel is taken relative to the landmark, as an
-insult may be part of a longer word, and raised to the fourth power, which keeps it a kernel and chance likeness small.
+A word is described by its subsequences of four letters; up to three letters may lie between two of them, and each costs a
+factor, the best occurrence counting: an explicit map, so its scalar products are a kernel. The kernel of two words is the
+square of that product, the kernel of two sentences the sum over their pairs of words; sums and products of kernels are
+kernels, so no matrix of it has a negative eigenvalue. Letters put between those of an insult keep all its subsequences
+and lower the kernel by the factors only. Words are compared without case and signs, a run of single letters as one word.
 
+Sentences end with a line, with a sign of their own (.!?), or after SENTENCE words; a sentence is the set of its words.
 Landmarks are word fragments that are much more frequent in texts labelled toxic; of like ones only the best is taken.
-A sentence is described by the largest kernel that any of its words has with each landmark, a text by its sentences in
-the same way; the Nystroem map (inverse root of the landmarks' own kernel matrix) turns that into features, on which a
-linear support vector machine is trained, and a logistic curve over its margins gives scores from 0 to 1.
+The Nystroem map takes the kernels of a sentence with the landmarks through the inverse root of the landmarks' own matrix,
+and a linear support vector machine is trained on it. A label is of a whole text: the text stands for the sentence that is
+most toxic by the machine so far (at first, the one nearest to the landmarks), and the machine is trained again. A text's
+margin is the largest of its sentences; a logistic curve over margins gives scores from 0 to 1. The machine being linear
+and the kernel a sum over words, what a word adds is one number, which a worker works out once for each word it meets.
 
 Learning takes a bounded sample of labelled rows (sample_rows, the smallest hashes of the id). The model is a few
 hundred numbers and is sent to the tasks; every text is scored whole, in one scan. Null or empty texts have no words and
-get the score of that description; without labels of both kinds or without landmarks every score is the share of toxic
+get the score of an empty sentence; without labels of both kinds or without landmarks every score is the share of toxic
 labels. Repeated rows give repeated results; labels of one id count once (toxic if any says so); other columns of the
 documents are never read.
 """
@@ -34,164 +38,176 @@ from tidemark.llm.common import SPACE, cut, documents
 SAMPLE_ROWS = 20_000
 LANDMARKS = 64
 FRAGMENT = 5
-GAP = 3
-DECAY = 0.6
-DEGREE = 4
-#: Descriptions below this are taken as zero.
-LEAST = 0.02
-REMEMBERED = 300_000
-_SIGNS = re.compile(r"[\W\d_]+")
+#: Letters of a subsequence, the most letters between two of them, and the factor that each costs.
+LETTERS, GAP, DECAY = 4, 3, 0.9
+SENTENCE = 40
+ROUNDS = 2
+REMEMBERED = 1_000_000
+#: Letters of a word that are looked at together; a longer word is cut into pieces that overlap by more than any
+#: subsequence is long.
+WIDTH, STEP = 32, 16
 _SIGNS_IN_LINE = re.compile(r"[^\w\n]+|[\d_]+")
 
 
 def letters(word: str) -> str:
-    return _SIGNS.sub("", word.lower())
+    return _SIGNS_IN_LINE.sub("", word.lower().replace("\n", ""))
 
 
 def subsequences(word: str) -> dict[str, float]:
-    """Weights of the three-letter subsequences with gaps of up to GAP letters in all."""
+    """The description of a word: its subsequences and their weights."""
     out: dict[str, float] = {}
-    n = len(word)
-    for i in range(n - 2):
-        for j in range(i + 1, min(i + 2 + GAP, n - 1)):
-            for k in range(j + 1, min(i + 3 + GAP, n)):
-                f = word[i] + word[j] + word[k]
-                w = DECAY ** (k - i - 2)
-                out[f] = max(out.get(f, 0.0), w)
+    ways = [(i, c, 1.0) for i, c in enumerate(word)]
+    for _ in range(LETTERS - 1):
+        ways = [(j, f + word[j], w * DECAY ** (j - i - 1)) for i, f, w in ways for j in range(i + 1, min(i + GAP + 2, len(word)))]
+    for _, f, w in ways:
+        out[f] = max(out.get(f, 0.0), w)
     return out
 
 
 class Kernel:
-    """Kernels of words with a list of landmarks."""
+    """Kernels of words with a list of landmarks, whose descriptions have unit length."""
 
-    def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
+    def __init__(self, landmarks):
         own = [subsequences(x) for x in landmarks]
-        self.size = np.array([sum(v * v for v in f.values()) for f in own])
-        self.index: dict[str, list[tuple[int, float]]] = {}
-        for m, f in enumerate(own):
-            for key, v in f.items():
-                self.index.setdefault(key, []).append((m, v))
-        # the same as arrays: letters as small numbers, triples of them as rows of weights
-        used = sorted({c for x in landmarks for c in x if ord(c) < 1 << 16})
-        self.base = len(used) + 1
-        self.number = np.zeros(1 << 16, np.int32)
-        self.number[[ord(c) for c in used]] = np.arange(1, self.base)
-        self.row = np.zeros(self.base**3, np.int32)
-        self.weight = np.zeros((len(self.index) + 1, len(landmarks)), np.float32)
-        for i, (key, entries) in enumerate(self.index.items(), 1):
-            a, b, c = (int(self.number[min(ord(x), (1 << 16) - 1)]) for x in key)
-            if a and b and c:
-                self.row[(a * self.base + b) * self.base + c] = i
-                for m, v in entries:
-                    self.weight[i, m] = v
-        self.seen: set[bytes] = set()
-        self.near: dict[bytes, tuple] = {}
-
-    def of(self, word: str) -> tuple:
-        """(landmark, kernel) of those worth counting."""
-        total: dict[int, float] = {}
-        for f, w in subsequences(word).items():
-            for m, v in self.index.get(f, ()):
-                total[m] = total.get(m, 0.0) + w * v
-        found = ((m, min(v / self.size[m], 1.0) ** DEGREE) for m, v in total.items())
-        return tuple((m, float(v)) for m, v in found if v >= LEAST)
-
-    def _likely(self, words: list[str]) -> np.ndarray:
-        """Words whose kernel may be worth counting: a bound that counts equal subsequences as often as they occur."""
-        width = 24
-        chars = np.array([w[:width] for w in words], f"<U{width}").view(np.uint32).reshape(-1, width)
-        codes = self.number[np.where(chars < 1 << 16, chars, 0)]
-        rows, ids, worth = [], [], []
-        for gap1 in range(GAP + 1):
-            for gap2 in range(GAP + 1 - gap1):
-                j, k = 1 + gap1, 2 + gap1 + gap2
-                a, b, c = codes[:, : width - k], codes[:, j : width - k + j], codes[:, k:]
-                row = np.where((a > 0) & (b > 0) & (c > 0), self.row[(a * self.base + b) * self.base + c], 0)
-                at, place = np.nonzero(row)
-                rows.append(at)
-                ids.append(row[at, place])
-                worth.append(np.full(len(at), DECAY ** (gap1 + gap2), np.float32))
-        rows, ids, worth = map(np.concatenate, (rows, ids, worth))
-        out = np.array([len(w) > width for w in words])
-        if len(rows):
-            order = np.argsort(rows, kind="stable")
-            rows, ids, worth = rows[order], ids[order], worth[order]
-            start = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-            total = np.add.reduceat(self.weight[ids] * worth[:, None], start, axis=0)
-            out[rows[start]] |= (total / self.size).max(axis=1) >= 0.999 * LEAST ** (1 / DEGREE)
+        features = sorted(set().union(*own)) if own else []
+        place = {f: i for i, f in enumerate(features)}
+        self.weight = np.zeros((len(features), len(own)))
+        for m, each in enumerate(own):
+            size = sum(v * v for v in each.values()) ** 0.5
+            for f, v in each.items():
+                self.weight[place[f], m] = v / size
+        # the landmarks' subsequences as a tree; letters that are in none are 0, and so is the dead end
+        self.used = np.array(sorted({ord(c) for f in features for c in f}), np.uint32)
+        nodes: dict[str, int] = {}
+        for f in features:
+            for n in range(1, LETTERS + 1):
+                nodes.setdefault(f[:n], len(nodes) + 1)
+        self.next = np.zeros((len(nodes) + 2, len(self.used) + 1), np.int32)
+        self.leaf = np.zeros(len(nodes) + 2, np.int64)
+        for f, node in nodes.items():
+            code = int(np.searchsorted(self.used, ord(f[-1]))) + 1
+            self.next[nodes[f[:-1]] if len(f) > 1 else len(nodes) + 1, code] = node
+            if len(f) == LETTERS:
+                self.leaf[node] = place[f]
+        self.root = len(nodes) + 1
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Kernels (words by landmarks); words are letters only."""
+        out = np.zeros((len(words), self.weight.shape[1]))
+        if not len(self.used) or not words:
+            return out
+        pieces = [(i, w[a : a + WIDTH]) for i, w in enumerate(words) for a in (range(0, max(len(w) - WIDTH, 0) + STEP, STEP) if len(w) > WIDTH else (0,))]
+        word = np.array([i for i, _ in pieces])
+        chars = np.array([x for _, x in pieces], f"<U{WIDTH}").view(np.uint32).reshape(-1, WIDTH)
+        at = np.minimum(np.searchsorted(self.used, chars), len(self.used) - 1)
+        code = np.zeros((len(pieces), WIDTH + GAP + 1), np.int32)
+        code[:, :WIDTH] = np.where(self.used[at] == chars, at + 1, 0)
+        row, place = np.nonzero(self.next[self.root][code])
+        node, gaps = self.next[self.root][code[row, place]], np.zeros(len(row), np.int64)
+        for _ in range(LETTERS - 1):
+            ways = []
+            for gap in range(GAP + 1):
+                then = np.minimum(place + 1 + gap, WIDTH)  # the column behind the last holds no letter
+                to = self.next[node, code[row, then]]
+                ok = np.flatnonzero(to)
+                ways.append((row[ok], then[ok], to[ok], gaps[ok] + gap))
+            row, place, node, gaps = map(np.concatenate, zip(*ways))
+        if not len(row):
+            return out
+        key = word[row] * len(self.leaf) + node
+        order = np.lexsort((gaps, key))
+        first = order[np.flatnonzero(np.append(True, np.diff(key[order]) > 0))]  # the fewest gaps of each subsequence
+        owner = word[row[first]]
+        start = np.flatnonzero(np.append(True, np.diff(owner) > 0))
+        values = self.weight[self.leaf[node[first]]] * (DECAY ** gaps[first])[:, None]
+        out[owner[start]] = np.add.reduceat(values, start, axis=0) ** 2
         return out
 
-    def _learn(self, new: list[bytes]) -> None:
-        for start in range(0, len(new), 8192):
-            part = new[start : start + 8192]
-            joined = b"\n".join(part).decode("utf-8", "replace").lower()
-            plain = _SIGNS_IN_LINE.sub("", joined).split("\n")
-            for i in np.flatnonzero(self._likely(plain)):
-                near = self.of(plain[i])
-                if near:
-                    self.near[part[i]] = near
-
-    def describe(self, texts: list[str | None]) -> np.ndarray:
-        """For each text the largest kernel of any word with each landmark."""
-        out = np.zeros((len(texts), len(self.landmarks)))
-        for first in range(0, len(texts), 256):
-            each = []
-            for text in texts[first : first + 256]:
-                raw = text.encode("utf-8", "surrogatepass").split() if text else []
-                words = set(raw)
-                if len(raw) > 2:
-                    words.update(_spelt(raw))
-                each.append(words)
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-                self.near.clear()
-            new = set().union(*each) - self.seen
-            self._learn(list(new))
-            self.seen |= new
-            for i, words in enumerate(each, first):
-                for w in words & self.near.keys():
-                    for m, v in self.near[w]:
-                        if v > out[i, m]:
-                            out[i, m] = v
-        return out
-
-
-def _spelt(raw: list[bytes]) -> list[bytes]:
-    """Runs of three or more single letters (one sign may stand with each), each as one word."""
-    short = np.fromiter(map(len, raw), np.int64, len(raw)) <= 3
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], short, [False]]).astype(np.int8)))
-    out = []
-    for a, b in zip(edge[::2], edge[1::2]):
-        if b - a < 3:
-            continue
-        run: list[bytes] = []
-        for w in [*raw[a:b], b"---"]:
-            if len(letters(w.decode("utf-8", "replace"))) == 1:
-                run.append(w)
-            else:
-                if len(run) > 2:
-                    out.append(b"".join(run))
-                run = []
-    return out
 
+class Reader:
+    """Turns texts into words by sentence, and remembers what words are worth: value(list of words) -> array of rows."""
 
-_KERNELS: dict[tuple, Kernel] = {}
+    def __init__(self, value):
+        self.value = value
+        self._forget()
 
+    def _forget(self) -> None:
+        self.number: dict[bytes, int] = {b"\0": 0}
+        self.values: list[np.ndarray] = [self.value([""])]
+        self.flags: list[np.ndarray] = [np.array([[True, False]])]
+        self.table, self.flag = self.values[0], self.flags[0]
 
-def _kernel(landmarks: tuple[str, ...]) -> Kernel:
-    """The worker's kernel for these landmarks: it stays for later tasks, and so does what it remembers."""
-    if landmarks not in _KERNELS:
-        _KERNELS.clear()
-        _KERNELS[landmarks] = Kernel(list(landmarks))
-    return _KERNELS[landmarks]
-
+    def _learn(self, new: list[bytes]) -> None:
+        for start in range(0, len(new), 8192):
+            part = new[start : start + 8192]
+            plain = _SIGNS_IN_LINE.sub("", b"\n".join(part).decode("utf-8", "replace").lower()).split("\n")
+            self.values.append(self.value(plain))
+            self.flags.append(np.array([[w[-1:] in (b".", b"!", b"?"), len(x) == 1 and len(w) <= 3] for w, x in zip(part, plain)]))
+            for w in part:
+                self.number[w] = len(self.number)
+        if new:
+            self.table, self.flag = np.concatenate(self.values), np.concatenate(self.flags)
+            self.values, self.flags = [self.table], [self.flag]
+
+    def read(self, texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text, the numbers of its words and of their sentences, each word once a sentence."""
+        each = [t.encode("utf-8", "surrogatepass").replace(b"\n", b" \0 ").split() if t else [] for t in texts]
+        if len(self.number) >= REMEMBERED:
+            self._forget()
+        self._learn(list(set().union(*map(set, each)) - self.number.keys()))
+        get = self.number.__getitem__
+        for raw in each:
+            ids = np.fromiter(map(get, raw), np.int64, len(raw))
+            ends, single = self.flag[ids].T
+            sentence = np.append(0, np.cumsum(ends & ~single)[:-1]) if len(ids) else ids
+            start = np.flatnonzero(np.append(True, np.diff(sentence) > 0)) if len(ids) else ids
+            size = np.diff(np.append(start, len(ids)))
+            parts = -(-size // SENTENCE)
+            place = np.arange(len(ids)) - np.repeat(start, size)
+            sentence = np.repeat(np.cumsum(parts) - parts, size) + place // SENTENCE
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
+            for a, b in zip(edge[::2], edge[1::2]):
+                if b - a > 2:  # spelt out
+                    word = b"".join(raw[a:b])
+                    if word not in self.number:
+                        self._learn([word])
+                    ids, sentence = np.append(ids, get(word)), np.append(sentence, sentence[a])
+            both = np.unique(sentence * len(self.number) + ids)
+            yield both % len(self.number), both // len(self.number)
+
+    def sums(self, texts) -> Iterator[np.ndarray]:
+        """For each text, the sum of the rows of its words, by sentence; a text without words has one empty sentence."""
+        for ids, sentence in self.read(texts):
+            if not len(ids):
+                yield self.table[:1]
+                continue
+            start = np.flatnonzero(np.append(True, np.diff(sentence) > 0))
+            yield np.add.reduceat(self.table[ids], start, axis=0)
+
+
+_READERS: dict[tuple, Reader] = {}
+
+
+def _reader(landmarks: tuple[str, ...], weights: tuple[float, ...] | None = None) -> Reader:
+    """The worker's reader for a model: it stays for later tasks, and so does what it remembers."""
+    key = (landmarks, weights)
+    if key not in _READERS:
+        _READERS.clear()
+        kernel = Kernel(landmarks)
+        _READERS[key] = Reader(kernel.of if weights is None else lambda words: kernel.of(words) @ np.array(weights)[:, None])
+    return _READERS[key]
+
+
+def _witnesses(landmarks: tuple[str, ...], weights: np.ndarray):
+    """Of each text the sentence with the largest margin."""
 
-def _descriptions(landmarks: tuple[str, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kernel = _kernel(landmarks)
+        reader = _reader(landmarks)
         for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "near": list(kernel.describe(list(batch["text"])))})
+            for start in range(0, len(batch), 500):
+                part = batch.iloc[start : start + 500]
+                best = [x[int(np.argmax(x @ weights))] for x in reader.sums(part["text"])]
+                yield pd.DataFrame({"label": part["label"].to_numpy(), "near": best})
 
     return run
 
@@ -202,7 +218,7 @@ def choose_landmarks(sample: DataFrame, most: int = LANDMARKS) -> list[str]:
     by_word = (
         sample.select("label", F.explode(words).alias("w"))
         .select("label", F.regexp_replace("w", r"[^\p{L}]+", "").alias("w"))
-        .where("length(w) >= 3")
+        .where(F.length("w") >= LETTERS)
         .groupBy("w")
         .agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
     )
@@ -222,20 +238,28 @@ def choose_landmarks(sample: DataFrame, most: int = LANDMARKS) -> list[str]:
         .collect()
     )
     chosen: list[str] = []
-    weights: list[dict[str, float]] = []
+    seen: list[dict[str, float]] = []
     for r in scored:
         own = subsequences(r["f"])
-        like = (sum(v * own.get(k, 0.0) for k, v in w.items()) / sum(v * v for v in w.values()) for w in weights)
-        if own and all(x**DEGREE < 0.5 for x in like):
+        size = sum(v * v for v in own.values()) ** 0.5
+        own = {k: v / size for k, v in own.items()}
+        if own and all(sum(v * own.get(k, 0.0) for k, v in w.items()) ** 2 < 0.6 for w in seen):
             chosen.append(r["f"])
-            weights.append(own)
+            seen.append(own)
         if len(chosen) == most:
             break
     return chosen
 
 
+def nystroem_root(landmarks) -> np.ndarray:
+    """The inverse root of the landmarks' kernel matrix, each landmark taken with unit length."""
+    size = np.array([sum(v * v for v in subsequences(x).values()) for x in landmarks])
+    values, vectors = np.linalg.eigh(Kernel(landmarks).of(list(landmarks)) / size[:, None])
+    return vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
-    """The model: landmarks, Nystroem map, weights and the logistic curve."""
+    """The model: landmarks, what a landmark's kernel adds to a margin, and the logistic curve."""
     named = (
         labels.where(F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).alias("doc_id"))
@@ -246,25 +270,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample = cut(texts.join(named, "doc_id").select("text", "label"), "labelled")
     share = sample.agg(F.avg("label")).first()[0] or 0.0
-    landmarks = choose_landmarks(sample)
+    landmarks = tuple(choose_landmarks(sample))
     if not landmarks:
         return {"landmarks": (), "share": share}
-    kernel = Kernel(landmarks)
-    own = kernel.describe(landmarks)
-    own = (own + own.T) / 2 + 1e-6 * np.eye(len(landmarks))
-    values, vectors = np.linalg.eigh(own)
-    root = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
-    described = sample.mapInPandas(_descriptions(tuple(landmarks)), "label double, near array<double>")
-    mapped = [F.aggregate(F.zip_with("near", F.array(*[F.lit(float(x)) for x in row]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) for row in root]
-    ready = cut(described.select("label", F.array(*mapped).alias("x")), "features").withColumn("features", array_to_vector("x"))
-    svm = LinearSVC(regParam=1e-3, maxIter=60, aggregationDepth=2).fit(ready)
-    weights = svm.coefficients.toArray()
-    margin = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b), F.lit(float(svm.intercept)), lambda a, b: a + b)
+    root, weights = nystroem_root(landmarks), np.ones(len(landmarks))
+    dot = lambda column, row: F.aggregate(F.zip_with(column, F.array(*[F.lit(float(x)) for x in row]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    for _ in range(ROUNDS):
+        described = sample.mapInPandas(_witnesses(landmarks, weights), "label double, near array<double>")
+        ready = cut(described.select("label", "near", F.array(*[dot("near", r) for r in root]).alias("x")), "features")
+        svm = LinearSVC(regParam=1e-3, maxIter=60, aggregationDepth=2).fit(ready.select("label", array_to_vector("x").alias("features")))
+        weights = root @ svm.coefficients.toArray()
+    margin = dot("near", weights) + float(svm.intercept)
     curve = LogisticRegression(regParam=1e-4).fit(ready.select("label", array_to_vector(F.array(margin)).alias("features")))
     return {
-        "landmarks": tuple(landmarks),
+        "landmarks": landmarks,
         "share": share,
-        "weights": root @ weights,
+        "weights": tuple(float(x) for x in weights),
         "intercept": float(svm.intercept),
         "slope": float(curve.coefficients[0]),
         "offset": float(curve.intercept),
@@ -278,10 +299,12 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         return texts.select("doc_id", F.lit(float(model["share"])).alias("score"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kernel = _kernel(model["landmarks"])
+        reader = _reader(model["landmarks"], model["weights"])
         for batch in batches:
-            near = kernel.describe(list(batch["text"]))
-            margin = near @ model["weights"] + model["intercept"]
+            margin = np.empty(len(batch))
+            for start in range(0, len(batch), 500):
+                for i, x in enumerate(reader.sums(batch["text"].iloc[start : start + 500]), start):
+                    margin[i] = x.max() + model["intercept"]
             value = 1 / (1 + np.exp(-(model["slope"] * margin + model["offset"])))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": value})
 
