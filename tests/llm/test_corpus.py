@@ -281,9 +281,9 @@ def test_decontamination(spark):
     wrap = lambda w: words(rng, 40) + " " + " ".join(w) + " " + words(rng, 40)
     rows = [(0, wrap(item)), (1, wrap(edited).upper()), (2, wrap(far)), (3, words(rng, 300)), (4, None), (5, ""), (6, " ".join(item))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, "a b")], "item_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.start_word, r.distance) for r in decontaminate.benchmark_hits(docs, bench).collect()}
-    assert got == {(0, 7): (40, 0), (1, 7): (40, 3), (6, 7): (0, 0)}
+    assert {k: v for k, v in got.items() if k[1] == 7} == {(0, 7): (40, 0), (1, 7): (40, 3), (6, 7): (0, 0)}
     assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {2, 3, 4, 5}
     assert decontaminate.benchmark_hits(docs, bench.limit(0)).count() == 0
 
@@ -475,7 +475,7 @@ def test_toxicity_of_insults_with_letters_put_in(spark):
             w[rng.randrange(60)] = "".join(c + "".join(rng.choice("aeiou") for _ in range(gap)) for c in rng.choice(bad))
         rows.append((i, " ".join(w), 5, None))
         labels.append((i, int(toxic)))
-    rows += [(2000, None, 1, 1), (2001, "", 1, 1), (2002, "z o r g l u k", 1, 1), (2003, "Z-O-R-G-L-U-K!!", 1, 1), (2004, "zorgluk " * 3000, 1, 1), (5, rows[5][1], 5, None)]
+    rows += [(2000, None, 1, 1.0), (2001, "", 1, 1.0), (2002, "z o r g l u k", 1, 1.0), (2003, "Z-O-R-G-L-U-K!!", 1, 1.0), (2004, "zorgluk " * 3000, 1, 1.0), (5, rows[5][1], 5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, label double")
     marks = spark.createDataFrame(labels + [(0, 0), (1, None)], "doc_id long, toxic int")
     got = {r.doc_id: r.score for r in toxicity.trained_score(docs, marks).collect()}
@@ -487,3 +487,59 @@ def test_toxicity_of_insults_with_letters_put_in(spark):
     assert sum(got[i] < 0.5 for i in clean) >= 0.97 * len(clean)
     assert got[2000] == got[2001] < 0.5 <= min(got[2002], got[2003], got[2004])
     assert toxicity.trained_score(docs.limit(0), marks).count() == 0
+
+
+def test_decontamination_recall_by_item_length(spark):
+    """Items of 3 to 200 words at the allowed number of edits, against the exact distance; and nothing beyond it."""
+    rng = random.Random(21)
+    lengths = [1, 2, 3, 4, 5, 6, 7, 8, 10, 13, 17, 23, 30, 41, 59, 100, 200]
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in lengths}
+
+    def edited(item, edits, spread):
+        w = list(item)
+        for at in sorted(rng.sample(range(max(edits, int(len(item) * spread))), edits), reverse=True):
+            w[at : at + 1] = [["zz"], [], ["zz", w[at]]][rng.randrange(3)]
+        return w
+
+    rows, near, far = [], {}, {}
+    for n, item in items.items():
+        for turn in range(30):
+            near[len(rows)] = n
+            w = edited(item, n // 5, 1.0 if turn % 3 else 0.4)
+            rows.append((len(rows), words(rng, 12) + " " + " ".join(w).upper() + ", " + words(rng, 12)))
+        for turn in range(5):  # every third word is another: over the limit by the exact distance
+            w = ["yy" if k % 3 == turn % 3 else x for k, x in enumerate(item)]
+            if sum(x == "yy" for x in w) > n // 5:
+                far[len(rows)] = n
+                rows.append((len(rows), " ".join(w)))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    hits = {(r.doc_id, r.item_id): r for r in decontaminate.benchmark_hits(docs, bench).collect()}
+    for n in lengths:
+        own = [i for i in near if near[i] == n]
+        assert sum((i, n) in hits for i in own) >= 0.95 * len(own), n
+    assert not [i for i in far if (i, far[i]) in hits]
+    plain = decontaminate._WORDS
+    for (i, n), r in hits.items():
+        found = plain.findall(rows[i][1].lower())[r.start_word : r.start_word + r.n_words]
+        before = list(range(len(found) + 1))
+        for a, x in enumerate(items[n], 1):
+            now = [a]
+            for b, y in enumerate(found, 1):
+                now.append(min(now[-1] + 1, before[b] + 1, before[b - 1] + (x != y)))
+            before = now
+        assert before[-1] == r.distance <= n // 5
+
+
+def test_decontamination_of_odd_rows(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(1, item, "x", 0), (1, "clean text of one id", "x", 0), (2, item, "x", 0), (2, item, "x", 0), (None, item, "x", 0), (None, "clean", "x", 0), (3, None, "x", 0), (4, "", "x", 0), (5, item + " w" * 20_000 + " " + item, "x", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _h string, item_id int")
+    bench = spark.createDataFrame([(7, item), (7, "another text"), (8, None), (None, item), (9, "")], "item_id long, text string")
+    hits = decontaminate.benchmark_hits(docs, bench).collect()
+    assert sorted((r.doc_id or 0, r.item_id, r.start_word) for r in hits) == [(0, 7, 0), (1, 7, 0), (2, 7, 0), (5, 7, 0)]
+    left = decontaminate.decontaminate(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "clean"), (1, "clean text of one id"), (3, ""), (4, "")]
+    assert decontaminate.benchmark_hits(docs.limit(0), bench).count() == 0
+    assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(rows)

@@ -3,213 +3,341 @@
 A benchmark item of n words is found where some stretch of a text differs from it by at most floor(n/5) words inserted,
 deleted or replaced (words are lower-case letters, digits and underscores; case and punctuation don't count).
 
-The windows of the size of an item are embedded by CGK random walks: a walk copies the current word and moves on if a
-shared random bit of (step, word) says so, which turns an edit into a few differing coordinates. A repetition samples
-two coordinates of its own walk; a window is a candidate for an item if both agree in at least one repetition. The number
-of repetitions follows from the target recall for windows whose walks agree in two fifths of their coordinates. With the
-allowed edits, walks agree in less the longer an item is; so windows of items of over WALKED words are all candidates.
-Candidates are confirmed by the exact edit distance, with free ends within the allowed number of words.
-
-Only windows that can match are embedded: an edit spoils at most three of an item's n - 2 word triples, so a matching
-window shares at least n - 2 - 3 floor(n/5) of them at nearly one alignment. Where that is none (items of 5 words), word
-pairs are counted instead, of which an edit spoils at most two of n - 1; these windows are all candidates. The bounds lose
-nothing.
-
-The benchmark is sent to the tasks in blocks of a limited size, so any size of it works; every text is read whole. Null or
-empty texts and items match nothing, nor do items under three words; repeated rows give repeated results; only the id and
-text columns are read.
+Windows of the size of an item are embedded by CGK random walks: a walk copies the current word and moves on if a random
+bit of (step, word) says so, which turns an edit into a few differing coordinates. A repetition samples two coordinates of
+its own walk, and their words are a key; windows and items that share a key are joined by Spark. Each pair that meets is
+confirmed by the exact edit distance, with free ends within the allowed number of words, so nothing is reported wrongly.
+Sizes are taken in classes (an item is embedded by its first words, as many as the least size of its class), and the number
+of repetitions grows with the size, as walks agree in less the more edits are allowed; README has the measured recall by
+size. Items under five words allow no edit: their windows are embedded as they are, and meet with certainty.
+
+Only windows that can match are embedded, by a bound that costs no recall: an edit spoils at most two of an item's n - 1
+word pairs, so a matching stretch holds n - 1 - 2 floor(n/5) of them at least, one of them among the item's first
+2 floor(n/5) + 1 pairs and one among its last so many. Which pairs occur in items, and which keys, tasks know from two bit
+tables of a limited size (more items make them let more through, nothing less). So the benchmark may be of any size, and
+no text is sent anywhere but the few stretches whose key occurs.
+
+Null or empty texts and items match nothing; equal rows are one row; rows that share an id but not the text are separate;
+a text that holds an item more than once has its best match (least distance, then first) returned; other columns are not
+read. Word fingerprints have 64 bits.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, mix
+from tidemark.llm.common import cut, documents, gram_names, join_names, mix
 
-#: Items are sent to the tasks in blocks of about so many characters.
-BLOCK_CHARS = 4_000_000
 EDIT_SHARE = 5  # one word in five may differ
-TARGET_RECALL = 0.999
 SAMPLED = 2
-AGREEMENT = 0.4
-#: Items of at most so many words are found by walks, which agree in AGREEMENT of their coordinates or more on average.
-WALKED = 59
-REPETITIONS = math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - AGREEMENT**SAMPLED))
+#: Bits of a bit table, at most.
+TABLE_BITS = 1 << 27
+#: Texts that are looked at together, and words that a worker remembers.
+TEXTS, REMEMBERED = 2000, 1_000_000
 _WORDS = re.compile(r"\w+")
+_KNOWN: dict[str, int] = {}
+_ONE = np.uint64(1)
+
+
+def names(text: str | None) -> np.ndarray:
+    """Names of a text's words."""
+    if not text:
+        return np.empty(0, np.uint64)
+    found = _WORDS.findall(text.lower())
+    if len(_KNOWN) > REMEMBERED:
+        _KNOWN.clear()
+    for w in found:
+        if w not in _KNOWN:
+            _KNOWN[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) | 1  # never 0
+    return np.fromiter(map(_KNOWN.__getitem__, found), np.uint64, len(found))
+
+
+def class_sizes(most: int) -> list[int]:
+    """Least sizes of the classes: every size up to ten, then a tenth more each time."""
+    out = list(range(1, 11))
+    while out[-1] < most:
+        out.append(out[-1] + max(1, out[-1] // 10))
+    return out
 
 
-def tokens(text: str | None) -> list[str]:
-    return _WORDS.findall(text.lower()) if text else []
+def repetitions(size: int) -> int:
+    """Repetitions for items of a class; fitted to the measured agreement of walks at the allowed edits."""
+    return 1 if size < EDIT_SHARE else 20 + size // 3
+
+
+class Walks:
+    """Keys of windows of a size."""
+
+    def __init__(self, size: int):
+        self.size, self.n = size, repetitions(size)
+        rng = np.random.default_rng(size)
+        self.odd = rng.integers(1 << 63, size=self.n, dtype=np.uint64)[:, None] * np.uint64(2) + _ONE
+        self.pick = np.array([rng.choice(2 * size, SAMPLED, replace=False) for _ in range(self.n)], np.uint64)
+
+    def keys(self, windows: np.ndarray) -> np.ndarray:
+        """(windows by repetitions); windows are rows of names, as many as the size."""
+        salt = mix(np.arange(self.n, dtype=np.uint64) + np.uint64(self.size << 20))
+        if self.size < EDIT_SHARE:
+            return join_names(gram_rows(windows), salt[:1])[:, None]
+        out = np.empty((len(windows), self.n), np.uint64)
+        block = max(1, 60_000 // self.n)
+        for first in range(0, len(windows), block):
+            rows = windows[first : first + block]
+            step = np.zeros((self.n, len(rows)), np.uint64)  # at which the walk comes to a word
+            at = np.zeros((SAMPLED, self.n, len(rows)), np.int64)  # the word that it copies at the sampled steps
+            picks = [self.pick[:, j, None] for j in range(SAMPLED)]
+            for word in np.ascontiguousarray(rows.T[:-1]):
+                bits = word * self.odd  # bit s decides at step s (and 64 steps later again)
+                bits ^= bits >> np.uint64(32)
+                turn = step & np.uint64(63)
+                bits = (bits >> turn) | (bits << ((np.uint64(64) - turn) & np.uint64(63)))
+                step += np.bitwise_count(~bits & (bits - _ONE)).astype(np.uint64) + _ONE  # stays until a bit is set
+                for j, pick in enumerate(picks):
+                    at[j] += step <= pick
+            every = np.arange(len(rows))
+            key = salt[:, None]
+            for j in range(SAMPLED):
+                key = join_names(key, rows[every, at[j]])
+            out[first : first + block] = key.T
+        return out
 
 
-def cgk(rows: np.ndarray, length: int, repetition: int) -> np.ndarray:
-    """Random walks of one repetition over rows of word numbers (padded with -1), as columns of coordinates."""
-    n = len(rows)
-    padded = np.concatenate([rows, np.full((n, 1), -1, rows.dtype)], axis=1)
-    at, every = np.zeros(n, np.int64), np.arange(n)
-    out = np.empty((n, length), rows.dtype)
-    for step in range(length):
-        word = padded[every, at]
-        out[:, step] = word
-        coin = mix((word + 2).astype(np.uint64) * np.uint64(1 << 20) + np.uint64(step * 1024 + repetition)) & np.uint64(1)
-        at = np.minimum(at + coin.astype(np.int64), rows.shape[1])
+def gram_rows(windows: np.ndarray) -> np.ndarray:
+    out = mix(windows[:, 0] + np.uint64(windows.shape[1]))
+    for j in range(1, windows.shape[1]):
+        out = join_names(out, windows[:, j])
     return out
 
 
-def _agree(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Which windows share both sampled coordinates with the item in some repetition."""
-    rows = np.concatenate([item[None, :], windows])
-    n = len(item)
-    found = np.zeros(len(windows), bool)
-    for r in range(REPETITIONS):
-        pick = np.random.default_rng(r).choice(2 * n, SAMPLED, replace=False) if n > 1 else np.array([0, 1])
-        walk = cgk(rows, int(pick.max()) + 1, r)[:, pick]
-        found |= (walk[1:] == walk[0]).all(axis=1)
-        if found.all():
-            break
-    return found
-
-
-def edit_distance(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int]:
-    """Least distance between the item and a part of the stretch, and where that part ends (free ends)."""
-    before = np.zeros(len(stretch) + 1, np.int64)
-    steps = np.arange(len(stretch) + 1)
-    for word in item:
-        now = np.empty_like(before)
-        now[0] = before[0] + 1
-        now[1:] = np.minimum(before[1:] + 1, before[:-1] + (stretch != word))
-        now = np.minimum.accumulate(now - steps) + steps
-        before = now
-    end = int(np.argmin(before))
-    return int(before[end]), end
-
-
-class _Items:
-    """A block of items, ready to be looked up by word triples."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.number: dict[str, int] = {}
-        self.items = []
-        for key, text in items:
-            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in tokens(text)], np.int64)
-            if len(ids) >= 3:
-                self.items.append((key, ids))
-        self.base = np.int64(len(self.number) + 1)
-        by_size: dict[int, list[int]] = {}
-        for k, (_, ids) in enumerate(self.items):
-            by_size.setdefault(self.least(len(ids))[0], []).append(k)
-        self.index = {size: self.indexed(size, of) for size, of in by_size.items()}
-
-    @staticmethod
-    def least(n: int) -> tuple[int, int]:
-        """Which grams an item of n words is looked up by, and how many of them a match shares at the least."""
-        triples = n - 2 - 3 * (n // EDIT_SHARE)
-        return (3, triples) if triples > 0 else (2, n - 1 - 2 * (n // EDIT_SHARE))
-
-    def indexed(self, size: int, of: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        grams = [self.grams(self.items[k][1], size) for k in of]
-        which = np.repeat(of, [len(g) for g in grams])
-        at = np.concatenate([np.arange(len(g)) for g in grams])
-        every = np.concatenate(grams)
-        order = np.argsort(every, kind="stable")
-        return every[order], which[order], at[order]
-
-    def grams(self, ids: np.ndarray, size: int) -> np.ndarray:
-        out = ids[: len(ids) - size + 1]
-        for j in range(1, size):
-            out = out * self.base + ids[j : len(ids) - size + 1 + j]
+class Bits:
+    """A bit table of names; each name sets two bits."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.mask = table, np.uint64(len(table) * 64 - 1)
+
+    def places(self, x: np.ndarray) -> list[np.ndarray]:
+        return [mix(x + np.uint64(i)) & self.mask for i in (11, 12)]
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        out = np.ones(x.shape, bool)
+        for at in self.places(x):
+            out &= (self.table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & _ONE == 1
         return out
 
-    def hits(self, text: str | None) -> Iterator[tuple[int, int, int, int]]:
-        """(item id, first word, words, distance) of the best match of each item found."""
-        get = self.number.get
-        ids = np.array([get(w, 0) for w in tokens(text)], np.int64)
-        if len(ids) < 3:
-            return
-        for size, index in self.index.items():
-            yield from self.hits_by(ids, size, *index)
-
-    def hits_by(self, ids: np.ndarray, size: int, every: np.ndarray, which: np.ndarray, places_in: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        some = len(ids) - size + 1
-        known = np.flatnonzero(np.logical_and.reduce([ids[j : some + j] > 0 for j in range(size)]))
-        grams = self.grams(ids, size)[known]
-        low, high = np.searchsorted(every, grams, "left"), np.searchsorted(every, grams, "right")
-        times = high - low
-        if not times.any():
-            return
-        rank = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        item, start = which[rank], np.repeat(known, times) - places_in[rank]
-        for k in np.unique(item):
-            key, own = self.items[k]
-            spare = len(own) // EDIT_SHARE
-            need = self.least(len(own))[1]
-            starts = np.sort(start[item == k])
-            # enough triples at alignments that differ by no more than the words that may be added or lost
-            enough = np.searchsorted(starts, starts + 2 * spare, "right") - np.arange(len(starts)) >= need
-            near = np.unique(starts[enough])
-            if not len(near):
-                continue
-            places = np.unique(np.concatenate([starts[(starts >= s) & (starts <= s + 2 * spare)] for s in near]))
-            if size == 3 and len(own) <= WALKED:
-                rows = np.full((len(places), len(own)), -1, np.int64)
-                for i, s in enumerate(places):
-                    part = ids[max(s, 0) : s + len(own)]
-                    rows[i, : len(part)] = part
-                places = places[_agree(own, rows)]
-            best = None
-            for s in places:
-                low_ = max(int(s) - spare, 0)
-                distance, end = edit_distance(own, ids[low_ : int(s) + len(own) + spare])
-                if distance <= spare and (best is None or (distance, low_) < best[0]):
-                    _, back = edit_distance(own[::-1], ids[low_ : low_ + end][::-1])
-                    best = ((distance, low_), (int(key), low_ + end - back, back, distance))
-            if best:
-                yield best[1]
-
-
-def _finder(items: list[tuple[int, str]]):
+
+def _kind(pairs: np.ndarray, size: int, kind: int) -> np.ndarray:
+    """Names of word pairs as those of the head (1), the tail (2) or anywhere (0) in items of a class."""
+    return join_names(pairs, np.uint64(size * 4 + kind))
+
+
+def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        each = [names(t) for t in batch["text"]]
+        sizes = class_sizes(max(map(len, each), default=1))
+        size = [max(s for s in sizes if s <= len(x)) if len(x) else 0 for x in each]
+        yield pd.DataFrame({"item_id": batch["item_id"], "n": [len(x) for x in each], "size": size, "words": [x.tobytes() for x in each]})
+
+
+def _item_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    walks: dict[int, Walks] = {}
+    for batch in batches:
+        for size, part in batch.groupby("size"):
+            walk = walks.setdefault(size, Walks(size))
+            keys = walk.keys(np.array([np.frombuffer(x, np.uint64, size) for x in part["words"]]))
+            yield pd.DataFrame({"key": keys.ravel().view(np.int64), "item": np.repeat(part["item"].to_numpy(), walk.n)})
+
+
+def _item_bits(bits: int, of_pairs: bool):
+    """Set bits of the tables, as 64-bit parts."""
+    table = Bits(np.empty(bits // 64, np.uint64))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if of_pairs:
+                found = []
+                for size, raw in zip(batch["size"], batch["words"]):
+                    own = np.frombuffer(raw, np.uint64)
+                    pairs, head = gram_names(own, 2), 2 * (len(own) // EDIT_SHARE) + 1
+                    found += [_kind(pairs, size, 0), _kind(pairs[:head], size, 1), _kind(pairs[-head:], size, 2)]
+                found = np.concatenate(found) if found else np.empty(0, np.uint64)
+            else:
+                found = batch["key"].to_numpy().view(np.uint64)
+            at = np.concatenate(table.places(found)).astype(np.int64)
+            yield pd.DataFrame({"slot": at >> 6, "bits": (np.int64(1) << (at & 63))})
+
+    return run
+
+
+def _table(rows: DataFrame, entries: int, of_pairs: bool) -> Bits:
+    """The bit table of some rows: a collected table of at most TABLE_BITS bits."""
+    bits = min(TABLE_BITS, 1 << max(10, (32 * entries).bit_length()))
+    found = rows.mapInPandas(_item_bits(bits, of_pairs), "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[found["slot"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return Bits(table)
+
+
+def live_windows(words: np.ndarray, ends: np.ndarray, low: int, high: int, pairs: Bits) -> np.ndarray:
+    """Starts of windows that can match an item of low to high words. ends: for each word, where its text ends."""
+    start = np.flatnonzero(ends - np.arange(len(words)) >= low - low // EDIT_SHARE)
+    if low < 2 or not len(start):
+        return start
+    spare = high // EDIT_SHARE
+    every = join_names(mix(words[:-1] + np.uint64(2)), words[1:])
+    inside = np.append(np.arange(1, len(words)) < ends[:-1], False)
+    counts = []
+    known = np.zeros(len(words), bool)
+    known[np.flatnonzero(inside)] = pairs.has(_kind(every[inside[:-1]], low, 0))
+    at = np.flatnonzero(known)
+    for kind in (0, 1, 2):
+        own = known
+        if kind:
+            own = np.zeros(len(words), bool)
+            own[at[pairs.has(_kind(every[at], low, kind))]] = True
+        counts.append(np.append(0, np.cumsum(own)))
+    within = lambda c, a, b: c[np.minimum(start + b, ends[start])] - c[np.minimum(start + a, ends[start])]
+    least = min(n - 1 - 2 * (n // EDIT_SHARE) for n in range(low, high + 1))
+    head = 2 * spare + 1
+    # an intact pair of the item stands in the text at its own place, up to so many words earlier or later
+    ok = within(counts[0], 0, high + spare - 1) >= least
+    ok &= within(counts[1], 0, head + spare) > 0
+    ok &= within(counts[2], max(low - 2 * spare - head - 1, 0), high + spare) > 0
+    return start[ok]
+
+
+def _windows(classes: list[tuple[int, int]], tables):
+    """Stretches of texts around the windows that have a key of an item, with these keys."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = _Items(items)
+        pairs, item_keys = (Bits(x) for x in tables.value)
+        walks = [(Walks(low), low, high) for low, high in classes]
         for batch in batches:
-            rows = [(d, *hit) for d, text in zip(batch["doc_id"], batch["text"]) for hit in block.hits(text)]
-            out = pd.DataFrame(rows, columns=["doc_id", "item_id", "start_word", "n_words", "distance"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            for first in range(0, len(batch), TEXTS):
+                part = batch.iloc[first : first + TEXTS]
+                each = [names(t) for t in part["text"]]
+                words, sizes = np.concatenate(each), np.array([len(x) for x in each])
+                text_end = np.cumsum(sizes)
+                ends, text = np.repeat(text_end, sizes), np.repeat(np.arange(len(each)), sizes)
+                rows = []
+                for walk, low, high in walks:
+                    spare = high // EDIT_SHARE
+                    start = live_windows(words, ends, low, high, pairs)
+                    for a in range(0, len(start), 20_000):
+                        some = start[a : a + 20_000]
+                        place = some[:, None] + np.arange(low)
+                        windows = np.where(place < ends[some][:, None], words[np.minimum(place, len(words) - 1)], np.uint64(0))
+                        keys = walk.keys(windows)
+                        hit = item_keys.has(keys)
+                        for k in np.flatnonzero(hit.any(axis=1)):
+                            i, t = int(some[k]), text[some[k]]
+                            begin = text_end[t] - sizes[t]
+                            first_word = max(i - spare, begin)
+                            stretch = words[first_word : min(i + high + spare, text_end[t])]
+                            rows.append((part["doc_id"].iloc[t], part["_h"].iloc[t], low, first_word - begin, stretch.tobytes(), keys[k][hit[k]].view(np.int64)))
+                out = pd.DataFrame(rows, columns=["doc_id", "_h", "size", "at", "stretch", "keys"])
+                out["doc_id"] = out["doc_id"].astype("Int64")
+                yield out
 
     return run
 
 
+def edit_distances(item: np.ndarray, stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """items and stretches row by row (stretches padded with 0): the least distance between the item and a part of the
+    stretch, and where that part ends first (free ends)."""
+    steps = np.arange(stretches.shape[1] + 1)
+    before = np.zeros((len(stretches), len(steps)), np.int64)
+    for j in range(item.shape[1]):
+        now = np.empty_like(before)
+        now[:, 0] = before[:, 0] + 1
+        now[:, 1:] = np.minimum(before[:, 1:] + 1, before[:, :-1] + (stretches != item[:, j, None]))
+        before = np.minimum.accumulate(now - steps, axis=1) + steps
+    end = before.argmin(axis=1)
+    return before[np.arange(len(end)), end], end
+
+
+def _padded(rows: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(rows), max(map(len, rows))), np.uint64)
+    for i, x in enumerate(rows):
+        out[i, : len(x)] = x
+    return out
+
+
+def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for n, part in batch.groupby("n"):
+            for first in range(0, len(part), 500):
+                some = part.iloc[first : first + 500]
+                item = np.array([np.frombuffer(x, np.uint64) for x in some["words"]])
+                rows = [np.frombuffer(x, np.uint64) for x in some["stretch"]]
+                distance, end = edit_distances(item, _padded(rows))
+                good = np.flatnonzero(distance <= n // EDIT_SHARE)
+                if not len(good):
+                    continue
+                _, size = edit_distances(item[good, ::-1], _padded([rows[k][: end[k]][::-1] for k in good]) if end[good].any() else np.zeros((len(good), 1), np.uint64))
+                some = some.iloc[good]
+                yield pd.DataFrame(
+                    {
+                        "doc_id": some["doc_id"].astype("Int64"),
+                        "_h": some["_h"],
+                        "item_id": some["item_id"],
+                        "start_word": some["at"].to_numpy() + end[good] - size,
+                        "n_words": size,
+                        "distance": distance[good],
+                    }
+                )
+
+
+_HITS = "doc_id long, _h long, item_id long, start_word long, n_words long, distance long"
+
+
+def _found(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """_HITS of texts (doc_id, text, _h) and items (item_id, text)."""
+    spark = texts.sparkSession
+    items = items.where("item_id IS NOT NULL AND text IS NOT NULL").mapInPandas(_item_rows, "item_id long, n long, size long, words binary")
+    items = cut(items.where("n > 0").withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"]), "items")
+    sizes = items.groupBy("size").agg(F.max("n").alias("most"), F.count("*").alias("items"), F.sum("n").alias("words")).orderBy("size").collect()
+    if not sizes:
+        return spark.createDataFrame([], _HITS)
+    keys = cut(items.select("item", "size", "words").mapInPandas(_item_keys, "key long, item long").distinct(), "item-keys")
+    pairs = _table(items.select("size", "words"), sum(r["words"] for r in sizes), True)
+    marks = _table(keys.select("key"), sum(r["items"] * repetitions(r["size"]) for r in sizes), False)
+    tables = spark.sparkContext.broadcast((pairs.table, marks.table))
+    windows = texts.where("text IS NOT NULL").mapInPandas(
+        _windows([(r["size"], r["most"]) for r in sizes], tables), "doc_id long, _h long, size long, at long, stretch binary, keys array<long>"
+    )
+    met = windows.withColumn("key", F.explode("keys")).drop("keys").join(keys, "key")
+    met = met.groupBy("doc_id", "_h", "at", "size", "item").agg(F.first("stretch").alias("stretch"))
+    both = met.drop("size").join(items.select("item", "item_id", "n", "words"), "item")
+    best = F.min(F.struct("distance", "start_word", "n_words")).alias("best")
+    hits = both.mapInPandas(_verified, _HITS).groupBy("doc_id", "_h", "item_id").agg(best)
+    return hits.select("doc_id", "_h", "item_id", "best.start_word", "best.n_words", "best.distance")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("_h"))
+
+
 def benchmark_hits(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, distance): the best match of each item in each text that has one."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where(
-        "item_id IS NOT NULL AND text IS NOT NULL"
-    )
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + chars // BLOCK_CHARS
-    out = None
-    for b in range(blocks):  # each block has a bounded size; the texts are scanned once per block
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        found = texts.mapInPandas(
-            _finder([tuple(r) for r in rows]), "doc_id long, item_id long, start_word long, n_words long, distance long"
-        )
-        out = found if out is None else out.unionByName(found)
-    return out
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    return _found(_texts(docs, id_col, text_col), items).drop("_h")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text holds a benchmark item."""
-    dirty = benchmark_hits(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, F.col(id_col).cast("long").eqNullSafe(F.col("_dirty")), "left_anti")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    dirty = _found(_texts(docs, id_col, text_col), items).select(F.col("doc_id").alias("_dirty"), F.col("_h").alias("_hash")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_dirty")) & (F.xxhash64(text_col) == F.col("_hash"))
+    return docs.join(dirty, same, "left_anti")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
