@@ -543,3 +543,15 @@ def test_decontamination_of_odd_rows(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "clean"), (1, "clean text of one id"), (3, ""), (4, "")]
     assert decontaminate.benchmark_hits(docs.limit(0), bench).count() == 0
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_substring_dedup_of_shared_ids_and_a_common_phrase(spark):
+    rng = random.Random(31)
+    p, q = words(rng, 40), words(rng, 40)
+    rows = [(1, p), (2, p), (2, q), (None, p), (3, q + " " + p)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 40, 0), (1, 40, 0), (2, 40, 0), (2, 40, 40), (3, 80, 80)]
+    # a phrase of twelve words in every text, without a common window
+    phrase = words(rng, 12)
+    df = spark.createDataFrame([(i, f"{words(rng, 9)} x{i} {phrase} y{i} {words(rng, 9)}") for i in range(300)], "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup.substring_dedup(df).collect()} == {0}

@@ -7,14 +7,16 @@ symbol joins a neighbour depends on that neighbour alone, so equal passages agre
 their ends: after two rounds, every symbol between the 5th and the 12th phrase of a 20-word window is the same wherever
 the window occurs. Each window is represented by the least-named symbol of that stretch (runs are taken as repeated at
 once); Spark deals those symbols out by name, and only windows whose symbol occurs twice are looked at further. They are
-dealt out by the same symbol and verified by a 96-bit fingerprint of their 20 words, which also finds the first one.
+dealt out by the fingerprint of their own 20 words (96 bits), which verifies them and finds the first one; a phrase that
+many texts share without a common window is spread over all buckets by that.
 
-Payloads travel as packed arrays, at most one row per bucket and batch, and what a batch knows to be repeated within
-itself is not sent to the name's bucket again: a passage that a third of all texts share costs its bucket one entry per
-batch. The number of buckets follows the number of rows.
+Payloads travel as packed arrays, at most one row per bucket and batch (none without an entry), and what a batch knows to
+be repeated within itself is not sent to the name's bucket again: a passage that a third of all texts share costs its
+bucket one entry per batch. The number of buckets follows the characters read.
 
-Defined results: null or empty text has no words; a text under 20 words keeps them all; equal rows with one id are the
-same occurrence, so neither is removed; a row without id is left as it is; columns other than id and text are not read.
+Defined results: null or empty text has no words; a text under 20 words keeps them all. Documents stand in the order of
+their ids, and rows that share an id but not the text in the order of a hash of the text; equal rows with one id are the
+same occurrence, so neither is removed. A row without id is left as it is; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ EDGE, ZONE = 5, WINDOW - PHRASE + 1 - 10
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Characters that a task turns into symbols at once.
 SLICE_CHARS = 24_000_000
-DOCS_PER_BUCKET = 4096
+BUCKET_CHARS = 12_000_000
 
 
 def _pairs(names, starts, ends, barrier, salt):
@@ -111,8 +113,30 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield part
 
 
+#: A document's key: its id and a hash of its text.
+KEY = np.dtype([("id", "<i8"), ("h", "<i8")])
+
+
+def _keys(part: pd.DataFrame) -> np.ndarray:
+    out = np.empty(len(part), KEY)
+    out["id"], out["h"] = part["doc_id"], part["h"]
+    return out
+
+
+def _order(docs: np.ndarray, *less) -> np.ndarray:
+    """The order by document; less: what else counts, the least first."""
+    return np.lexsort((*less, docs["h"], docs["id"]))
+
+
 def _packed(bucket: int, kind: int, docs: np.ndarray, *values: np.ndarray) -> tuple:
-    return (bucket, kind, docs.tobytes(), *(v.tobytes() for v in values))
+    """Documents (ordered) as runs."""
+    start = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(start, len(docs))).astype(np.uint32)
+    return (bucket, kind, docs[start].tobytes(), sizes.tobytes(), *(v.tobytes() for v in values))
+
+
+def _unpacked(group: pd.DataFrame) -> np.ndarray:
+    return np.concatenate([np.repeat(np.frombuffer(x, KEY), np.frombuffer(n, np.uint32)) for x, n in zip(group["docs"], group["sizes"])])
 
 
 #: kind 0: seen once in its batch; 1: seen more often there; 2: known to be repeated, sent anywhere.
@@ -120,13 +144,13 @@ def _send_symbols(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _slices(batches):
             docs, names, twice, with_runs = [], [], [], []
-            for key, text in zip(part["doc_id"], part["text"]):
+            for key, text in zip(_keys(part), part["text"]):
                 words = word_names(text)
                 if len(words) < WINDOW:
                     continue
                 best, where, run_ = representatives(words)
                 own, count = np.unique(symbols_at(best, where, run_), return_counts=True)
-                docs.append(np.full(len(own), key, np.int64))
+                docs.append(np.full(len(own), key, KEY))
                 names.append(own)
                 twice.append(count > 1)
                 if run_.any():
@@ -141,18 +165,19 @@ def _send_symbols(buckets: int):
             often = np.repeat(count > 1, count) | np.repeat(np.logical_or.reduceat(twice, np.flatnonzero(head)), count)
             rows = []
             if with_runs:  # these have windows to look at in any case
-                rows.append(_packed(int(names[0] % np.uint64(buckets)), 2, np.array(with_runs), np.full(len(with_runs), _TOP)))
-            rest = ~head
-            if rest.any():
+                rows.append(_packed(int(names[0] % np.uint64(buckets)), 2, np.array(with_runs, KEY), np.full(len(with_runs), _TOP)))
+            rest = np.flatnonzero(~head)
+            if len(rest):
+                rest = rest[_order(docs[rest])]
                 rows.append(_packed(int(names[0] % np.uint64(buckets)), 2, docs[rest], names[rest]))
             bucket = (names % np.uint64(buckets)).astype(np.int64)
             for kind, own in ((0, head & ~often), (1, head & often)):
                 at = np.flatnonzero(own)
-                at = at[np.lexsort((docs[at], bucket[at]))]
+                at = at[np.lexsort((docs["h"][at], docs["id"][at], bucket[at]))]
                 for group in np.split(at, np.flatnonzero(np.diff(bucket[at])) + 1):
                     if len(group):
                         rows.append(_packed(int(bucket[group[0]]), kind, docs[group], names[group]))
-            yield pd.DataFrame(rows, columns=["bucket", "kind", "docs", "names"])
+            yield pd.DataFrame(rows, columns=["bucket", "kind", "docs", "sizes", "names"])
 
     return run
 
@@ -164,23 +189,22 @@ def symbols_at(best: np.ndarray, where: np.ndarray, run: np.ndarray) -> np.ndarr
 
 
 def _repeated_symbols(group: pd.DataFrame) -> pd.DataFrame:
-    docs = [np.frombuffer(x, np.int64) for x in group["docs"]]
     names = [np.frombuffer(x, np.uint64) for x in group["names"]]
-    kind = np.repeat(group["kind"].to_numpy(), [len(x) for x in docs])
-    docs, names = np.concatenate(docs), np.concatenate(names)
+    kind = np.repeat(group["kind"].to_numpy(), [len(x) for x in names])
+    docs, names = _unpacked(group), np.concatenate(names)
     here = kind < 2
     values, place, count = np.unique(names[here], return_inverse=True, return_counts=True)
     count[place[kind[here] == 1]] += 1
     keep = ~here
     keep[np.flatnonzero(here)[count[place] > 1]] = True
-    return pd.DataFrame({"doc_id": docs[keep], "name": names[keep].view(np.int64)})
+    return pd.DataFrame({"doc_id": docs["id"][keep], "h": docs["h"][keep], "name": names[keep].view(np.int64)})
 
 
 def _send_windows(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _slices(batches):
             cols: list[list] = [[], [], [], [], []]
-            for key, text, names in zip(part["doc_id"], part["text"], part["names"]):
+            for key, text, names in zip(_keys(part), part["text"], part["names"]):
                 words = word_names(text)
                 if len(words) < WINDOW:
                     continue
@@ -189,8 +213,7 @@ def _send_windows(buckets: int):
                 at = np.flatnonzero(run_ | np.isin(best, some))
                 whole = _window_names(words)[at]
                 check = (_window_names(mix(words + np.uint64(7)))[at] >> np.uint64(32)).astype(np.uint32)
-                deal = np.where(run_[at], whole, best[at]) % np.uint64(buckets)
-                for c, x in zip(cols, (np.full(len(at), key, np.int64), at.astype(np.uint32), whole, check, deal.astype(np.int64))):
+                for c, x in zip(cols, (np.full(len(at), key, KEY), at.astype(np.uint32), whole, check, (whole % np.uint64(buckets)).astype(np.int64))):
                     c.append(x)
             if not cols[0]:
                 continue
@@ -199,14 +222,14 @@ def _send_windows(buckets: int):
             rows = []
             late = np.flatnonzero(~first)
             if len(late):
-                late = late[np.lexsort((at[late], docs[late]))]
+                late = late[_order(docs[late], at[late])]
                 rows.append(_packed(int(whole[0] % np.uint64(buckets)), 2, docs[late], at[late], whole[:0], check[:0]))
             own = np.flatnonzero(first)
-            own = own[np.lexsort((at[own], docs[own], deal[own]))]
+            own = own[np.lexsort((at[own], docs["h"][own], docs["id"][own], deal[own]))]
             for group in np.split(own, np.flatnonzero(np.diff(deal[own])) + 1):
                 if len(group):
                     rows.append(_packed(int(deal[group[0]]), 0, docs[group], at[group], whole[group], check[group]))
-            yield pd.DataFrame(rows, columns=["bucket", "kind", "docs", "at", "whole", "check"])
+            yield pd.DataFrame(rows, columns=["bucket", "kind", "docs", "sizes", "at", "whole", "check"])
 
     return run
 
@@ -215,7 +238,7 @@ def _first(whole, check, docs, at) -> np.ndarray:
     """Which windows are the first of their words; equal ids and starts are one occurrence."""
     if not len(whole):
         return np.zeros(0, bool)
-    order = np.lexsort((at, docs, check, whole))
+    order = np.lexsort((at, docs["h"], docs["id"], check, whole))
     w, c, d, a = whole[order], check[order], docs[order], at[order]
     head = np.append(True, (w[1:] != w[:-1]) | (c[1:] != c[:-1]))
     which = np.cumsum(head) - 1
@@ -228,22 +251,22 @@ def _first(whole, check, docs, at) -> np.ndarray:
 
 def _late_windows(group: pd.DataFrame) -> pd.DataFrame:
     """Stretches of consecutive starts of windows that are not the first, by document."""
-    docs = np.concatenate([np.frombuffer(x, np.int64) for x in group["docs"]])
+    docs = _unpacked(group)
     at = np.concatenate([np.frombuffer(x, np.uint32) for x in group["at"]])
-    sent = np.concatenate([np.full(len(d) // 8, k == 0) for d, k in zip(group["docs"], group["kind"])])
+    sent = np.concatenate([np.full(len(x) // 4, k == 0) for x, k in zip(group["at"], group["kind"])])
     whole = np.concatenate([np.frombuffer(x, np.uint64) for x in group["whole"]])
     check = np.concatenate([np.frombuffer(x, np.uint32) for x in group["check"]])
     late = ~sent
     late[np.flatnonzero(sent)[~_first(whole, check, docs[sent], at[sent])]] = True
     docs, at = docs[late], at[late].astype(np.int64)
-    order = np.lexsort((at, docs))
+    order = _order(docs, at)
     docs, at = docs[order], at[order]
     if not len(docs):
-        return pd.DataFrame({"doc_id": docs, "low": at.astype(np.int32), "high": at.astype(np.int32)})
+        return pd.DataFrame({"doc_id": docs["id"], "h": docs["h"], "low": at.astype(np.int32), "high": at.astype(np.int32)})
     head = np.append(True, (docs[1:] != docs[:-1]) | (at[1:] > at[:-1] + 1))
     start = np.flatnonzero(head)
     end = np.append(start[1:], len(docs)) - 1
-    return pd.DataFrame({"doc_id": docs[start], "low": at[start].astype(np.int32), "high": at[end].astype(np.int32)})
+    return pd.DataFrame({"doc_id": docs["id"][start], "h": docs["h"][start], "low": at[start].astype(np.int32), "high": at[end].astype(np.int32)})
 
 
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,18 +288,19 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of each row: the words not covered by a window that starts earlier too."""
-    all_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = 16 + all_.count() // DOCS_PER_BUCKET
+    all_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("h"))
+    buckets = 16 + (all_.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS
+    key = ["doc_id", "h"]
     texts = all_.where("doc_id IS NOT NULL")
-    sent = texts.mapInPandas(_send_symbols(buckets), "bucket long, kind int, docs binary, names binary")
-    repeated = sent.groupBy("bucket").applyInPandas(_repeated_symbols, "doc_id long, name long")
-    by_doc = repeated.groupBy("doc_id").agg(F.collect_set("name").alias("names"))
-    looked = texts.join(by_doc, "doc_id")
-    windows = looked.mapInPandas(_send_windows(buckets), "bucket long, kind int, docs binary, at binary, whole binary, check binary")
-    late = windows.groupBy("bucket").applyInPandas(_late_windows, "doc_id long, low int, high int")
-    gone = late.groupBy("doc_id").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high"))
+    sent = texts.mapInPandas(_send_symbols(buckets), "bucket long, kind int, docs binary, sizes binary, names binary")
+    repeated = sent.groupBy("bucket").applyInPandas(_repeated_symbols, "doc_id long, h long, name long")
+    by_doc = repeated.groupBy(*key).agg(F.collect_set("name").alias("names"))
+    looked = texts.join(by_doc, key)
+    windows = looked.mapInPandas(_send_windows(buckets), "bucket long, kind int, docs binary, sizes binary, at binary, whole binary, check binary")
+    late = windows.groupBy("bucket").applyInPandas(_late_windows, "doc_id long, h long, low int, high int")
+    gone = late.groupBy(*key).agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high"))
     out = "doc_id long, n_words long, n_removed long, kept_text string"
-    known = texts.join(gone, "doc_id", "left").mapInPandas(_kept, out)
+    known = texts.join(gone, key, "left").mapInPandas(_kept, out)
     nobody = all_.where("doc_id IS NULL").select("doc_id", "text", *[F.lit(None).cast("array<int>").alias(c) for c in ("low", "high")])
     return known.unionByName(nobody.mapInPandas(_kept, out))
 
