@@ -42,7 +42,8 @@ FRAGMENT = 5
 LETTERS, GAP, DECAY = 4, 3, 0.9
 SENTENCE = 40
 ROUNDS = 2
-REMEMBERED = 1_000_000
+#: Words that a worker remembers, and numbers that it remembers of them.
+REMEMBERED, NUMBERS = 800_000, 8_000_000
 #: Letters of a word that are looked at together; a longer word is cut into pieces that overlap by more than any
 #: subsequence is long.
 WIDTH, STEP = 32, 16
@@ -133,7 +134,7 @@ class Reader:
 
     def _forget(self) -> None:
         self.number: dict[bytes, int] = {b"\0": 0}
-        self.values: list[np.ndarray] = [self.value([""])]
+        self.values: list[np.ndarray] = [self.value([""]).astype(np.float32)]
         self.flags: list[np.ndarray] = [np.array([[True, False]])]
         self.table, self.flag = self.values[0], self.flags[0]
 
@@ -141,7 +142,7 @@ class Reader:
         for start in range(0, len(new), 8192):
             part = new[start : start + 8192]
             plain = _SIGNS_IN_LINE.sub("", b"\n".join(part).decode("utf-8", "replace").lower()).split("\n")
-            self.values.append(self.value(plain))
+            self.values.append(self.value(plain).astype(np.float32))
             self.flags.append(np.array([[w[-1:] in (b".", b"!", b"?"), len(x) == 1 and len(w) <= 3] for w, x in zip(part, plain)]))
             for w in part:
                 self.number[w] = len(self.number)
@@ -152,7 +153,7 @@ class Reader:
     def read(self, texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text, the numbers of its words and of their sentences, each word once a sentence."""
         each = [t.encode("utf-8", "surrogatepass").replace(b"\n", b" \0 ").split() if t else [] for t in texts]
-        if len(self.number) >= REMEMBERED:
+        if len(self.number) >= min(REMEMBERED, NUMBERS // self.table.shape[1]):
             self._forget()
         self._learn(list(set().union(*map(set, each)) - self.number.keys()))
         get = self.number.__getitem__
