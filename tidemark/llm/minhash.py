@@ -16,8 +16,8 @@ star links leave in different components are then compared across components, at
 on their shingles. So every link between different texts is either confirmed or joins documents connected already.
 
 Defined results: a null or empty text, or one without words, has no shingle, is linked with nothing and is kept. Rows
-with the same id are one document whose texts are taken as they come (each row gets its own count, all share the
-component). A row without id is kept, with a null component. Other columns are not read.
+with the same id are one document: each row gets its own count, what is near to one of its texts is linked with all, and
+they are kept or not together. A row without id is kept, with a null component. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -116,13 +116,13 @@ def _likely(least: float):
 
 def _confirmed(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict = {}
+        last, y = None, None
         for batch in batches:
             good = []
             for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
-                if b not in kept:  # rows with one b tend to come together
-                    kept = {b: shingle_set(word_names(tb, lower=True))}
-                x, y = shingle_set(word_names(ta, lower=True)), kept[b]
+                if last != (b, tb):  # rows with one b tend to come together
+                    last, y = (b, tb), shingle_set(word_names(tb, lower=True))
+                x = shingle_set(word_names(ta, lower=True))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.loc[np.array(good, bool), ["a", "b"]]
@@ -138,7 +138,7 @@ def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int
     likely = sized.mapInPandas(_likely(percent / 100 - MARGIN), "a long, b long")
     full = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
     both = likely.join(full("a"), "a").join(full("b"), "b").select("a", "b", "ta", "tb")
-    return both.mapInPandas(_confirmed(percent), "a long, b long")
+    return both.mapInPandas(_confirmed(percent), "a long, b long").distinct()
 
 
 def _buckets():
@@ -238,12 +238,14 @@ def near_duplicates(
     sketches = cut(texts.mapInPandas(_sketches(percent), _SKETCH), "sketches")
     named = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(named.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rep = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "f1", "f2")
+    reps = named.join(rep, rep.columns, "left_semi").dropDuplicates(rep.columns)
 
     buckets = reps.select("doc_id", F.explode(_buckets()).alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
     shared = cut(buckets.join(hubs.select("bucket", "hub"), "bucket"), "buckets")
-    only = cut(texts.join(shared.select("doc_id").distinct(), "doc_id"), "texts")
+    only = texts.join(shared.select("doc_id").distinct(), "doc_id")
+    only = cut(only.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h"), "texts")
 
     stars = shared.where("hub < doc_id").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     first = cut(_links(stars, reps, only, percent), "links")
