@@ -5,7 +5,7 @@ deleted or replaced (words are lower-case letters, digits and underscores; case
 
 Windows of the size of an item are embedded by CGK random walks: a walk copies the current word and moves on if a random
 bit of (step, word) says so, which turns an edit into a few differing coordinates. A repetition samples two coordinates of
-its own walk, and their words are a key; windows and items that share a key are joined by Spark. Each pair that meets is
+its own walk, and their words are a key; windows and items that share two keys are joined by Spark. Each pair that meets is
 confirmed by the exact edit distance, with free ends within the allowed number of words, so nothing is reported wrongly.
 Sizes are taken in classes (an item is embedded by its first words, as many as the least size of its class), and the number
 of repetitions grows with the size, as walks agree in less the more edits are allowed; README has the measured recall by
@@ -41,29 +41,36 @@ SAMPLED = 2
 TABLE_BITS = 1 << 27
 #: Texts that are looked at together, and words that a worker remembers.
 TEXTS, REMEMBERED = 2000, 1_000_000
+#: Keys that a window and an item must share to be looked at, where they have several.
+MEETINGS = 2
 _WORDS = re.compile(r"\w+")
-_KNOWN: dict[str, int] = {}
 _ONE = np.uint64(1)
 
 
+class _Names(dict):
+    def __missing__(self, word: str) -> int:
+        out = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) | 1  # never 0
+        return out
+
+
+_KNOWN = _Names()
+
+
 def names(text: str | None) -> np.ndarray:
     """Names of a text's words."""
     if not text:
         return np.empty(0, np.uint64)
-    found = _WORDS.findall(text.lower())
     if len(_KNOWN) > REMEMBERED:
         _KNOWN.clear()
-    for w in found:
-        if w not in _KNOWN:
-            _KNOWN[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) | 1  # never 0
+    found = _WORDS.findall(text.lower())
     return np.fromiter(map(_KNOWN.__getitem__, found), np.uint64, len(found))
 
 
 def class_sizes(most: int) -> list[int]:
-    """Least sizes of the classes: every size up to ten, then a tenth more each time."""
+    """Least sizes of the classes: every size up to ten, then a fifth more each time."""
     out = list(range(1, 11))
     while out[-1] < most:
-        out.append(out[-1] + max(1, out[-1] // 10))
+        out.append(out[-1] + out[-1] // 5)
     return out
 
 
@@ -132,9 +139,13 @@ class Bits:
         return out
 
 
+#: Where in an item a word pair stands: anywhere, among the first, among the last.
+ANYWHERE, HEAD, TAIL = 0, 1, 2
+
+
 def _kind(pairs: np.ndarray, size: int, kind: int) -> np.ndarray:
-    """Names of word pairs as those of the head (1), the tail (2) or anywhere (0) in items of a class."""
-    return join_names(pairs, np.uint64(size * 4 + kind))
+    """Names of word pairs as those of a part of the items of a class (size 0: of any)."""
+    return join_names(pairs, np.full(1, size * 4 + kind, np.uint64))
 
 
 def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +176,7 @@ def _item_bits(bits: int, of_pairs: bool):
                 for size, raw in zip(batch["size"], batch["words"]):
                     own = np.frombuffer(raw, np.uint64)
                     pairs, head = gram_names(own, 2), 2 * (len(own) // EDIT_SHARE) + 1
-                    found += [_kind(pairs, size, 0), _kind(pairs[:head], size, 1), _kind(pairs[-head:], size, 2)]
+                    found += [_kind(pairs, 0, ANYWHERE), _kind(pairs, size, ANYWHERE), _kind(pairs[:head], size, HEAD), _kind(pairs[-head:], size, TAIL)]
                 found = np.concatenate(found) if found else np.empty(0, np.uint64)
             else:
                 found = batch["key"].to_numpy().view(np.uint64)
@@ -184,32 +195,36 @@ def _table(rows: DataFrame, entries: int, of_pairs: bool) -> Bits:
     return Bits(table)
 
 
-def live_windows(words: np.ndarray, ends: np.ndarray, low: int, high: int, pairs: Bits) -> np.ndarray:
-    """Starts of windows that can match an item of low to high words. ends: for each word, where its text ends."""
-    start = np.flatnonzero(ends - np.arange(len(words)) >= low - low // EDIT_SHARE)
-    if low < 2 or not len(start):
-        return start
-    spare = high // EDIT_SHARE
+def known_pairs(words: np.ndarray, ends: np.ndarray, pairs: Bits) -> tuple[np.ndarray, np.ndarray]:
+    """Places and names of the word pairs that are in any item."""
     every = join_names(mix(words[:-1] + np.uint64(2)), words[1:])
-    inside = np.append(np.arange(1, len(words)) < ends[:-1], False)
-    counts = []
-    known = np.zeros(len(words), bool)
-    known[np.flatnonzero(inside)] = pairs.has(_kind(every[inside[:-1]], low, 0))
-    at = np.flatnonzero(known)
-    for kind in (0, 1, 2):
-        own = known
-        if kind:
-            own = np.zeros(len(words), bool)
-            own[at[pairs.has(_kind(every[at], low, kind))]] = True
-        counts.append(np.append(0, np.cumsum(own)))
-    within = lambda c, a, b: c[np.minimum(start + b, ends[start])] - c[np.minimum(start + a, ends[start])]
+    at = np.flatnonzero(pairs.has(_kind(every, 0, ANYWHERE)) & (ends[:-1] == ends[1:]))
+    return at, every[at]
+
+
+def live_windows(found: tuple[np.ndarray, np.ndarray], begins: np.ndarray, ends: np.ndarray, low: int, high: int, pairs: Bits) -> np.ndarray:
+    """Starts of windows that can match an item of low to high words. begins, ends: of the text of each word."""
+    if low < 2:
+        return np.arange(len(ends))
+    spare = high // EDIT_SHARE
     least = min(n - 1 - 2 * (n // EDIT_SHARE) for n in range(low, high + 1))
-    head = 2 * spare + 1
+    at, every = found
+    own = pairs.has(_kind(every, low, ANYWHERE))
+    at, every = at[own], every[own]
+    if len(at) < least:
+        return at[:0]
+    # enough pairs within a window and the words that may be put into it
+    first, last = at[: len(at) - least + 1], at[least - 1 :]
+    lowest = np.maximum(last - (high + spare - 2), begins[first])
+    some = np.flatnonzero((lowest <= first) & (ends[first] == ends[last]))
+    size = first[some] - lowest[some] + 1
+    start = np.unique(np.repeat(lowest[some], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
     # an intact pair of the item stands in the text at its own place, up to so many words earlier or later
-    ok = within(counts[0], 0, high + spare - 1) >= least
-    ok &= within(counts[1], 0, head + spare) > 0
-    ok &= within(counts[2], max(low - 2 * spare - head - 1, 0), high + spare) > 0
-    return start[ok]
+    head = 2 * spare + 1
+    for kind, a, b in ((HEAD, 0, head + spare), (TAIL, max(low - 1 - head - spare, 0), high + spare)):
+        place = at[pairs.has(_kind(every, low, kind))]
+        start = start[np.searchsorted(place, np.minimum(start + b, ends[start])) > np.searchsorted(place, start + a)]
+    return start
 
 
 def _windows(classes: list[tuple[int, int]], tables):
@@ -221,26 +236,28 @@ def _windows(classes: list[tuple[int, int]], tables):
         for batch in batches:
             for first in range(0, len(batch), TEXTS):
                 part = batch.iloc[first : first + TEXTS]
-                each = [names(t) for t in part["text"]]
+                each, ids, hashes = [names(t) for t in part["text"]], part["doc_id"].tolist(), part["_h"].tolist()
                 words, sizes = np.concatenate(each), np.array([len(x) for x in each])
                 text_end = np.cumsum(sizes)
-                ends, text = np.repeat(text_end, sizes), np.repeat(np.arange(len(each)), sizes)
-                rows = []
+                begins, ends, text = (np.repeat(x, sizes) for x in (text_end - sizes, text_end, np.arange(len(each))))
+                if not len(words):
+                    continue
+                found, rows = known_pairs(words, ends, pairs), []
                 for walk, low, high in walks:
                     spare = high // EDIT_SHARE
-                    start = live_windows(words, ends, low, high, pairs)
+                    start = live_windows(found, begins, ends, low, high, pairs)
                     for a in range(0, len(start), 20_000):
                         some = start[a : a + 20_000]
                         place = some[:, None] + np.arange(low)
                         windows = np.where(place < ends[some][:, None], words[np.minimum(place, len(words) - 1)], np.uint64(0))
                         keys = walk.keys(windows)
                         hit = item_keys.has(keys)
-                        for k in np.flatnonzero(hit.any(axis=1)):
+                        for k in np.flatnonzero(hit.sum(axis=1) >= min(MEETINGS, walk.n)):
                             i, t = int(some[k]), text[some[k]]
                             begin = text_end[t] - sizes[t]
                             first_word = max(i - spare, begin)
                             stretch = words[first_word : min(i + high + spare, text_end[t])]
-                            rows.append((part["doc_id"].iloc[t], part["_h"].iloc[t], low, first_word - begin, stretch.tobytes(), keys[k][hit[k]].view(np.int64)))
+                            rows.append((ids[t], hashes[t], low, first_word - begin, stretch.tobytes(), keys[k][hit[k]].view(np.int64)))
                 out = pd.DataFrame(rows, columns=["doc_id", "_h", "size", "at", "stretch", "keys"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
@@ -313,8 +330,9 @@ def _found(texts: DataFrame, items: DataFrame) -> DataFrame:
         _windows([(r["size"], r["most"]) for r in sizes], tables), "doc_id long, _h long, size long, at long, stretch binary, keys array<long>"
     )
     met = windows.withColumn("key", F.explode("keys")).drop("keys").join(keys, "key")
-    met = met.groupBy("doc_id", "_h", "at", "size", "item").agg(F.first("stretch").alias("stretch"))
-    both = met.drop("size").join(items.select("item", "item_id", "n", "words"), "item")
+    met = met.groupBy("doc_id", "_h", "at", "size", "item").agg(F.first("stretch").alias("stretch"), F.count("*").alias("keys"))
+    met = met.where((F.col("keys") >= MEETINGS) | (F.col("size") < EDIT_SHARE))
+    both = met.drop("size", "keys").join(items.select("item", "item_id", "n", "words"), "item")
     best = F.min(F.struct("distance", "start_word", "n_words")).alias("best")
     hits = both.mapInPandas(_verified, _HITS).groupBy("doc_id", "_h", "item_id").agg(best)
     return hits.select("doc_id", "_h", "item_id", "best.start_word", "best.n_words", "best.distance")
