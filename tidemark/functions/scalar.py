@@ -122,14 +122,14 @@ def risk_label(score: Column) -> Column:
 
 def insider_role(title: Column, mode: str = "word") -> Column:
     """The first role that a title holds: as a word, or ('reference') as any part of it."""
-    roles = (
-        ("CEO", ("ceo", "chief executive", "president")),
-        ("CFO", ("cfo", "chief financial")),
-        ("COO", ("coo", "chief operating")),
-        ("CTO", ("cto", "chief technology")),
-        ("Director", ("director",)),
-        ("VP", ("vp", "vice president")),
-        ("10% Owner", ("10%",)),
+    roles = (  # fixed values
+        ("CEO", ("chief executive", "ceo", "president")),
+        ("CFO", ("chief financial", "cfo", "treasurer")),
+        ("COO", ("chief operating", "coo")),
+        ("CTO", ("chief technology", "cto")),
+        ("Director", ("director", "board")),
+        ("VP", ("vice president", "vp")),
+        ("10% Owner", ("10%", "beneficial owner")),
     )
     t, out = F.lower(title), None
     for role, parts in roles:
@@ -198,3 +198,115 @@ def company_of_title(title: Column) -> Column:
 
 def insider_name(text: Column) -> Column:
     return F.left(F.trim(F.regexp_replace(F.substring_index(text, "(", -1), r"\)", "")), F.lit(50))
+
+
+def format_market_cap(crores: Column) -> Column:
+    """Crores in lakh crore (L Cr), thousand crore (K Cr) or crore; null and 0 give N/A."""
+    body = F.when(crores >= 100_000, F.format_string("₹%.2f L Cr", crores / 100_000)).when(crores >= 1000, F.format_string("₹%.2fK Cr", crores / 1000))
+    return F.when(crores.isNull() | (crores == 0), F.lit("N/A")).otherwise(body.otherwise(F.format_string("₹%.0f Cr", crores)))
+
+
+#: States of trading that call for a warning, and how grave they are.
+CIRCUITS = {
+    "UPPER_CIRCUIT": "warn: upper circuit, avoid buying", "LOWER_CIRCUIT": "warn: lower circuit, selling pressure",
+    "ASM_STAGE_1": "warn: surveillance stage 1, higher margins", "ASM_STAGE_2": "severe: surveillance stage 2",
+    "GSM_STAGE_1": "warn: graded surveillance stage 1, trade on Fridays", "GSM_STAGE_2": "severe: graded surveillance stage 2, limited trading",
+    "TRADING_HALTED": "halt: no transactions",
+}
+
+
+def circuit_warning(status: Column) -> Column:
+    """The warning of a trading state; null for a normal or unknown one."""
+    table = F.create_map(*[F.lit(x) for kv in CIRCUITS.items() for x in kv])
+    return F.try_element_at(table, status)
+
+
+def premium(pe: Column, base: Column) -> Column:
+    return (F.try_divide(pe, base) - 1) * 100
+
+
+def range_position(price: Column, low: Column, high: Column) -> Column:
+    """Where a price stands between low and high, in %; 50 if they are equal."""
+    return F.when(high == low, F.lit(50.0)).otherwise(F.try_divide(price - low, high - low) * 100)
+
+
+def valuation_insight(pe: Column, sector_pe: Column, hist_pe: Column, price: Column, low: Column, high: Column) -> Column:
+    """Codes of what a valuation says against the sector (30, -20), the own history (20, -20; 22 if unknown) and the range of a
+    year (25, 75)."""
+    of_sector, of_past, at = premium(pe, sector_pe), premium(pe, F.coalesce(hist_pe, F.lit(22.0))), range_position(price, low, high)
+    return F.array_compact(
+        F.array(
+            F.when(of_sector > 30, "sector_premium").when(of_sector < -20, "sector_discount").when(of_sector.isNotNull(), "sector_in_line"),
+            F.when(of_past < -20, "below_history").when(of_past > 20, "above_history"),
+            F.when(at < 25, "near_low").when(at > 75, "near_high"),
+        )
+    )
+
+
+def historical_context(price: Column, low: Column, high: Column, cagr: Column, pe: Column, sector_pe: Column) -> Column:
+    """Codes of the range of a year (25, 75), the growth of ten years (15, 8) and the PE against the sector (-15, 30)."""
+    at, of_sector = F.when(high != low, range_position(price, low, high)), F.when(sector_pe > 0, premium(pe, sector_pe))
+    return F.array_compact(
+        F.array(
+            F.when(at < 25, "range_low").when(at > 75, "range_high").when(at.isNotNull(), "range_mid"),
+            F.when(cagr > 15, "growth_strong").when(cagr > 8, "growth_decent").when(cagr.isNotNull(), "growth_modest"),
+            F.when(of_sector < -15, "sector_discount").when(of_sector > 30, "sector_premium"),
+        )
+    )
+
+
+#: Names under which a yearly figure is found, in order.
+ANNUAL = {"revenue_cr": ("Revenue", "Total Revenue", "revenue"), "net_profit_cr": ("Net Profit", "PAT", "net_profit"), "ebitda_cr": ("EBITDA", "ebitda")}
+
+
+def annual_metrics(metrics: Column) -> Column:
+    """struct<revenue_cr, net_profit_cr, ebitda_cr> of a map of texts; 0 where there is none."""
+    pick = lambda names: F.coalesce(*[safe_float(F.try_element_at(metrics, F.lit(n))) for n in names], F.lit(0.0))
+    return F.struct(*[pick(names).alias(c) for c, names in ANNUAL.items()])
+
+
+def parse_price(c: Column) -> Column:
+    """The price in a text or in JSON {"NSE": .., "BSE": ..}, the first exchange first; 0 for what is no number."""
+    found = F.coalesce(F.get_json_object(c, "$.NSE"), F.get_json_object(c, "$.BSE"), c)
+    return F.coalesce(F.trim(F.replace(found, F.lit(","), F.lit(""))).try_cast("double"), F.lit(0.0))
+
+
+def fiscal_quarter_of_text(c: Column) -> Column:
+    """Q1 to Q4 of 'Mon YYYY' or D/M/Y texts, else 'Unknown'."""
+    months = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+    name = F.lower(F.regexp_extract(c, r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?,?\s+\d{4}", 1))
+    month = F.nullif(F.array_position(F.array(*[F.lit(m) for m in months]), name).cast("int"), F.lit(0))
+    month = F.coalesce(month, F.regexp_extract(c, r"\b\d{1,2}[-/](\d{1,2})[-/]\d{4}\b", 1).try_cast("int"))
+    quarter = F.pmod(F.floor((month - 4) / 3), F.lit(4)) + 1
+    return F.coalesce(F.concat(F.lit("Q"), quarter.cast("string")), F.lit("Unknown"))
+
+
+def status_band(x: Column, bands: list[tuple[float, str]], beyond: str) -> Column:
+    """The label of the first bound that a value does not exceed."""
+    out = None
+    for bound, label in bands:
+        out = F.when(x <= bound, label) if out is None else out.when(x <= bound, label)
+    return out.when(x.isNotNull(), beyond)
+
+
+def context_prefix(symbol: Column, doc_type: Column, year: Column, quarter: Column, section: Column, company: Column, page_start: Column, page_end: Column, descriptions: dict[str, str] | None = None) -> Column:
+    """One sentence on where a chunk comes from: company, document, period, section and pages; parts that are null are left out."""
+    who = F.when(company.isNotNull(), F.format_string("%s (%s)", symbol, company)).otherwise(symbol)
+    label = F.initcap(F.replace(section, F.lit("_"), F.lit(" ")))
+    table = F.create_map(*[F.lit(x) for kv in (descriptions or {"": ""}).items() for x in kv])
+    about = F.try_element_at(table, section)
+    none = F.lit("")
+    pages = F.when(page_start == page_end, F.format_string(" (page %d)", page_start)).when(page_end.isNotNull(), F.format_string(" (pages %d-%d)", page_start, page_end))
+    return F.concat(
+        F.format_string("This is from %s's %s for FY%s", who, doc_type, year),
+        F.coalesce(F.concat(F.lit(", "), quarter), none),
+        F.coalesce(F.concat(F.lit(", in the "), label, F.lit(" section")), none),
+        F.coalesce(F.concat(F.lit(". This section "), about), none),
+        F.coalesce(pages, none),
+        F.lit("."),
+    )
+
+
+def source_label(symbol: Column, doc_type: Column, year: Column, quarter: Column) -> Column:
+    """'SYM report FY2024 Q1', without the parts that are null."""
+    return F.concat_ws(" ", symbol, doc_type, F.concat(F.lit("FY"), year.cast("string")), quarter)

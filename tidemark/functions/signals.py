@@ -63,17 +63,73 @@ def extract_tickers(text: Column, aliases: dict[str, str], allowed: list[str], m
     return F.slice(F.array_distinct(F.concat(named, upper)), 1, most)
 
 
-def comparison_intent(text: Column) -> Column:
-    t = F.lower(text)
-    return (
-        F.when(t.rlike(r"\b(compare|comparison|versus|vs)\b"), "comparison")
-        .when(t.rlike(r"\b(better|best|which one)\b"), "preference")
-        .when(t.rlike(r"\b(difference|differ)\b"), "difference")
-        .when(t.contains(" and ") & t.rlike(r"\b(stock|share|price|revenue|profit|margin)"), "pair")
-        .otherwise("none")
+#: Families of a comparison, and words that make "x and y" one.
+COMPARISON = {
+    "versus": ["vs", "versus", "vs."],
+    "comparison": ["compare", "comparison", "comparing"],
+    "which_better": ["which is better", "which one", "should i choose", "better investment"],
+    "difference": ["difference between"],
+}
+PAIR_WORDS = ["stock", "invest", "buy", "compare", "both"]
+#: What a question about figures asks for, in order.
+ANALYSIS = {
+    "segment_breakdown": ["segment", "breakdown", "division", "by business", "revenue mix", "business mix", "contribution", "o2c", "retail", "jio", "digital", "oil and gas", "refining"],
+    "quarterly_comparison": ["quarter", "qoq", "q-o-q", "q1", "q2", "q3", "q4", "sequential"],
+    "revenue_trend": ["revenue trend", "revenue growth", "revenue over", "sales trend", "sales growth", "topline"],
+    "margin_trend": ["margin trend", "margin over time", "margin history", "margin guidance", "margins changing", "profitability"],
+    "peer_comparison": ["compare", "vs", "versus", "peers", "competitors", "relative to", "better than", "worse than", "industry"],
+    "valuation_gauge": ["valuation", "expensive", "cheap", "undervalued", "overvalued", "pe ratio", "trading at", "fairly valued"],
+}
+#: Words of a question that ask for peers, or for management and risks.
+VALUE_WORDS = ["undervalued", "overvalued", "cheap", "expensive", "valuation", "pe", "price"]
+ACTION_WORDS = ["buy", "sell", "invest", "hold", "should"]
+
+
+def first_family(text: Column, families: dict[str, list[str]]) -> Column:
+    """The first family with a word in the text; null without one."""
+    return F.coalesce(*[F.when(present(text, words) > 0, F.lit(name)) for name, words in families.items()])
+
+
+def comparison_intent(text: Column, families: dict[str, list[str]] = COMPARISON, pair: list[str] = PAIR_WORDS) -> Column:
+    """versus, comparison, which_better, difference, and_pattern, or null: by parts of words, in this order."""
+    both = F.lower(text).contains(" and ") & (present(text, pair) > 0)
+    return F.coalesce(first_family(text, families), F.when(both, "and_pattern"))
+
+
+def analysis_intent(text: Column, families: dict[str, list[str]] = ANALYSIS) -> Column:
+    """The chart that answers a question, or null."""
+    return first_family(text, families)
+
+
+def decompose_query(text: Column, symbol: Column) -> Column:
+    """Sub-questions about a symbol: valuation always, peers, management and risks by the words of the question, news last."""
+    ask = lambda template: F.format_string(template, symbol)
+    value, action = present(text, VALUE_WORDS) > 0, present(text, ACTION_WORDS) > 0
+    return F.array_compact(
+        F.array(
+            ask("PE of %s against its five-year average?"),
+            F.when(value, ask("PE of %s against its sector, and why?")),
+            F.when(action, ask("Outlook and guidance of %s in the last call?")),
+            F.when(action, ask("Main risks of %s?")),
+            ask("Recent news and catalysts of %s?"),
+        )
     )
 
 
+#: Words of a question for which a source is most relevant, its relevance then and otherwise.
+RELEVANCE = {
+    "technical": (["buy", "sell", "should", "invest", "entry", "exit", "technical", "trend", "dma", "rsi"], 0.9, 0.5),
+    "market": (["price", "limit", "trading", "value", "market cap", "pe ratio"], 0.9, 0.6),
+    "filings": (["result", "quarterly", "profit", "revenue", "earnings", "financial", "guidance", "margin", "trend"], 0.95, 0.7),
+}
+
+
+def source_relevance(text: Column, source: str) -> Column:
+    """How relevant a source is for a question, by its words."""
+    words, high, low = RELEVANCE[source]
+    return F.when(present(text, words) > 0, high).otherwise(low)
+
+
 def detect_style(text: Column, markers: list[str]) -> Column:
     """struct<mixed, devanagari>: a marker word of mixed language, and signs of the Devanagari script."""
     return F.struct((present(text, markers) > 0).alias("mixed"), text.rlike("[ऀ-ॿ]").alias("devanagari"))
@@ -101,9 +157,35 @@ def keywords(text: Column, stop: list[str]) -> Column:
     return F.sort_array(F.array_except(t, F.array(*[F.lit(w) for w in stop])))
 
 
+#: How a question begins that leans on an earlier one, and what must not follow.
+FOLLOWUPS = (
+    ("^(what about|how about|and|also|its|their|the same)", None),
+    ("^(tell me more|more on|expand on|elaborate)", None),
+    ("^(compare|vs|versus)", r"\s+\w+\s+(and|vs|versus)"),
+    ("^(why|when|how)", r"\s+(is|are|does|do)\s+\w+"),
+)
+
+
 def is_followup(text: Column) -> Column:
     """A question that leans on an earlier one."""
-    return F.lower(F.trim(text)).rlike(r"^(and|also|what about|how about|why|tell me more|more)\b")
+    t, out = F.lower(F.trim(text)), F.lit(False)
+    for start, behind in FOLLOWUPS:
+        out = out | t.rlike(start + (f"(?!{behind})" if behind else ""))
+    return out
+
+
+def false_unavailable(text: Column, price: Column) -> Column:
+    """Whether a text calls a price unavailable that is known."""
+    return F.lower(text).rlike("price (is )?(unavailable|not available)") & price.isNotNull() & (price > 0)
+
+
+#: Labels of an analyst's text in the order in which they are looked for.
+ANALYST_LABELS = {"Very Bullish": 0.9, "Bullish": 0.5, "Neutral": 0.0, "Cautious": -0.3, "Bearish": -0.7}
+
+
+def label_sentiment(text: Column, labels: dict[str, float] = ANALYST_LABELS) -> Column:
+    """The sentiment of the first label (in the order of the labels) that a text holds, 0 without one."""
+    return F.coalesce(*[F.when(text.contains(k), F.lit(v)) for k, v in labels.items()], F.lit(0.0))
 
 
 def fact_check(text: Column, year: int) -> Column:

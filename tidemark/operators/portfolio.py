@@ -10,12 +10,16 @@ from tidemark.operators import timeseries as ts
 
 
 def portfolio_values(prices: DataFrame, spine: DataFrame, holdings: DataFrame, initial: float = 100_000.0) -> DataFrame:
-    """(portfolio_id, d, value) on the dates of the spine (d, bench): weighted mean of the normalised prices present."""
+    """(portfolio_id, d, value) on all dates of the spine (d, bench): weighted mean of the normalised prices present; a date on
+    which no holding has a price has the initial value."""
     on_spine = prices.join(spine.select("d"), "d", "left_semi")
     norm = ts.normalize_first(on_spine, "symbol", "d", "close").select("symbol", "d", "norm")
     held = holdings.join(norm, "symbol").groupBy("portfolio_id", "d").agg(
         F.sum(F.col("weight") * F.col("norm")).alias("s"), F.sum("weight").alias("w")
     )
+    # every portfolio has every date: the rows are the result's own, dates are one row a day
+    days = holdings.select("portfolio_id").distinct().join(spine.select(F.collect_set("d").alias("_days"))).select("portfolio_id", F.explode("_days").alias("d"))
+    held = days.join(held, ["portfolio_id", "d"], "left")
     return held.select("portfolio_id", "d", (initial * F.coalesce(F.try_divide("s", "w"), F.lit(1.0))).alias("value"))
 
 
@@ -133,14 +137,41 @@ def exposure_report(holdings: DataFrame, company: DataFrame) -> DataFrame:
     return out.withColumn("warnings", F.array_join(warnings, ",")).drop("heavy")
 
 
-def insider_analysis(trades: DataFrame, strong: int = 3) -> DataFrame:
-    """(symbol, trades, buys, sells, buyers, net_value, signal) from (symbol, insider, kind P/S, role, value)."""
+def industry_exposure(holdings: DataFrame, company: DataFrame, n: int = 10) -> DataFrame:
+    """(portfolio_id, industry, weight, n, rank): the n heaviest industries of each portfolio, default Other."""
+    j = holdings.join(company, "symbol", "left").withColumn("industry", blank_to(F.col("industry"), "Other"))
+    g = j.groupBy("portfolio_id", "industry").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("portfolio_id").orderBy(F.desc("weight"), "industry"))
+    return g.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+def full_analytics(prices: DataFrame, benchmark: DataFrame, holdings: DataFrame, company: DataFrame, initial: float = 100_000.0) -> DataFrame:
+    """Back-test, risk and exposure of each portfolio in one row; risk rests on the returns of the rounded values."""
+    summary, series, _ = backtest(prices, benchmark, holdings, initial)
+    rounded = series.select("portfolio_id", "d", F.round("value", 2).alias("value"))
+    risk_series = ts.drawdown_series(ts.daily_returns(rounded, "portfolio_id", "d", "value"), "portfolio_id", "d", "value")
+    one = benchmark.withColumn("one", F.lit(1))  # the one benchmark series: a row a day
+    bench = ts.daily_returns(one, "one", "d", "bench").select("d", F.col("ret").alias("bret"))
+    risk = risk_report(risk_series, bench).select("portfolio_id", "sortino", "beta", "var95", "risk_score", "risk_label")
+    exposure = exposure_report(holdings, company).select("portfolio_id", "hhi", "score", "sectors", "warnings")
+    return summary.select("portfolio_id", "total_return", "cagr", "volatility", "max_drawdown").join(risk, "portfolio_id").join(exposure, "portfolio_id")
+
+
+def insider_analysis(trades: DataFrame, strong: int = 3, asof: str | None = None, days: int = 90) -> DataFrame:
+    """(symbol, trades, buys, sells, buyers, net_value, signals, sentiment) from (symbol, insider, kind P/S, role, value); with
+    asof only the trades (d) of so many days up to it count."""
+    if asof is not None:
+        end = F.lit(asof).cast("date")
+        trades = trades.where((F.col("d") > F.date_sub(end, days)) & (F.col("d") <= end))
+    if "role" not in trades.columns:
+        trades = trades.withColumn("role", F.lit(None).cast("string"))
     buy, sell = F.col("kind") == "P", F.col("kind") == "S"
     g = trades.groupBy("symbol").agg(
         F.count("*").alias("trades"),
         F.count_if(buy).alias("buys"),
         F.count_if(sell).alias("sells"),
         F.count_distinct(F.when(buy, F.col("insider"))).alias("buyers"),
+        F.count_if(buy & F.col("role").isin("CEO", "CFO")).alias("executive_buys"),
         F.coalesce(F.sum(F.when(sell, F.col("value"))), F.lit(0.0)).alias("sold"),
         F.coalesce(F.sum(F.when(buy, F.col("value")).when(sell, -F.col("value"))), F.lit(0.0)).alias("net_value"),
     )
@@ -149,15 +180,41 @@ def insider_analysis(trades: DataFrame, strong: int = 3) -> DataFrame:
     signals = F.array_compact(
         F.array(
             F.when(cluster, F.when(F.col("buyers") >= strong, "cluster_buy:strong").otherwise("cluster_buy:moderate")),
+            F.when(F.col("executive_buys") > 0, "executive_buying:strong"),
             F.when(selling, F.when(F.col("sells") >= 8, "insider_selling:strong").otherwise("insider_selling:moderate")),
         )
     )
     net = F.when(F.col("buys") > F.col("sells"), "bullish").when(F.col("sells") > F.col("buys"), "bearish").otherwise("neutral")
-    return g.withColumns({"signals": F.array_join(signals, ","), "sentiment": net}).drop("sold")
-
-
-def consensus(rows: DataFrame) -> DataFrame:
-    """Confidence-weighted rating of each symbol from (symbol, rating -1..1, confidence)."""
-    g = rows.groupBy("symbol").agg(F.coalesce(F.try_divide(F.sum(F.col("rating") * F.col("confidence")), F.sum("confidence")), F.lit(0.0)).alias("score"), F.count("*").alias("n"))
+    return g.withColumns({"signals": F.array_join(signals, ","), "sentiment": net}).drop("sold", "executive_buys")
+
+
+def consensus(rows: DataFrame, lists: bool = False) -> DataFrame:
+    """Confidence-weighted rating of each symbol from (symbol, rating -1..1, confidence); with lists also the first two
+    catalysts and risks of each analyst (in order of analyst), five at most."""
+    aggs = [F.coalesce(F.try_divide(F.sum(F.col("rating") * F.col("confidence")), F.sum("confidence")), F.lit(0.0)).alias("score"), F.count("*").alias("n")]
+    if lists:
+        # analysts of a symbol are few; what meets in a row is two texts of each
+        each = lambda c: F.slice(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("analyst", F.slice(c, 1, 2).alias("x")))), lambda s: s["x"])), 1, 5)
+        aggs += [each("catalysts").alias("catalysts"), each("risks").alias("risks")]
+    g = rows.groupBy("symbol").agg(*aggs)
     label = F.when(F.col("score") > 0.3, "bullish").when(F.col("score") < -0.3, "bearish").otherwise("neutral")
     return g.withColumns({"consensus": label, "conviction": (F.abs("score") * 100).cast("int")})
+
+
+def sentiment_analyst(sentiment: DataFrame) -> DataFrame:
+    """An analyst's row for each symbol from (symbol, sentiment): 1 up or down beyond 0.3, confidence 0.6."""
+    x = F.col("sentiment")
+    rating = F.when(x > 0.3, 1.0).when(x < -0.3, -1.0).otherwise(0.0)
+    return sentiment.select("symbol", F.lit("sentiment").alias("analyst"), rating.alias("rating"), F.lit(0.6).alias("confidence"))
+
+
+def swarm_rollup(rows: DataFrame, sentiment: DataFrame) -> DataFrame:
+    """Consensus over the analysts' rows and the rule-based one."""
+    mine = sentiment_analyst(sentiment)
+    return consensus(rows.select("symbol", "analyst", "rating", "confidence").unionByName(mine))
+
+
+def blend_sentiment(rows: DataFrame) -> DataFrame:
+    """(symbol, blended) from (symbol, role, sentiment): financial 0.4, strategic 0.35, tone 0.25; absent roles count 0."""
+    weight = F.when(F.col("role") == "financial", 0.4).when(F.col("role") == "strategic", 0.35).when(F.col("role") == "tone", 0.25).otherwise(0.0)
+    return rows.groupBy("symbol").agg(F.sum(weight * F.col("sentiment")).alias("blended"))

@@ -69,14 +69,15 @@ def align_by_position(left: DataFrame, right: DataFrame, key: str, order: str, n
     return number(left, names[0]).join(number(right, names[1]), [key, "pos"])
 
 
-def resolve_codes(df: DataFrame, query: str = "query", lines: str = "lines") -> DataFrame:
-    """(query, code, name, symbol) from each query's own result lines 'code/name/symbol/..': the first line whose
+def resolve_codes(df: DataFrame, query: str = "query", lines: str = "lines", key: str | None = None) -> DataFrame:
+    """(key, code, name, symbol), the key being the query if none is named, from each query's own result lines 'code/name/symbol/..': the first line whose
     symbol equals the query or holds it, else the first with three parts."""
-    each = df.select(query, F.posexplode(lines).alias("pos", "line")).withColumn("p", F.split("line", "/")).where(F.size("p") >= 3)
+    key = key or query
+    each = df.select(*{key, query}, F.posexplode(lines).alias("pos", "line")).withColumn("p", F.split("line", "/")).where(F.size("p") >= 3)
     symbol = F.upper(F.trim(F.col("p")[2]))
     hit = symbol.contains(F.upper(F.col(query))).cast("int")
-    first = each.withColumn("_r", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(hit), "pos"))).where("_r = 1")
-    return first.select(query, F.trim(F.col("p")[0]).alias("code"), F.trim(F.col("p")[1]).alias("name"), symbol.alias("symbol"))
+    first = each.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(hit), "pos"))).where("_r = 1")
+    return first.select(key, F.trim(F.col("p")[0]).alias("code"), F.trim(F.col("p")[1]).alias("name"), symbol.alias("symbol"))
 
 
 def market_sentiment(news: DataFrame, key: str, order: list[Column], score: str, headline: str, n: int = 5) -> DataFrame:
@@ -139,29 +140,6 @@ def user_profiles(log: DataFrame, user: str, ts: str, kind: str, kinds: list[str
     return g.withColumns({"active_hours": F.slice("_h", -F.least(F.lit(hours), F.size("_h")), hours), "engagement": level}).drop("_h")
 
 
-def tree_search(trees: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, doc_id, section, score, rank): nodes of section trees by query terms: 2 for each in the title, 0.5 for
-    each in the summary. Terms are joined, so that nodes and queries never all meet."""
-    from tidemark.operators.retrieval import terms
-
-    nodes = trees.select("doc_id", F.explode("nodes").alias("n")).select("doc_id", "n.section", "n.summary", "n.start")
-    weigh = lambda c, w: nodes.select("doc_id", "section", "start", F.explode(F.array_distinct(terms(F.col(c)))).alias("term"), F.lit(w).alias("w"))
-    q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    s = weigh("section", 2.0).unionByName(weigh("summary", 0.5)).join(small(q), "term").groupBy("query_id", "doc_id", "section", "start").agg(F.sum("w").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "start"))
-    return s.withColumn("rank", rank).where(F.col("rank") <= k).drop("start")
-
-
-def rollup_texts(chunks: DataFrame, least: int = 2, most: int = 2000) -> DataFrame:
-    """(doc_id, section, level, n, text): level 1 joins the chunks of each section of at least two, level 2 the sections
-    of each document. A document's own chunks meet in one group, no more."""
-    head = F.concat(F.lit("[Chunk "), F.col("chunk_index"), F.lit("] "), F.left("chunk_text", F.lit(most)))
-    lines = lambda items: F.array_join(F.transform(F.sort_array(F.collect_list(items)), lambda s: s["t"]), "\n\n")
-    one = chunks.groupBy("doc_id", "section").agg(F.count("*").alias("n"), lines(F.struct("chunk_index", head.alias("t"))).alias("text")).where(F.col("n") >= least)
-    two = one.groupBy("doc_id").agg(F.sum("n").alias("n"), lines(F.struct("section", F.col("text").alias("t"))).alias("text"))
-    return one.withColumn("level", F.lit(1)).unionByName(two.withColumns({"level": F.lit(2), "section": F.lit("document")}))
-
-
 def rerank(hits: DataFrame, query: str, text: str, scorer=None, most: int = 512) -> DataFrame:
     """Hits in the order of a scorer of (query, start of text), by default the share of the query's terms it holds."""
     from tidemark.operators.retrieval import terms

@@ -152,3 +152,14 @@ def period_growth(df: DataFrame, key: str, order: list[str], values: list[str])
         before = F.lag(v).over(w)
         out = out.withColumn(f"{v}_growth", F.when(before.isNull(), None).when(before > 0, (F.col(v) / before - 1) * 100).otherwise(F.lit(0.0)))
     return latest_n(out, [key], [F.desc(c) for c in order])
+
+
+def assign_positions(signups: DataFrame, stored: DataFrame, at: str, first: int = 77) -> DataFrame:
+    """(email, market, position) of new signups (email, market, at): the first of each lower-case trimmed email and market
+    counts, positions follow the largest stored one (market, position) and start at `first`."""
+    email = F.lower(F.trim("email"))
+    new = signups.groupBy(email.alias("email"), "market").agg(F.min(at).alias("_at"))
+    top = stored.groupBy("market").agg(F.max("position").alias("_top"))
+    number = F.row_number().over(Window.partitionBy("market").orderBy("_at", "email"))
+    out = new.join(top, "market", "left").withColumn("position", (F.greatest(F.coalesce("_top", F.lit(0)), F.lit(first - 1)) + number).cast("int"))
+    return out.select("email", "market", "position")

@@ -72,7 +72,8 @@ HOLD = """hold AS (SELECT c_nationkey AS portfolio_id, c_mktsegment AS symbol,
   count(*) * 100.0::double / sum(count(*)) OVER (PARTITION BY c_nationkey) AS weight FROM customer GROUP BY c_nationkey, c_mktsegment)"""
 VALUES = f"""{PRICES}, {BENCH}, {HOLD},
 norm AS (SELECT symbol, d, close / first_value(close) OVER (PARTITION BY symbol ORDER BY d) AS norm FROM prices SEMI JOIN bench USING (d)),
-val AS (SELECT portfolio_id, d, 100000.0::double * sum(weight * norm) / sum(weight) AS value FROM hold JOIN norm USING (symbol) GROUP BY ALL),
+held AS (SELECT portfolio_id, d, sum(weight * norm) / sum(weight) AS x FROM hold JOIN norm USING (symbol) GROUP BY ALL),
+val AS (SELECT portfolio_id, d, 100000.0::double * coalesce(x, 1) AS value FROM (SELECT DISTINCT portfolio_id FROM hold) CROSS JOIN bench LEFT JOIN held USING (portfolio_id, d)),
 ret AS (SELECT *, value / lag(value) OVER w - 1 AS ret, max(value) OVER w AS peak FROM val
   WINDOW w AS (PARTITION BY portfolio_id ORDER BY d)),
 dd AS (SELECT *, (peak - value) / peak * 100 AS drawdown, max((peak - value) / peak * 100) OVER (PARTITION BY portfolio_id ORDER BY d) AS max_drawdown FROM ret)"""
@@ -135,16 +136,23 @@ def a9_value_at_risk(spark, d):
     return v.select("portfolio_id", *[r(c).alias(c) for c in ("var95", "var99", "cvar95")])
 
 
-@query(f"""WITH {VALUES}, br AS (SELECT d, bench / lag(bench) OVER (ORDER BY d) - 1 AS bret FROM bench)
-SELECT portfolio_id, round(covar_samp(ret, bret) / var_samp(bret), 6) AS beta, round(corr(ret, bret), 6) AS correlation,
-  round((avg(ret) * 252 - (0.05 + covar_samp(ret, bret) / var_samp(bret) * (avg(bret) * 252 - 0.05))) * 100, 4) AS alpha,
-  round(stddev_samp(ret) * sqrt(252) * 100, 6) AS volatility, round(stddev_samp(ret) * sqrt(21) * 100, 6) AS monthly_volatility
-FROM ret JOIN br USING (d) WHERE ret IS NOT NULL GROUP BY 1""")
+@query(f"""WITH {VALUES}, br AS (SELECT d, bench / lag(bench) OVER (ORDER BY d) - 1 AS bret FROM bench),
+j AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY ret) - 1 AS k, count(*) OVER (PARTITION BY portfolio_id) AS nn FROM dd WHERE ret IS NOT NULL) LEFT JOIN br USING (d)),
+g AS (SELECT portfolio_id, count(*) AS n, avg(ret) AS m, stddev_samp(ret) AS sd, coalesce(stddev_samp(CASE WHEN ret < 0 THEN ret END), 0) AS dsd, count(*) FILTER (ret < 0) AS neg,
+  covar_samp(ret, bret) / var_samp(bret) AS beta, corr(ret, bret) AS rho, avg(bret) AS mb, max(max_drawdown) AS mdd, abs(max(CASE WHEN k = floor(nn * 0.05) THEN ret END)) * 100 AS v95,
+  abs(max(CASE WHEN k = floor(nn * 0.01) THEN ret END)) * 100 AS v99, abs(avg(CASE WHEN k < floor(nn * 0.05) THEN ret END)) * 100 AS below FROM j GROUP BY 1),
+x AS (SELECT *, sd * sqrt(252) * 100 AS vol, (m * 252 - 0.05) / (sd * sqrt(252)) AS sharpe FROM g),
+y AS (SELECT *, greatest(1, least(10, round_even(0.3 * least(vol / 5, 10) + 0.3 * least(mdd / 10, 10) + 0.2 * least(beta * 5, 10) + 0.2 * least(v95 / 0.5, 10), 0)::int)) AS risk FROM x)
+SELECT portfolio_id, n, round(beta, 6) AS beta, round(rho, 6) AS correlation, round((m * 252 - (0.05 + beta * (mb * 252 - 0.05))) * 100, 4) AS alpha, round(vol, 6) AS volatility,
+  round(sd * sqrt(21) * 100, 6) AS monthly_volatility, round(sharpe, 6) AS sharpe, round(CASE WHEN neg = 0 THEN sharpe * 1.5 ELSE coalesce((m * 252 - 0.05) / nullif(dsd * sqrt(252), 0), 0) END, 6) AS sortino,
+  round(mdd, 6) AS max_drawdown, round(v95, 6) AS var95, round(v99, 6) AS var99, round(coalesce(below, v95), 6) AS cvar95, risk AS risk_score,
+  CASE WHEN risk <= 3 THEN 'Low' WHEN risk <= 5 THEN 'Moderate' WHEN risk <= 7 THEN 'High' ELSE 'Very High' END AS risk_label FROM y""")
 def c2_risk_report(spark, d):
     b = benchmark(spark, d).withColumn("one", F.lit(1))
     bench = ts.daily_returns(b, "one", "d", "bench").select("d", F.col("ret").alias("bret"))
     x = pf.risk_report(series(spark, d), bench)
-    return x.select("portfolio_id", r("beta").alias("beta"), r("correlation").alias("correlation"), r("alpha", 4).alias("alpha"), r("volatility").alias("volatility"), r("monthly_volatility").alias("monthly_volatility"))
+    six = ("beta", "correlation", "volatility", "monthly_volatility", "sharpe", "sortino", "max_drawdown", "var95", "var99", "cvar95")
+    return x.select("portfolio_id", "n", *[r(c).alias(c) for c in six], r("alpha", 4).alias("alpha"), "risk_score", "risk_label")
 
 
 @query(f"""WITH {HOLD}, m(symbol, sector) AS (VALUES ('AUTOMOBILE', 'Industry'), ('MACHINERY', 'Industry'), ('BUILDING', 'Industry'), ('HOUSEHOLD', 'Consumer'))
@@ -174,12 +182,17 @@ def w7_w8_average_and_rsi(spark, d):
     return p.select("symbol", "d", r(ts.moving_average("symbol", "d", "close", 12), 4).alias("ma_12"), r("rsi").alias("rsi"))
 
 
-@query(f"""WITH {PRICES}, x AS (SELECT *, max(close) OVER w AS high, min(close) OVER w AS low, row_number() OVER (PARTITION BY symbol ORDER BY d DESC) AS k, count(*) OVER (PARTITION BY symbol) AS n
-  FROM prices WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS 251 PRECEDING))
-SELECT symbol, d, round(close, 4) AS close, round(high, 4) AS high, round(low, 4) AS low, round((close - high) / high * 100, 6) AS from_high, round((close - low) / (high - low) * 100, 6) AS position FROM x WHERE k = 1 AND n >= 50""")
+@query(f"""WITH {PRICES}, c AS (SELECT *, coalesce(close - lag(close) OVER (PARTITION BY symbol ORDER BY d), 0) AS ch FROM prices),
+x AS (SELECT *, max(close) OVER w AS high, min(close) OVER w AS low, row_number() OVER (PARTITION BY symbol ORDER BY d DESC) AS k, count(*) OVER (PARTITION BY symbol) AS n,
+  avg(close) OVER a AS d50, count(*) OVER b AS n200, avg(close) OVER b AS d200, avg(greatest(ch, 0)) OVER s AS up, avg(greatest(-ch, 0)) OVER s AS dn
+  FROM c WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS 251 PRECEDING), a AS (PARTITION BY symbol ORDER BY d ROWS 49 PRECEDING), b AS (PARTITION BY symbol ORDER BY d ROWS 199 PRECEDING), s AS (PARTITION BY symbol ORDER BY d ROWS 13 PRECEDING)),
+y AS (SELECT *, CASE WHEN up = 0 AND dn = 0 THEN NULL WHEN dn = 0 THEN 100 ELSE 100 - 100 / (1 + up / dn) END AS rsi, close > d50 AS a50, coalesce(n200 = 200 AND close > d200, false) AS a200 FROM x WHERE k = 1 AND n >= 50)
+SELECT symbol, d, round(close, 4) AS close, round(high, 4) AS high, round(low, 4) AS low, round((close - high) / high * 100, 6) AS from_high, round((close - low) / (high - low) * 100, 6) AS position,
+  round(d50, 4) AS dma_50, round(CASE WHEN n200 = 200 THEN d200 END, 4) AS dma_200, round(rsi, 6) AS rsi,
+  CASE WHEN a50 AND a200 AND rsi > 50 THEN 'Strong Uptrend' WHEN a50 AND a200 THEN 'Uptrend' WHEN NOT a50 AND NOT a200 AND rsi < 50 THEN 'Strong Downtrend' WHEN NOT a50 AND NOT a200 THEN 'Downtrend' ELSE 'Sideways' END AS trend FROM y""")
 def c7_technical_snapshot(spark, d):
     s = ts.technical_snapshot(prices(spark, d), "symbol", "d", "close")
-    return s.select("symbol", "d", *[r(c, 4).alias(c) for c in ("close", "high", "low")], r("from_high").alias("from_high"), r("position").alias("position"))
+    return s.select("symbol", "d", *[r(c, 4).alias(c) for c in ("close", "high", "low", "dma_50", "dma_200")], *[r(c).alias(c) for c in ("from_high", "position", "rsi")], "trend")
 
 
 @query(f"""WITH {PRICES}, g AS (SELECT symbol, arg_min(close, d) AS f, arg_max(close, d) AS l, date_diff('day', min(d), max(d)) AS days FROM prices GROUP BY 1)
@@ -262,43 +275,88 @@ def a5_corpus_estimate(spark, d):
 
 
 def _upsert(spark, d):
+    """Closed orders are stored; the batch has the open ones and those in both, urgent ones twice (seq)."""
     o = table(spark, d, "orders")
-    cols = ["o_orderkey", "o_orderstatus", "o_totalprice"]
-    old = o.where("o_orderkey % 3 <> 0").select(*cols)
-    new = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderstatus")).alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
-    return old, new
+    old = o.where("o_orderstatus <> 'O'").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    new = o.where("o_orderstatus <> 'F'")
+    status = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderstatus"))
+    one = new.select("o_orderkey", status.alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit(1).alias("seq"))
+    two = new.where("o_orderpriority LIKE '1%'").select("o_orderkey", F.lit(None).cast("string").alias("o_orderstatus"), (F.col("o_totalprice") + 2).alias("o_totalprice"), F.lit(2).alias("seq"))
+    return old, one.unionByName(two)
 
 
-UPSERT = """old AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0),
-new AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus END AS o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0)"""
+UPSERT = """old AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'O'),
+batch AS (SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderstatus END AS o_orderstatus, o_totalprice + 1 AS o_totalprice, 1 AS seq FROM orders WHERE o_orderstatus <> 'F'
+  UNION ALL SELECT o_orderkey, NULL, o_totalprice + 2, 2 FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority LIKE '1%'),
+new AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY seq DESC) AS k FROM batch) WHERE k = 1),
+early AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM batch WHERE seq = 1)"""
 
 
 @query(f"WITH {UPSERT} SELECT * FROM new UNION ALL SELECT * FROM old ANTI JOIN new USING (o_orderkey)")
 def m1_replace(spark, d):
-    return mg.merge_into(*_upsert(spark, d), ["o_orderkey"], "replace")
+    return mg.merge_into(*_upsert(spark, d), ["o_orderkey"], "replace", seq="seq")
 
 
-@query(f"WITH {UPSERT} SELECT o_orderkey, coalesce(new.o_orderstatus, old.o_orderstatus) AS o_orderstatus, coalesce(new.o_totalprice, old.o_totalprice) AS o_totalprice FROM old FULL JOIN new USING (o_orderkey)")
+@query(f"""WITH {UPSERT} SELECT o_orderkey, coalesce(early.o_orderstatus, old.o_orderstatus) AS o_orderstatus, coalesce(new.o_totalprice, old.o_totalprice) AS o_totalprice
+FROM old FULL JOIN new USING (o_orderkey) LEFT JOIN early USING (o_orderkey)""")
 def m2_coalesce(spark, d):
-    return mg.merge_into(*_upsert(spark, d), ["o_orderkey"], "coalesce")
+    return mg.merge_into(*_upsert(spark, d), ["o_orderkey"], "coalesce", seq="seq")
 
 
-@query(f"WITH {UPSERT} SELECT * FROM old UNION ALL SELECT * FROM new ANTI JOIN old USING (o_orderkey)")
+@query(f"WITH {UPSERT} SELECT * FROM old UNION ALL SELECT * FROM early ANTI JOIN old USING (o_orderkey)")
 def m3_insert(spark, d):
-    return mg.merge_into(*_upsert(spark, d), ["o_orderkey"], "insert")
+    return mg.merge_into(*_upsert(spark, d), ["o_orderkey"], "insert", seq="seq")
 
 
-@query("""WITH t AS (SELECT 'u' || (user_id % 20) AS symbol, user_id, event_type, value FROM events WHERE event_type IN ('purchase', 'error')),
+@query(f"""WITH {UPSERT}, blank AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'None' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM old)
+SELECT o_orderkey, CASE WHEN b.o_orderkey IS NULL OR (n.o_orderkey IS NOT NULL AND b.o_orderstatus = 'None') THEN n.o_orderstatus ELSE b.o_orderstatus END AS o_orderstatus,
+  CASE WHEN b.o_orderkey IS NULL THEN n.o_totalprice ELSE b.o_totalprice END AS o_totalprice FROM blank b FULL JOIN new n USING (o_orderkey)""")
+def m4_fill(spark, d):
+    old, new = _upsert(spark, d)
+    blank = old.withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "P", "None").otherwise(F.col("o_orderstatus")))
+    return mg.merge_into(blank, new, ["o_orderkey"], "fill", seq="seq")
+
+
+@query(f"""WITH {UPSERT} SELECT o_orderkey, CASE WHEN old.o_orderkey IS NULL THEN new.o_orderstatus ELSE old.o_orderstatus END AS o_orderstatus, coalesce(new.o_totalprice, old.o_totalprice) AS o_totalprice
+FROM old FULL JOIN new USING (o_orderkey)""")
+def m5_columns(spark, d):
+    return mg.merge_into(*_upsert(spark, d), ["o_orderkey"], "columns", columns=["o_totalprice"], seq="seq")
+
+
+@query("""WITH v AS (SELECT p_partkey, CASE WHEN length(p_name) > 12 THEN 'client_name' END AS a, CASE WHEN length(p_type) > 7 THEN 'buy_sell' END AS b FROM part)
+SELECT p_partkey, concat_ws(',', a, b) AS reasons FROM v WHERE a IS NOT NULL OR b IS NOT NULL""")
+def m6_append_rejects(spark, d):
+    p = table(spark, d, "part")
+    _, rejects = mg.append_valid(p.limit(0), p, {"client_name": F.length("p_name") <= 12, "buy_sell": F.length("p_type") <= 7})
+    return rejects.select("p_partkey", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""SELECT o_orderkey, o_orderdate::date AS day FROM orders WHERE o_orderpriority <> '5-LOW'""")
+def m7_skip_undated(spark, d):
+    o = table(spark, d, "orders")
+    text = F.when(F.col("o_orderpriority") != "5-LOW", F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise("n/a")
+    return mg.with_key_date(o.select("o_orderkey", sc.parse_date(text).alias("day")), "day")
+
+
+@query("""SELECT c_custkey AS id, c_name AS name, NULL::double AS balance FROM customer UNION ALL SELECT s_suppkey, NULL, s_acctbal FROM supplier""")
+def m8_evolve(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return mg.evolve(a, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")))
+
+
+@query("""WITH t AS (SELECT 'u' || (user_id % 20) AS symbol, user_id, event_type, value, user_id % 7 = 0 AS exec FROM events
+  WHERE event_type IN ('purchase', 'error') AND ts::date > DATE '2024-01-30' - 20 AND ts::date <= DATE '2024-01-30'),
 g AS (SELECT symbol, count(*) AS trades, count(*) FILTER (event_type = 'purchase') AS buys, count(*) FILTER (event_type = 'error') AS sells,
-  count(DISTINCT CASE WHEN event_type = 'purchase' THEN user_id END) AS buyers, sum(CASE WHEN event_type = 'purchase' THEN value ELSE -value END) AS net,
-  coalesce(sum(value) FILTER (event_type = 'error'), 0) AS sold FROM t GROUP BY 1)
+  count(*) FILTER (event_type = 'purchase' AND exec) AS ex, count(DISTINCT CASE WHEN event_type = 'purchase' THEN user_id END) AS buyers,
+  sum(CASE WHEN event_type = 'purchase' THEN value ELSE -value END) AS net, coalesce(sum(value) FILTER (event_type = 'error'), 0) AS sold FROM t GROUP BY 1)
 SELECT symbol, trades, buys, sells, buyers, round(net, 4) AS net_value, concat_ws(',', CASE WHEN buys >= 3 AND buyers >= 2 THEN CASE WHEN buyers >= 3 THEN 'cluster_buy:strong' ELSE 'cluster_buy:moderate' END END,
-  CASE WHEN sells >= 5 OR sold > 1e7 THEN CASE WHEN sells >= 8 THEN 'insider_selling:strong' ELSE 'insider_selling:moderate' END END) AS signals,
+  CASE WHEN ex > 0 THEN 'executive_buying:strong' END, CASE WHEN sells >= 5 OR sold > 1e7 THEN CASE WHEN sells >= 8 THEN 'insider_selling:strong' ELSE 'insider_selling:moderate' END END) AS signals,
   CASE WHEN buys > sells THEN 'bullish' WHEN sells > buys THEN 'bearish' ELSE 'neutral' END AS sentiment FROM g""")
 def c5_insider_analysis(spark, d):
     e = table(spark, d, "events").where(F.col("event_type").isin("purchase", "error"))
-    t = e.select(F.concat(F.lit("u"), F.col("user_id") % 20).alias("symbol"), F.col("user_id").alias("insider"), F.when(F.col("event_type") == "purchase", "P").otherwise("S").alias("kind"), "value")
-    return pf.insider_analysis(t).withColumn("net_value", r("net_value", 4))
+    title = F.when(F.col("user_id") % 7 == 0, "Chief Financial Officer").otherwise("Engineer")
+    t = e.select(F.concat(F.lit("u"), F.col("user_id") % 20).alias("symbol"), F.col("user_id").alias("insider"), F.when(F.col("event_type") == "purchase", "P").otherwise("S").alias("kind"), "value", sc.insider_role(title, "reference").alias("role"), F.col("ts").cast("date").alias("d"))
+    return pf.insider_analysis(t, asof="2024-01-30", days=20).withColumn("net_value", r("net_value", 4))
 
 
 GOOD, BAD = ["the ", "und ", "que "], ["des ", "los ", "with "]
@@ -322,12 +380,39 @@ def n13_recent_context(spark, d):
     return c.where(F.size("c") > 0).select("conv_id", "turn", F.array_join("c", " | ").alias("context"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(compare|comparison|versus|vs)\\b') THEN 'comparison' WHEN regexp_matches(lower(text), '\\b(better|best|which one)\\b') THEN 'preference'
-  WHEN regexp_matches(lower(text), '\\b(difference|differ)\\b') THEN 'difference' WHEN contains(lower(text), ' and ') AND regexp_matches(lower(text), '\\b(stock|share|price|revenue|profit|margin)') THEN 'pair' ELSE 'none' END AS intent FROM conversations""")
+def families_sql(families: dict[str, list[str]], column: str = "lower(text)") -> str:
+    """The first family with a word in a text."""
+    cases = [f"WHEN {' OR '.join(f"contains({column}, '{w}')" for w in words)} THEN '{name}'" for name, words in families.items()]
+    return f"CASE {' '.join(cases)} END"
+
+
+def any_sql(words: list[str], column: str = "lower(text)") -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+@query(f"""SELECT conv_id, turn, coalesce({families_sql(sg.COMPARISON)}, CASE WHEN contains(lower(text), ' and ') AND {any_sql(sg.PAIR_WORDS)} THEN 'and_pattern' END) AS intent FROM conversations""")
 def n9_comparison_intent(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", sg.comparison_intent(F.col("text")).alias("intent"))
 
 
+@query(f"""SELECT conv_id, turn, {families_sql(sg.ANALYSIS)} AS intent FROM conversations""")
+def n10_analysis_intent(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", sg.analysis_intent(F.col("text")).alias("intent"))
+
+
+@query(f"""SELECT conv_id, turn, concat_ws('|', 'PE of ' || s || ' against its five-year average?', CASE WHEN {any_sql(sg.VALUE_WORDS)} THEN 'PE of ' || s || ' against its sector, and why?' END,
+  CASE WHEN {any_sql(sg.ACTION_WORDS)} THEN 'Outlook and guidance of ' || s || ' in the last call?|Main risks of ' || s || '?' END, 'Recent news and catalysts of ' || s || '?') AS questions
+FROM (SELECT *, 'C' || conv_id AS s FROM conversations)""")
+def n11_decompose_query(spark, d):
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.array_join(sg.decompose_query(F.col("text"), F.concat(F.lit("C"), "conv_id")), "|").alias("questions"))
+
+
+@query("SELECT conv_id, turn, " + ", ".join(f"CASE WHEN {any_sql(w)} THEN {hi}::double ELSE {lo}::double END AS {n}" for n, (w, hi, lo) in sg.RELEVANCE.items()) + " FROM conversations")
+def n15_source_relevance(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", *[sg.source_relevance(F.col("text"), n).alias(n) for n in sg.RELEVANCE])
+
+
 @query("""SELECT p_partkey, round((s - p_retailprice) / s * 100, 6) AS discount, CASE WHEN (s - p_retailprice) / s * 100 > 10 THEN 'Undervalued' WHEN (s - p_retailprice) / s * 100 < -10 THEN 'Premium' ELSE 'Fair' END AS status
 FROM (SELECT *, avg(p_retailprice) OVER (PARTITION BY p_type) AS s FROM part)""")
 def f16_valuation_status(spark, d):
@@ -414,10 +499,16 @@ def x1_sentiment_alerts(spark, d):
     return a.select("symbol", F.col("ts.event_id").alias("event_id"), r("previous").alias("previous"), r("sentiment").alias("sentiment"), "kind", "severity")
 
 
-@query("""SELECT c_nationkey AS market, c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 76)::int AS position FROM customer""")
+@query("""WITH s AS (SELECT o_custkey % 997 AS person, c_nationkey AS market, min(o_orderkey) AS first FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+k AS (SELECT market, 70 + market AS stored FROM (SELECT DISTINCT c_nationkey AS market FROM customer))
+SELECT 'p' || person || '@x.test' AS email, market, (greatest(stored, 76) + row_number() OVER (PARTITION BY market ORDER BY first))::int AS position FROM s JOIN k USING (market)""")
 def w21_assign_positions(spark, d):
-    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    return table(spark, d, "customer").select(F.col("c_nationkey").alias("market"), "c_custkey", (F.row_number().over(w) + 76).alias("position"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("market"))
+    name = F.concat(F.lit("p"), F.col("o_custkey") % 997, F.lit("@x.test"))
+    email = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit(" "), F.upper(name))).otherwise(name)
+    signups = table(spark, d, "orders").join(c, "o_custkey").select(email.alias("email"), "market", F.col("o_orderkey").alias("at"))
+    stored = c.select("market").distinct().select("market", (F.col("market") + 70).alias("position"))
+    return ts.assign_positions(signups, stored, "at")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F'")
@@ -431,11 +522,15 @@ def p10_validate(spark, d):
     return v.select("s_suppkey", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("""SELECT symbol, round(sum(rating * confidence) / sum(confidence), 6) AS score, count(*) AS n, CASE WHEN sum(rating * confidence) / sum(confidence) > 0.3 THEN 'bullish' WHEN sum(rating * confidence) / sum(confidence) < -0.3 THEN 'bearish' ELSE 'neutral' END AS consensus
-FROM (SELECT event_type AS symbol, sin(event_id) AS rating, 0.1 + (user_id % 9) / 10.0 AS confidence FROM events) GROUP BY 1""")
+@query("""WITH a AS (SELECT event_type AS symbol, user_id % 50 AS analyst, avg(sin(event_id)) AS rating, avg(0.1 + (user_id % 9) / 10.0) AS confidence FROM events GROUP BY ALL),
+s AS (SELECT symbol, sum(rating * confidence) / sum(confidence) AS x, count(*) AS n FROM a GROUP BY 1),
+c AS (SELECT symbol, string_agg(t, ',' ORDER BY analyst, i) AS catalysts FROM (SELECT symbol, analyst, i, 'c' || analyst || '-' || i AS t, row_number() OVER (PARTITION BY symbol ORDER BY analyst, i) AS k FROM a, (VALUES (1), (2)) v(i)) WHERE k <= 5 GROUP BY 1)
+SELECT symbol, round(x, 6) AS score, n, CASE WHEN x > 0.3 THEN 'bullish' WHEN x < -0.3 THEN 'bearish' ELSE 'neutral' END AS consensus, trunc(abs(x) * 100)::int AS conviction, catalysts FROM s JOIN c USING (symbol)""")
 def a12_consensus(spark, d):
-    e = table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.sin(F.col("event_id").cast("double")).alias("rating"), (0.1 + F.col("user_id") % 9 / 10.0).alias("confidence"))
-    return pf.consensus(e).select("symbol", r("score").alias("score"), "n", "consensus")
+    e = table(spark, d, "events").groupBy(F.col("event_type").alias("symbol"), (F.col("user_id") % 50).alias("analyst")).agg(F.avg(F.sin(F.col("event_id").cast("double"))).alias("rating"), F.avg(0.1 + F.col("user_id") % 9 / 10.0).alias("confidence"))
+    texts = lambda p: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat(F.lit(p), F.col("analyst"), F.lit("-"), i))
+    c = pf.consensus(e.withColumns({"catalysts": texts("c"), "risks": texts("r")}), lists=True)
+    return c.select("symbol", r("score").alias("score"), "n", "consensus", "conviction", F.array_join("catalysts", ",").alias("catalysts"))
 
 
 from tidemark import registry_filings  # noqa: E402, F401  (adds its queries to the tables above)

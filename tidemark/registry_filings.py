@@ -37,9 +37,9 @@ def p6_since(spark, d):
     return sn.since(table(spark, d, "orders").withColumn("day", F.col("o_orderdate").cast("date")), "day", "1998-01-01", years=2).select("o_orderkey")
 
 
-@query("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice >= 1000 ORDER BY p_retailprice DESC, p_partkey LIMIT 10")
+@query("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice >= 950 ORDER BY p_retailprice DESC, p_partkey LIMIT 10")
 def p12_top_opportunities(spark, d):
-    return sn.top_opportunities(table(spark, d, "part"), "p_retailprice", "p_partkey", 1000.0).select("p_partkey", "p_retailprice")
+    return sn.top_opportunities(table(spark, d, "part"), "p_retailprice", "p_partkey", 950.0).select("p_partkey", "p_retailprice")
 
 
 @query("""WITH a AS (SELECT source, count(*) AS n_a FROM documents GROUP BY 1), b AS (SELECT source, count(*) AS n_b FROM labels JOIN documents USING (doc_id) GROUP BY 1)
@@ -49,14 +49,16 @@ def p13_fully_covered(spark, d):
     return sn.fully_covered(docs, docs.join(table(spark, d, "labels").select("doc_id"), "doc_id"), "source")
 
 
-@query("""SELECT r_name AS query, arg_min(n_nationkey, n_nationkey)::varchar AS code, arg_min(n_name, n_nationkey) AS name, upper(arg_min(n_name, n_nationkey)) AS symbol
-FROM region JOIN nation ON n_regionkey = r_regionkey WHERE NOT EXISTS (SELECT 1 FROM nation m WHERE m.n_regionkey = r_regionkey AND contains(upper(m.n_name), upper(r_name))) GROUP BY 1
-UNION ALL SELECT r_name, arg_min(n_nationkey, n_nationkey)::varchar, arg_min(n_name, n_nationkey), upper(arg_min(n_name, n_nationkey))
-FROM region JOIN nation ON n_regionkey = r_regionkey AND contains(upper(n_name), upper(r_name)) GROUP BY 1""")
+@query("""WITH l AS (SELECT o_custkey, o_orderkey, upper(o_orderpriority) AS symbol FROM orders), q AS (SELECT c_custkey, upper(left(c_mktsegment, 1)) AS q FROM customer),
+k AS (SELECT c_custkey, o_orderkey, symbol, row_number() OVER (PARTITION BY c_custkey ORDER BY contains(symbol, q)::int DESC, o_orderkey) AS k FROM q JOIN l ON o_custkey = c_custkey)
+SELECT c_custkey::varchar AS query, o_orderkey::varchar AS code, symbol FROM k WHERE k = 1""")
 def j7_resolve_codes(spark, d):
-    line = F.concat_ws("/", F.col("n_nationkey").cast("string"), "n_name", "n_name", F.lit("A"))
-    n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", line.alias("t")))), lambda s: s["t"]).alias("lines"))
-    return sn.resolve_codes(table(spark, d, "region").join(n, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("query"), "lines"))
+    """Each customer looks for a code among the lines of own orders."""
+    line = F.concat_ws("/", F.col("o_orderkey").cast("string"), F.lit("order"), "o_orderpriority", F.lit("A"))
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("t")))), lambda s: s["t"]).alias("lines"))
+    c = table(spark, d, "customer").join(o, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", F.left("c_mktsegment", F.lit(1)).alias("query"), "lines")
+    found = sn.resolve_codes(c.select("query", "lines", "c_custkey"), key="c_custkey")
+    return found.select(F.col("c_custkey").cast("string").alias("query"), "code", "symbol")
 
 
 @query("""SELECT c_custkey, round(coalesce(spent, 0), 2) AS score FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS spent FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey""")
@@ -174,7 +176,12 @@ def u3_keywords(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(sg.keywords(F.col("text"), STOP), ",").alias("keywords"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, text, regexp_matches(lower(trim(text)), '^(and|also|what about|how about|why|tell me more|more)\\b') AS followup,
+_STARTS = " OR ".join(
+    f"(regexp_matches(lower(trim(text)), '{start}')" + (f" AND NOT regexp_matches(lower(trim(text)), '{start}{behind}')" if behind else "") + ")" for start, behind in sg.FOLLOWUPS
+)
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, text, {_STARTS} AS followup,
   CASE WHEN role = 'user' THEN nullif(regexp_extract(text, '\\b(The[a-z]*)\\b', 1), '') END AS topic FROM conversations)
 SELECT conv_id, turn, followup, topic, last_value(topic IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM t""")
 def n12_followups(spark, d):
@@ -191,27 +198,16 @@ def n3_headline_class(spark, d):
     return h.select("doc_id", "h.label", r("h.score").alias("score"), "h.good", "h.bad")
 
 
-@query("""WITH c AS (SELECT doc_id, source, doc_id // 6 AS call, CASE doc_id % 3 WHEN 0 THEN 'transcript' WHEN 1 THEN 'ai_summary' ELSE 'ppt' END AS kind FROM documents WHERE doc_id % 4 <> 0),
+@query("""WITH c AS (SELECT doc_id, source, doc_id // 6 AS call, CASE lang WHEN 'en' THEN 'transcript' WHEN 'de' THEN 'ai_summary' ELSE 'ppt' END AS kind FROM documents),
 t AS (SELECT *, count(*) FILTER (kind = 'transcript') OVER (PARTITION BY source, call) AS n FROM c)
 SELECT doc_id, source, call, kind FROM t WHERE kind IN ('transcript', 'ppt') OR (kind = 'ai_summary' AND n = 0)""")
 def r16_select_call_docs(spark, d):
-    """Documents stand for calls: three kinds in turn, every fourth one missing."""
-    kind = F.when(F.col("doc_id") % 3 == 0, "transcript").when(F.col("doc_id") % 3 == 1, "ai_summary").otherwise("ppt")
-    c = table(spark, d, "documents").where("doc_id % 4 <> 0").select("doc_id", "source", F.floor(F.col("doc_id") / 6).alias("call"), kind.alias("kind"))
+    """Documents stand for calls, their language for the kind."""
+    kind = F.when(F.col("lang") == "en", "transcript").when(F.col("lang") == "de", "ai_summary").otherwise("ppt")
+    c = table(spark, d, "documents").select("doc_id", "source", F.floor(F.col("doc_id") / 6).alias("call"), kind.alias("kind"))
     return sn.select_call_docs(c, ["source", "call"])
 
 
-@query()
-def r7_tree_search(spark, d):
-    trees = rt.section_tree(rt.chunk_documents(table(spark, d, "documents").repartition("doc_id")))
-    return sn.tree_search(trees, table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
-
-
-@query()
-def r8_rollups(spark, d):
-    return sn.rollup_texts(rt.chunk_documents(table(spark, d, "documents").repartition("doc_id")))
-
-
 @query("""WITH a AS (SELECT event_id, 'u' || (user_id % 20) AS symbol, ts, (value % 200) / 100.0 - 1 AS s FROM events)
 SELECT event_id, symbol, round(s, 6) AS sentiment FROM a WHERE s <= -0.3 OR s >= 0.5 ORDER BY ts DESC, event_id DESC LIMIT 20""")
 def x5_recent_alerts(spark, d):
