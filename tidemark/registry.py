@@ -533,4 +533,4 @@ def a12_consensus(spark, d):
     return c.select("symbol", r("score").alias("score"), "n", "consensus", "conviction", F.array_join("catalysts", ",").alias("catalysts"))
 
 
-from tidemark import registry_filings  # noqa: E402, F401  (adds its queries to the tables above)
+from tidemark import registry_filings, registry_views  # noqa: E402, F401  (add their queries to the tables above)
