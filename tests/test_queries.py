@@ -67,6 +67,23 @@ def test_merge_policies(spark):
     assert sorted((r.k, str(r.v)) for r in twice.collect()) == [(1, "None"), (2, "b"), (3, "c"), (4, "d")]
 
 
+def test_a_batch_with_one_key_twice(spark):
+    old = spark.createDataFrame([(1, "a", 1), (None, "n", 1)], "k int, v string, w int")
+    new = spark.createDataFrame([(1, "b", 5, 1), (1, None, 6, 2), (2, "c", 7, 2), (2, "d", 8, 1), (None, "m", 9, 1)], "k int, v string, w int, seq int")
+    run = lambda p, **x: sorted(((r.k or 0), r.v or "", r.w) for r in merge.merge_into(old, new, ["k"], p, seq="seq", **x).collect())
+    assert run("replace") == [(0, "m", 9), (1, "", 6), (2, "c", 7)]
+    assert run("coalesce") == [(0, "m", 9), (1, "b", 6), (2, "c", 7)]
+    assert run("insert") == [(0, "n", 1), (1, "a", 1), (2, "d", 8)]
+    assert run("columns", columns=["w"]) == [(0, "n", 9), (1, "a", 6), (2, "c", 7)]
+
+
+def test_fill_key_keeps_the_key_unique(spark):
+    t = spark.createDataFrame([("u1", "A", None), ("u2", "A", "Q1"), ("u3", "A", "None"), ("u4", "B", None), ("u5", "A", None)], "url string, symbol string, quarter string")
+    s = spark.createDataFrame([("u1", "Q1"), ("u3", "Q2"), ("u4", "Q1"), ("u5", "Q2"), ("u2", "Q9")], "url string, quarter string")
+    got = {r.url: r.quarter for r in merge.fill_key(t, s, "url", "quarter", ["symbol", "quarter"]).collect()}
+    assert got == {"u1": None, "u2": "Q1", "u3": "Q2", "u4": "Q1", "u5": None}
+
+
 def test_single_holding_scores_zero(spark):
     h = spark.createDataFrame([("p", "A", 100.0)], "portfolio_id string, symbol string, weight double")
     assert portfolio.concentration(h).first().score == 0
@@ -87,12 +104,6 @@ def test_fusion_does_not_depend_on_list_order(spark):
     assert key(x) == key(y) and min(key(x), key=lambda r: r[2])[0] == 11
 
 
-def test_chunks_cover_the_text(spark, tiny):
-    docs = spark.read.parquet(f"{tiny}/documents.parquet")
-    c = retrieval.chunk_documents(docs).groupBy("doc_id").agg(F.sum(F.col("char_end") - F.col("char_start")).alias("n"))
-    assert c.join(docs, "doc_id").where(F.col("n") != F.length("text")).count() == 0
-
-
 def test_price_payloads(spark):
     json = '{"datasets":[{"metric":"Price","values":[["2024-01-05","101.5"],["2024-01-06","x"]]},{"metric":"DMA50","values":[["2024-01-05","99"],["2024-01-07","98"]]}]}'
     out = payloads.read_price_payloads(spark.createDataFrame([("A", json)], "symbol string, json string")).collect()

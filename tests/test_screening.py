@@ -21,22 +21,9 @@ def test_resolve_codes_order(spark):
     assert got == {"ABC": "2", "QQ": "7"}
 
 
-def test_rerank_and_tree_search(spark):
+def test_rerank(spark):
     h = spark.createDataFrame([(1, 1, "red fox", "blue whale"), (1, 2, "red fox", "a red fox")], "query_id int, rank int, q string, t string")
     assert [r.t for r in sn.rerank(h, "q", "t").orderBy("rank").collect()] == ["a red fox", "blue whale"]
-    tree = spark.createDataFrame(
-        [(1, [(0, "risk", "growth and debt")]), (2, [(0, "other", "risk of growth")])], "doc_id int, nodes array<struct<start:int,section:string,summary:string>>"
-    )
-    q = spark.createDataFrame([(9, "risk growth")], "query_id int, query string")
-    got = [(r.doc_id, r.score, r["rank"]) for r in sn.tree_search(tree, q).orderBy("rank").collect()]
-    assert got == [(1, 2.5, 1), (2, 1.0, 2)]
-
-
-def test_rollups(spark):
-    c = spark.createDataFrame([(1, 1, "a", "two"), (1, 0, "a", "one"), (1, 2, "b", "lone")], "doc_id int, chunk_index int, section string, chunk_text string")
-    got = sorted((r.level, r.section, r.n, r.text) for r in sn.rollup_texts(c).collect())
-    text = "[Chunk 0] one\n\n[Chunk 1] two"
-    assert got == [(1, "a", 2, text), (2, "document", 2, text)]
 
 
 def test_text_rules(spark):

@@ -439,45 +439,6 @@ def r4_vector_search(spark, d):
     return rt.vector_search(e, q, 10).select("query_id", "vec_id", r("score").alias("score"), "rank")
 
 
-def _bm25(spark, d, k=10):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    p = rt.build_postings(docs)
-    n = p.select("doc_id", "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("a")).first()
-    q = table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(rt.terms(F.col("text")), 1, 2), " ").alias("query"))
-    return rt.bm25_search(p, q, n["n"] or 0, float(n["a"] or 1.0), k)
-
-
-@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), l AS (SELECT doc_id, count(*) AS dl FROM w GROUP BY 1), n AS (SELECT count(*) AS n, avg(dl) AS a FROM l),
-p AS (SELECT term, doc_id, count(*) AS tf FROM w GROUP BY ALL),
-q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')[1:2]) AS term FROM benchmark WHERE item_id % 100 = 0),
-h AS (SELECT * FROM p JOIN q USING (term) JOIN l USING (doc_id)), f AS (SELECT query_id, term, count(*) AS df FROM h GROUP BY ALL),
-s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS raw, count(*) AS got FROM h JOIN f USING (query_id, term), n GROUP BY ALL),
-m AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1),
-k AS (SELECT query_id, doc_id, raw / (raw + 1) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw / (raw + 1) DESC, doc_id) AS rank FROM s JOIN m USING (query_id) WHERE got = need)
-SELECT query_id, doc_id, round(score, 6) AS score, rank::int AS rank FROM k WHERE rank <= 10""")
-def r5_bm25_search(spark, d):
-    return _bm25(spark, d).select("query_id", "doc_id", r("score").alias("score"), "rank")
-
-
-@query()
-def r12_hybrid_search(spark, d):
-    """Fusion of keyword and vector hits by rank (documents share ids with vectors here)."""
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    v = rt.vector_search(e, q, 10).withColumnRenamed("vec_id", "doc_id")
-    return rt.rrf({"keyword": _bm25(spark, d), "vector": v}, {"keyword": 0.4, "vector": 0.6}).where("rank <= 10")
-
-
-@query()
-def r3_chunks(spark, d):
-    return rt.chunk_documents(table(spark, d, "documents").repartition("doc_id"))
-
-
-@query()
-def r6_section_tree(spark, d):
-    return rt.section_tree(rt.chunk_documents(table(spark, d, "documents").repartition("doc_id")))
-
-
 @query(r"""WITH a AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/]+)', 1) AS host, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href\s*=\s*["''][^"'']*["''][^>]*>.*?</a>')) AS t FROM pages)
 SELECT page_id, url, CASE WHEN h LIKE '/%' THEN host || h ELSE h END AS href FROM (SELECT *, regexp_extract(t, '(?is)href\s*=\s*["'']([^"'']*)["'']', 1) AS h FROM a) GROUP BY ALL""")
 def s9_links(spark, d):
@@ -533,4 +494,4 @@ def a12_consensus(spark, d):
     return c.select("symbol", r("score").alias("score"), "n", "consensus", "conviction", F.array_join("catalysts", ",").alias("catalysts"))
 
 
-from tidemark import registry_filings, registry_views  # noqa: E402, F401  (add their queries to the tables above)
+from tidemark import registry_filings, registry_index, registry_views  # noqa: E402, F401  (add their queries to the tables above)

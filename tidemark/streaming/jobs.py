@@ -57,3 +57,36 @@ def volume_spikes(events: DataFrame, ts: str = "ts", window: str = "1 day", base
     """Windows with at least baseline x factor rows of a key; batch or stream."""
     w = events.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), key).agg(F.count("*").alias("n"))
     return w.where(F.col("n") >= baseline * factor).select(F.col("w.start").alias("start"), key, "n")
+
+
+def alerts_of(alerts: DataFrame, watched: DataFrame) -> DataFrame:
+    """Alerts (batch or stream) of the symbols on a watch list."""
+    return alerts.join(watched.select("symbol").distinct(), "symbol", "left_semi")
+
+
+def profile_stream(log: DataFrame, kinds: list[str]) -> DataFrame:
+    """Running profile of each user from a log (user_id, ts, kind), batch or stream: counters by kind, hours of the day and the
+    last time seen; a stream gives changed users (update) or all (complete)."""
+    counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds]
+    return log.groupBy("user_id").agg(F.count("*").alias("n"), *counts, F.sort_array(F.collect_set(F.hour("ts"))).alias("hours"), F.max("ts").alias("last_seen"))
+
+
+def upsert_batches(root: str, keys: list[str], policy: str = "replace", seq: str = "seq"):
+    """A foreachBatch function that keeps a table under root: batch n writes version n from version n - 1, so a batch that is
+    run again writes the same version again."""
+    from tidemark.operators.merge import merge_into
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*[c for c in batch.columns if c != seq]) if seq not in keys else batch
+        old = spark.read.schema(rows.schema).parquet(f"{root}/v{number - 1}") if number else spark.createDataFrame([], rows.schema)
+        merge_into(old, batch, keys, policy, seq=seq).write.mode("overwrite").parquet(f"{root}/v{number}")
+
+    return run
+
+
+def first_seen(events: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 hour") -> DataFrame:
+    """Rows whose key has not come before, within the watermark of a stream (or at all, in a batch)."""
+    if events.isStreaming:
+        return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+    return events.dropDuplicates(keys)
