@@ -1,12 +1,15 @@
-"""Licence notices in texts: lines compared with templates by the Dice coefficient of their word bigrams.
-
-Lines are normalised to lower-case letters, digits and points. A template of n distinct bigrams can reach the threshold
-t only on a line of t/(2-t) n to (2-t)/t n bigrams, which picks the templates that a line is compared with. A line can
-only reach it if it holds a certain number of words that occur in templates, so one pattern search passes over texts
-without any. All is built-in functions over the row's own text: a map without exchange.
-
-A notice set over several lines is compared line by line; templates name the lines that tell licences apart.
-Null or empty text has no notice; repeated rows give repeated results; only the id and text columns are read.
+"""Licence texts in documents: windows of the words compared with templates by the Dice coefficient of word bigrams.
+
+A whole text is normalised to words of lower-case letters, digits and inner points, so line breaks, case and punctuation
+don't count. A template of n words is compared with windows of n words. Windows are placed by anchors: words of the
+template such that a window without any of them keeps too few of its bigrams to reach the threshold t; an anchor found in
+the text places the window as it stands in the template. Size bounds come first: with b distinct bigrams, a template can
+only reach t on t/(2-t) b to (2-t)/t b of them, so a text that is too short meets no long template. Texts without any
+anchor are passed over by one pattern search.
+
+All is built-in functions over the row's own text: a map without exchange. Per text and template the best window is
+returned (of equal ones the first). Null or empty text has no match; repeated rows give repeated results; only the id and
+text columns are read.
 """
 
 from __future__ import annotations
@@ -20,8 +23,11 @@ from tidemark.llm.common import documents
 
 THRESHOLD = 0.8
 
-#: Standard notices of public licences.
+#: Standard notices and whole short texts of public licences.
 TEMPLATES = {
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     "MIT": "Released under the MIT License.",
@@ -39,28 +45,26 @@ TEMPLATES = {
 }
 
 
+def _words(text: str) -> list[str]:
+    return [w for w in (x.rstrip(".") for x in re.findall("[a-z0-9.]+", text.lower())) if w]
+
+
 def _bigrams(text: str) -> list[str]:
-    w = re.findall(r"[a-z0-9.]+", text.lower())
+    w = _words(text)
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
-def _anchors(templates: dict[str, str], threshold: float) -> list[str]:
-    """Words of which every text that reaches the threshold with a template holds at least one.
-
-    Without a template's anchors too few of its bigrams are left. The longest words come first, as they are rare.
-    """
-    out: set[str] = set()
-    for text in templates.values():
-        grams = _bigrams(text)
-        left = set(grams)
-        words = sorted({w for g in grams for w in g.split()}, key=lambda w: (w not in out, -len(w), w))
-        for w in words:
-            # the least share of its bigrams that a template must find again is t / (2 - t)
-            if len(left) < threshold / (2 - threshold) * len(grams):
-                break
-            out.add(w)
-            left = {g for g in left if w not in g.split()}
-    return sorted(out)
+def anchors(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int]]:
+    """(word, place) of words of a template, the longest first, until too few bigrams are left without them."""
+    w, grams = _words(text), _bigrams(text)
+    left, out = set(grams), []
+    for word in sorted(set(w), key=lambda x: (-len(x), x)):
+        # the most that a window can reach that holds nothing but bigrams which are left
+        if 2 * len(left) < threshold * (len(left) + len(grams)):
+            break
+        out += [(word, i) for i, x in enumerate(w) if x == word]
+        left = {g for g in left if word not in g.split()}
+    return out
 
 
 def license_matches(
@@ -70,86 +74,69 @@ def license_matches(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, matches): per text the lines that match a template, as (line, license, dice), best template first."""
+    """(doc_id, matches): per text its best window for each template that it matches, as (license, start_word, dice)."""
     templates = templates or TEMPLATES
-    grams = {k: _bigrams(v) for k, v in templates.items()}
     ratio = threshold / (2 - threshold)
-    anchor = "(?i)" + "|".join(re.escape(a).replace("\\ ", " ") for a in _anchors(templates, threshold))
-    kind = "array<struct<line:int,license:string,dice:double>>"
+    placed = {k: anchors(v, threshold) for k, v in templates.items()}
+    all_anchors = sorted({w for each in placed.values() for w, _ in each})
+    any_anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in all_anchors) + r")(?![a-z0-9])"
+    kind = "array<struct<license:string,start_word:int,dice:double>>"
+    none = F.array().cast("array<string>")
     t = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    lines = F.transform(F.split("_t", "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    most = int(max(map(len, grams.values())) / ratio) + 1
-    # a line of more than so many words (bigrams may repeat, so this counts generously) is no notice
-    short = F.filter(lines, lambda s: s["x"].rlike(anchor))
-    t = t.select("doc_id", F.when(F.col("_t").rlike(anchor), short).otherwise(F.array().cast("array<struct<i:int,x:string>>")).alias("_l"))
-    w = F.transform(
-        "_l",
-        lambda s: F.struct(s["i"].alias("i"), F.regexp_extract_all(F.lower(s["x"]), F.lit("[a-z0-9.]+"), F.lit(0)).alias("w")),
-    )
-    pair = lambda s: F.array_distinct(
-        F.zip_with(F.slice(s["w"], 1, F.size(s["w"]) - 1), F.slice(s["w"], 2, F.size(s["w"]) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    )
-    g = F.transform(F.filter(w, lambda s: F.size(s["w"]) > 1), lambda s: F.struct(s["i"].alias("i"), pair(s).alias("g")))
-    t = t.select("doc_id", F.filter(g, lambda s: F.size(s["g"]) <= most).alias("_g"))
-
-    def common(s: Column, own: list[str]) -> Column:
-        return F.filter(s["g"], lambda x: x.isin(own))
-
-    def compared(s: Column) -> Column:
-        found = []
-        for name, own in grams.items():
-            n = len(own)
-            fits = (F.size(s["g"]) >= ratio * n) & (F.size(s["g"]) * ratio <= n)
-            dice = 2.0 * F.size(common(s, own)) / (F.size(s["g"]) + n)
-            found.append(F.when(fits, F.struct(s["i"].alias("line"), F.lit(name).alias("license"), dice.alias("dice"))))
-        return F.filter(F.array_compact(F.array(*found)), lambda m: m["dice"] >= threshold)
-
-    found = F.flatten(F.transform("_g", compared)).cast(kind)
-    best = F.array_sort(
-        found,
-        lambda a, b: F.when(a["line"] < b["line"], -1)
-        .when(a["line"] > b["line"], 1)
-        .when(a["dice"] > b["dice"], -1)
-        .when(a["dice"] < b["dice"], 1)
-        .when(a["license"] < b["license"], -1)
-        .when(a["license"] > b["license"], 1)
-        .otherwise(0),
-    )
-    return t.select("doc_id", best.alias("matches"))
+    raw = F.transform(F.regexp_extract_all(F.lower("_t"), F.lit("[a-z0-9.]+"), F.lit(0)), lambda x: F.rtrim(x, F.lit(".")))
+    t = t.select("doc_id", F.when(F.col("_t").rlike(any_anchor), F.filter(raw, lambda x: x != "")).otherwise(none).alias("_w"))
+    found = F.filter(F.transform("_w", lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda s: s["w"].isin(all_anchors))
+    t = t.withColumn("_a", found)
+
+    def best(name: str, text: str) -> Column:
+        """The best window of a template, or null."""
+        n, grams = len(_words(text)), _bigrams(text)
+        places: dict[str, list[int]] = {}
+        for w, i in placed[name]:
+            places.setdefault(w, []).append(i)
+        where = F.create_map(*[x for w, at in places.items() for x in (F.lit(w), F.array(*[F.lit(i) for i in at]))])
+        own = F.filter("_a", lambda s: s["w"].isin(list(places)))
+        starts = F.array_distinct(F.flatten(F.transform(own, lambda s: F.transform(F.try_element_at(where, s["w"]), lambda i: F.greatest(s["i"] - i, F.lit(0))))))
+
+        def compared(start: Column) -> Column:
+            window = F.slice("_w", start + 1, n)
+            pairs = F.array_distinct(F.zip_with(F.slice(window, 1, F.size(window) - 1), F.slice(window, 2, F.size(window) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+            dice = 2.0 * F.size(F.filter(pairs, lambda g: g.isin(grams))) / (F.size(pairs) + len(grams))
+            return F.struct((-dice).alias("d"), start.alias("s"))
+
+        long_enough = F.filter(starts, lambda s: (F.size("_w") - s - 1 >= ratio * len(grams)) & (F.size("_w") - s > 1))
+        top = F.array_min(F.transform(long_enough, compared))
+        return F.when(-top["d"] >= threshold, F.struct(F.lit(name).alias("license"), top["s"].alias("start_word"), (-top["d"]).alias("dice")))
+
+    every = F.array_compact(F.array(*[best(k, v) for k, v in templates.items()])).cast(kind)
+    return t.select("doc_id", F.when(F.size("_a") > 0, every).otherwise(F.array().cast(kind)).alias("matches"))
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = license_matches(documents(spark, sf_dir))
-    top = F.reduce(
-        "matches",
-        F.struct(F.lit(-1.0).alias("d"), F.lit(None).cast("string").alias("l")),
-        lambda a, x: F.when((x["dice"] > a["d"]) | ((x["dice"] == a["d"]) & (x["license"] < a["l"])), F.struct(x["dice"].alias("d"), x["license"].alias("l"))).otherwise(a),
-    )
     return m.select(
         "doc_id",
-        F.size(F.array_distinct(F.transform("matches", lambda x: x["line"]))).cast("long").alias("n_lines_matched"),
-        F.array_join(F.sort_array(F.array_distinct(F.transform("matches", lambda x: x["license"]))), ",").alias("licenses"),
-        F.round(F.when(top["d"] >= 0, top["d"]), 9).alias("best_dice"),
+        F.size("matches").cast("long").alias("n_licenses"),
+        F.array_join(F.sort_array(F.transform("matches", lambda x: x["license"])), ",").alias("licenses"),
+        F.round(F.array_max(F.transform("matches", lambda x: x["dice"])), 9).alias("best_dice"),
     )
 
 
 def _sql() -> str:
-    rows = ", ".join(
-        f"('{name}', [{', '.join(repr(g) for g in _bigrams(text))}])" for name, text in TEMPLATES.items()
-    )
+    listed = lambda xs: "[" + ", ".join(repr(x) for x in xs) + "]"
+    rows = ", ".join(f"('{name}', {len(_words(text))}, {listed(_bigrams(text))})" for name, text in TEMPLATES.items())
+    at = ", ".join(f"('{name}', '{w}', {i})" for name, text in TEMPLATES.items() for w, i in anchors(text))
     return rf"""
-WITH t(license, own) AS (VALUES {rows}),
-l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
-             unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents),
-w AS (SELECT doc_id, line, regexp_extract_all(lower(x), '[a-z0-9.]+') AS w FROM l),
-g AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
-      FROM w WHERE len(w) > 1),
-m AS (SELECT doc_id, line, license, 2.0::double * len(list_intersect(g, own)) / (len(g) + len(own)) AS dice
-      FROM g, t WHERE len(g) >= {THRESHOLD} / {2 - THRESHOLD} * len(own) AND len(g) * {THRESHOLD} / {2 - THRESHOLD} <= len(own)),
-k AS (SELECT * FROM m WHERE dice >= {THRESHOLD})
-SELECT d.doc_id, count(DISTINCT line)::bigint AS n_lines_matched,
-       coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses, round(max(dice), 9) AS best_dice
-FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
+WITH t(license, n, own) AS (VALUES {rows}), a(license, word, place) AS (VALUES {at}),
+d AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9.]+'), lambda x: rtrim(x, '.')), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+s AS (SELECT DISTINCT doc_id, license, greatest(i - place, 0) AS s FROM p JOIN a ON x = word),
+g AS (SELECT doc_id, license, own, list_distinct(list_transform(range(s + 1, least(s + n, len(w))), lambda i: w[i] || ' ' || w[i + 1])) AS g
+      FROM s JOIN t USING (license) JOIN d USING (doc_id) WHERE len(w) - s - 1 >= {THRESHOLD} / {2 - THRESHOLD} * len(own) AND len(w) - s > 1),
+m AS (SELECT doc_id, license, 2.0::double * len(list_intersect(g, own)) / (len(g) + len(own)) AS dice FROM g),
+k AS (SELECT doc_id, license, max(dice) AS dice FROM m WHERE dice >= {THRESHOLD} GROUP BY ALL)
+SELECT d.doc_id, count(license)::bigint AS n_licenses, coalesce(string_agg(license, ',' ORDER BY license), '') AS licenses, round(max(dice), 9) AS best_dice
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
 
 
 ORACLE_SQL = _sql()
