@@ -104,10 +104,59 @@ def test_pii_matches_the_base_definition(spark):
     assert pii.pii_spans(empty(spark)).count() == 0
 
 
+def test_pii_added_spans_by_kind(spark):
+    """Spans that only the trees add: recall and precision by kind against what was planted, and no overlap with base spans."""
+    rng = random.Random(61)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: rng.choice(VOCABULARY) + rng.choice(VOCABULARY)
+    # (good, bad) of a kind: the bad ones look alike but aren't personal data
+    makers = {
+        "email_masked": (lambda: f"contact {name()} [at] {name()} [dot] com", lambda: f"meet {name()} (at) {name()}.{name()[:9]}"),
+        "phone_local": (lambda: f"call ({rng.randint(2, 9)}{digits(2)}) {rng.randint(2, 9)}{digits(2)}-{digits(4)}", lambda: f"part 0{digits(2)}.1{digits(2)}.{digits(4)}"),
+        "ssn": (lambda: f"ssn {rng.randint(100, 600)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", lambda: f"lot 9{digits(2)}-{digits(2)}-{digits(4)}"),
+        "secret": (lambda: f"api_key={name()}{digits(8)}{name().upper()}", lambda: f"token: {name()}"),
+    }
+    rows, good = [], {}
+    for i in range(1600):
+        kind = list(makers)[i % 4]
+        real = rng.random() < 0.5
+        good[i] = kind if real else None
+        rows.append((i, f"{words(rng, 6)} {makers[kind][0 if real else 1]()} {words(rng, 6)}"))
+    rows += [(5000, None), (5001, ""), (1, rows[1][1])]
+    df = spark.createDataFrame([(*x, "k", 0.5) for x in rows], "doc_id long, text string, found string, score double")
+    got: dict = {}
+    for r in pii.pii_spans(df).collect():
+        got[r.doc_id] = {pii.KINDS[s.k] for s in r.spans} - set(pii.BASE)
+        for s in r.spans:
+            assert s.k < 4 or all(s.start >= b.end or b.start >= s.end for b in r.base)
+    for kind in makers:
+        planted, said = {i for i, k in good.items() if k == kind}, {i for i in good if kind in got[i]}
+        assert len(planted & said) >= 0.9 * len(planted), (kind, "recall", len(planted & said) / len(planted))
+        assert len(planted & said) >= 0.9 * len(said), (kind, "precision", len(planted & said) / len(said))
+    assert got[5000] == got[5001] == set()
+
+
 def test_licences(spark):
-    rows = [(0, "x\nLicensed under the Apache License, Version 2.0.\ny"), (1, "licensed under apache"), (2, None), (3, "")]
-    got = {r.doc_id: [m.license for m in r.matches] for r in licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {0: ["Apache-2.0"], 1: [], 2: [], 3: []}
+    mit = licenses.TEMPLATES["MIT-text"]
+    wrapped = "Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except\n# in compliance with the License.\nYou may"
+    rows = [
+        (0, "x\nLicensed under the Apache License, Version 2.0.\ny"), (1, "licensed under apache"), (2, None), (3, ""), (4, "pre " + wrapped), (5, "Copyright 2020\n\n" + mit.replace(" ", "\n", 40) + "\nmore"),
+        (6, mit.replace("Software", "Program", 2)), (7, "w " * 20_000 + "Released under the MIT License. " + "w " * 50), (0, "licensed"), (8, "the software license " * 500), (9, "Released under the MIT License. " * 300),
+    ]
+    df = spark.createDataFrame([(*x, "a", 1) for x in rows], "doc_id long, text string, license string, dice int")
+    got = [(r.doc_id, [m.license for m in r.matches]) for r in licenses.license_matches(df).collect()]
+    mit_both = ["MIT-text", "MIT-grant"]
+    assert got == [(0, ["Apache-2.0"]), (1, []), (2, []), (3, []), (4, ["Apache-2.0", "Apache-2.0-header"]), (5, mit_both), (6, mit_both), (7, ["MIT"]), (0, []), (8, []), (9, ["MIT"])]
+    assert licenses.license_matches(df.where("doc_id = 7")).first().matches[0].start_word == 20_000
+    assert licenses.license_matches(df.limit(0)).count() == 0
+
+
+def test_every_window_over_the_threshold_holds_an_anchor():
+    # without its anchors a template keeps too few bigrams, whatever else a window holds
+    for text in licenses.TEMPLATES.values():
+        grams, out = licenses._bigrams(text), {w for w, _ in licenses.anchors(text)}
+        left = [g for g in grams if not out & set(g.split())]
+        assert 2 * len(left) / (len(left) + len(grams)) < licenses.THRESHOLD
 
 
 def test_language_model(spark, docs, texts):
