@@ -255,7 +255,12 @@ def test_quality_rules(spark, docs, texts):
         lines = [x for x in (t or "").split("\n") if split(x)]
         r = rows[i]
         assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(again), len(lines) - len(set(lines)))
-        assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w))
+        assert r.n_symbols == len(re.findall(r"[#*$%&|<>]", t or "")) and r.kept in ((False,) if r.base_failed else (True, False))
+        assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and r.kept == (not r.base_failed and not r.failed_rules)
+    assert quality_rules.quality_rules(empty(spark)).count() == 0
+    odd = spark.createDataFrame([(None, "# a b", 1), (1, None, 2), (1, "x " * 20_000, 3)], "doc_id long, text string, n_words int")
+    got = {(r.doc_id, r.n_words): (r.n_symbols, r.n_repeat_words, r.kept) for r in quality_rules.quality_rules(odd).collect()}
+    assert got == {(None, 3): (1, 0, False), (1, 0): (0, 0, False), (1, 20_000): (0, 20_000, False)}
 
 
 def test_sentencepiece_round_trip(spark, docs, texts):

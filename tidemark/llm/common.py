@@ -92,6 +92,20 @@ def shingle_set(names: np.ndarray, k: int = 5) -> np.ndarray:
     return np.unique(gram_names(names, min(k, len(names))))
 
 
+# ---- what workers keep ----
+
+_KEPT: dict = {}
+
+
+def keep(name, make):
+    """A value that a worker keeps for its later tasks, made once. A worker keeps one value, so that what the stages of a
+    pipeline remember does not add up in it."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 # ---- connected components ----
 
 

@@ -33,14 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, documents, gram_names, join_names, mix
+from tidemark.llm.common import cut, documents, gram_names, join_names, keep, mix
 
 EDIT_SHARE = 5  # one word in five may differ
 SAMPLED = 2
 #: Bits of a bit table, at most.
 TABLE_BITS = 1 << 27
 #: Texts that are looked at together, and words that a worker remembers.
-TEXTS, REMEMBERED = 2000, 1_000_000
+TEXTS, REMEMBERED = 1000, 500_000
 #: Keys that a window and an item must share to be looked at, where they have several.
 MEETINGS = 2
 _WORDS = re.compile(r"\w+")
@@ -53,17 +53,15 @@ class _Names(dict):
         return out
 
 
-_KNOWN = _Names()
-
-
 def names(text: str | None) -> np.ndarray:
     """Names of a text's words."""
     if not text:
         return np.empty(0, np.uint64)
-    if len(_KNOWN) > REMEMBERED:
-        _KNOWN.clear()
+    known = keep("decontaminate", _Names)
+    if len(known) > REMEMBERED:
+        known.clear()
     found = _WORDS.findall(text.lower())
-    return np.fromiter(map(_KNOWN.__getitem__, found), np.uint64, len(found))
+    return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
 
 
 def class_sizes(most: int) -> list[int]:

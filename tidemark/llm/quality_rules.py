@@ -65,7 +65,7 @@ def quality_rules(
     w = F.col("_w")
     grams = F.transform(
         F.sequence(F.lit(0), F.size(w) - 3),
-        lambda i: F.struct(F.concat_ws(" ", w[i], w[i + 1], w[i + 2]).alias("g"), i.alias("i")),
+        lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("g"), i.alias("i")),
     )
     t = t.withColumns(
         {
@@ -77,7 +77,13 @@ def quality_rules(
         }
     )
     g = F.col("_g")
-    same = lambda k, x: F.coalesce(F.get(g, k)["g"] == x["g"], F.lit(False))
+
+    def same(k: Column, x: Column) -> Column:
+        """Whether the window at place k of the order has the words of x; they are compared where the hashes meet."""
+        y = F.get(g, k)
+        words_ = [w[y["i"] + j] == w[x["i"] + j] for j in range(3)]
+        return F.coalesce((y["g"] == x["g"]) & words_[0] & words_[1] & words_[2], F.lit(False))
+
     t = t.withColumn("_p", F.filter(g, lambda x, k: same(k - 1, x) | same(k + 1, x)))
     t = t.withColumn("_p", F.sort_array(F.transform("_p", lambda x: x["i"])))
     p = F.col("_p")

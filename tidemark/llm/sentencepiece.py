@@ -34,13 +34,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents
+from tidemark.llm.common import documents, keep
 
 #: Session setting that names the vocabulary, and what is taken without it.
 SETTING, MODEL = "spark.tidemark.piece.model", "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Stretches whose ids a worker remembers at most, and pairs of neighbours.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 LOST = "\ufffd".encode()
 
 
@@ -223,15 +223,9 @@ class Coder:
         return text[1:] if text[:1] == " " else text
 
 
-_CODERS: dict[int, Coder] = {}
-
-
 def _coder(shared) -> Coder:
     """The worker's coder: it stays for later tasks, and so does what it remembers."""
-    if shared.id not in _CODERS:
-        _CODERS.clear()
-        _CODERS[shared.id] = Coder(shared.value)
-    return _CODERS[shared.id]
+    return keep(("sentencepiece", shared.id), lambda: Coder(shared.value))
 
 
 class _Shared:

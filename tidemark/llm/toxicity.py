@@ -33,7 +33,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, cut, documents
+from tidemark.llm.common import SPACE, cut, documents, keep
 
 SAMPLE_ROWS = 20_000
 LANDMARKS = 64
@@ -43,7 +43,7 @@ LETTERS, GAP, DECAY = 4, 3, 0.9
 SENTENCE = 40
 ROUNDS = 2
 #: Words that a worker remembers, and numbers that it remembers of them.
-REMEMBERED, NUMBERS = 800_000, 8_000_000
+REMEMBERED, NUMBERS = 600_000, 6_000_000
 #: Letters of a word that are looked at together; a longer word is cut into pieces that overlap by more than any
 #: subsequence is long.
 WIDTH, STEP = 32, 16
@@ -186,17 +186,14 @@ class Reader:
             yield np.add.reduceat(self.table[ids], start, axis=0)
 
 
-_READERS: dict[tuple, Reader] = {}
-
-
 def _reader(landmarks: tuple[str, ...], weights: tuple[float, ...] | None = None) -> Reader:
     """The worker's reader for a model: it stays for later tasks, and so does what it remembers."""
-    key = (landmarks, weights)
-    if key not in _READERS:
-        _READERS.clear()
+
+    def make() -> Reader:
         kernel = Kernel(landmarks)
-        _READERS[key] = Reader(kernel.of if weights is None else lambda words: kernel.of(words) @ np.array(weights)[:, None])
-    return _READERS[key]
+        return Reader(kernel.of if weights is None else lambda words: kernel.of(words) @ np.array(weights)[:, None])
+
+    return keep(("toxicity", landmarks, weights), make)
 
 
 def _witnesses(landmarks: tuple[str, ...], weights: np.ndarray):
