@@ -497,3 +497,124 @@ def n7_n17_analysis_texts(spark, d):
 def n2_n4_lexicon_scores(spark, d):
     t = table(spark, d, "documents").select("doc_id", sg.headline_sentiment(F.col("text"), ["the "], ["des "]).alias("h"), sg.esg_score(F.col("text"), ["the ", "und "], ["que "], ["les "]).alias("x"))
     return t.select("doc_id", r("h").alias("headline"), "x.e", "x.s", "x.g", "x.overall")
+
+
+# ---- payloads, precedence, fusion, context ----
+
+
+def _payloads(spark, d, metrics: dict):
+    """Price payloads of each symbol: a list of [date, value] for each metric, without the second one's first year."""
+    p = prices(spark, d)
+    sets = []
+    for name, value in metrics.items():
+        rows = F.transform(F.sort_array(F.collect_list(F.struct("d", value.cast("string").alias("v")))), lambda s: F.array(s["d"].cast("string"), s["v"]))
+        sets.append(F.struct(F.lit(name).alias("metric"), rows.alias("values")))
+    return p.groupBy("symbol").agg(F.to_json(F.struct(F.array(*sets).alias("datasets"))).alias("json"))
+
+
+@query(f"WITH {PRICES} SELECT symbol, d AS trade_date, round(close, 2) AS price, round(close / 2, 2) AS dma_50, 100::bigint AS volume FROM prices WHERE year(d) > 1992")
+def s1_price_payloads(spark, d):
+    from tidemark.sources.payloads import read_price_payloads
+
+    price = F.when(F.year("d") > 1992, F.round("close", 2).cast("string")).otherwise("x")
+    out = read_price_payloads(_payloads(spark, d, {"Price": price, "DMA50": F.round(F.col("close") / 2, 2), "Volume": F.lit(100)}))
+    return out.select("symbol", "trade_date", "price", "dma_50", "volume")
+
+
+@query(f"WITH {PRICES} SELECT symbol, d AS trade_date, round(close / 1000, 2) AS pe, round(close / 5000, 2) AS eps FROM prices")
+def s2_valuation_payloads(spark, d):
+    from tidemark.sources.files import read_valuation_payloads
+
+    return read_valuation_payloads(_payloads(spark, d, {"Price to Earning": F.round(F.col("close") / 1000, 2), "EPS": F.round(F.col("close") / 5000, 2)}))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 0 FROM orders WHERE o_orderstatus = 'F'")
+def j12_prefer_live(spark, d):
+    o = table(spark, d, "orders")
+    return mg.prefer_live(o.where("o_orderstatus <> 'F'").select("o_orderkey", "o_totalprice"), o.select("o_orderkey", F.lit(0.0).alias("o_totalprice")), ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'Unknown' ELSE year(o_orderdate)::varchar END AS y FROM orders WHERE o_orderpriority = '5-LOW' OR (o_orderstatus <> 'P' AND year(o_orderdate) BETWEEN 1994 AND 1998)")
+def p7_year_range(spark, d):
+    o = table(spark, d, "orders")
+    y = F.when(F.col("o_orderpriority") == "5-LOW", "Unknown").when(F.col("o_orderstatus") == "P", "FY").otherwise(F.year("o_orderdate").cast("string"))
+    return sn.year_range(o.select("o_orderkey", y.alias("y")), "y", 1994, 1998)
+
+
+@query("""WITH a AS (SELECT o_orderpriority AS query_id, o_custkey AS doc_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY max(o_totalprice) DESC, o_custkey) AS rank FROM orders GROUP BY o_orderpriority, o_custkey),
+b AS (SELECT o_orderpriority AS query_id, o_custkey AS doc_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY count(*) DESC, o_custkey) AS rank FROM orders GROUP BY o_orderpriority, o_custkey),
+u AS (SELECT query_id, doc_id, 0.75 / (60 + rank) AS x, 'price' AS m FROM a WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, 0.25 / (60 + rank), 'count' FROM b WHERE rank <= 50),
+g AS (SELECT query_id, doc_id, sum(x) AS score, string_agg(m, ',' ORDER BY m) AS methods FROM u GROUP BY ALL)
+SELECT query_id, doc_id, round(score, 9) AS score, methods, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id)::int AS rank FROM g""")
+def r9_rank_fusion(spark, d):
+    from tidemark.operators.retrieval import rrf, top_k
+
+    g = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("query_id"), F.col("o_custkey").alias("doc_id")).agg(F.max("o_totalprice").alias("p"), F.count("*").alias("c"))
+    one = top_k(g.select("query_id", "doc_id", F.col("p").alias("score")), 50)
+    two = top_k(g.select("query_id", "doc_id", F.col("c").alias("score")), 50)
+    out = rrf({"price": one, "count": two}, {"price": 0.75, "count": 0.25})
+    return out.select("query_id", "doc_id", r("score", 9).alias("score"), F.array_join("methods", ",").alias("methods"), "rank")
+
+
+@query("""WITH h AS (SELECT o_orderpriority AS query_id, o_orderkey, o_custkey % 25 AS grp, o_totalprice AS score FROM orders WHERE o_totalprice >= 100000),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, grp ORDER BY score DESC, o_orderkey) AS n FROM h) WHERE n = 1)
+SELECT query_id, o_orderkey, grp, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grp)::int AS rank FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grp) <= 10""")
+def r13_theme_search(spark, d):
+    from tidemark.operators.retrieval import theme_search
+
+    h = table(spark, d, "orders").select(F.col("o_orderpriority").alias("query_id"), "o_orderkey", (F.col("o_custkey") % 25).alias("grp"), F.col("o_totalprice").alias("score"), F.lit(0).alias("rank"))
+    return theme_search(h, "grp", 10, 100_000.0, "o_orderkey")
+
+
+@query("""WITH k AS (SELECT source AS query_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id)::int AS rank FROM documents)
+SELECT query_id, string_agg('[' || rank || '] ' || left(text, 1500), chr(10) || chr(10) ORDER BY rank) AS context FROM k WHERE rank <= 5 GROUP BY 1""")
+def r14_build_context(spark, d):
+    from tidemark.operators.retrieval import build_context
+
+    k = ts.latest_n(table(spark, d, "documents"), ["source"], [F.asc("doc_id")], 5)
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return build_context(k.select(F.col("source").alias("query_id"), "text", rank.alias("rank")), "text")
+
+
+@query("""SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS n_purchase, array_to_string(list_sort(list(DISTINCT hour(ts))), ',') AS hours FROM events GROUP BY 1""")
+def x3_running_profiles(spark, d):
+    from tidemark.streaming.jobs import profile_stream
+
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"))
+    return profile_stream(e, ["purchase"]).select("user_id", "n", "n_purchase", F.array_join("hours", ",").alias("hours"))
+
+
+@query("SELECT user_id, event_type FROM events GROUP BY ALL")
+def x4_first_seen(spark, d):
+    from tidemark.streaming.jobs import first_seen
+
+    return first_seen(table(spark, d, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+@query("""WITH s AS (SELECT 'u' || (user_id % 20) AS symbol, date_trunc('day', ts)::date AS d, last(value ORDER BY ts, event_id) AS v FROM events GROUP BY ALL)
+SELECT symbol, d, round(v, 4) AS v, round(max(v) OVER w, 4) AS high, round(min(v) OVER w, 4) AS low FROM s WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS 251 PRECEDING)""")
+def w9_range_of_a_year(spark, d):
+    e = table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id") % 20).alias("symbol"), F.to_date("ts").alias("d"), "ts", "event_id", "value")
+    s = e.groupBy("symbol", "d").agg(F.max_by("value", F.struct("ts", "event_id")).alias("v"))
+    w = Window.partitionBy("symbol").orderBy("d").rowsBetween(-251, 0)
+    return s.select("symbol", "d", r("v", 4).alias("v"), r(F.max("v").over(w), 4).alias("high"), r(F.min("v").over(w), 4).alias("low"))
+
+
+@query("""SELECT p_partkey, round_even(p_size / 21.0 * 100, 2) AS roe, round_even(p_retailprice / 21.0, 2) AS debt_to_equity, CASE WHEN p_brand <> 'Brand#1' THEN round_even(7.0 / p_size, 2) END AS cash_conversion, p_brand LIKE '%#1' AS marked FROM part""")
+def f19_n14_derived(spark, d):
+    p = table(spark, d, "part")
+    cash = F.when(F.col("p_brand") != "Brand#1", F.lit(7.0))
+    x = sc.derived_metrics(F.col("p_size").cast("double"), F.lit(21.0), F.col("p_retailprice"), cash)
+    return p.select("p_partkey", "p_brand", x.alias("x")).select("p_partkey", "x.roe", "x.debt_to_equity", "x.cash_conversion", sg.detect_style(F.concat("p_brand", F.lit("_")), ["#1_"])["mixed"].alias("marked"))
+
+
+@query("""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '<[^>]*>', '', 'g'), 'als ', '', 'g')) || CASE WHEN contains(lower(text), 'der ') THEN chr(10) || chr(10) || 'No advice.' ELSE '' END AS clean FROM conversations""")
+def n6_sanitize_response(spark, d):
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", sg.sanitize_response(F.col("text"), ["<[^>]*>", "als "], {"der ": "No advice."}, F.col("text")).alias("clean"))
+
+
+@query("""SELECT page_id, CASE WHEN length(t) > 20 THEN t END AS plain_text FROM (SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '(?s)<\\?.*?\\?>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[-_=]{10,}', '', 'g'), '\\s+', ' ', 'g')) AS t FROM pages)""")
+def f6_strip_markup(spark, d):
+    return table(spark, d, "pages").select("page_id", sc.strip_markup(F.col("html")).alias("plain_text"))
