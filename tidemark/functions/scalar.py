@@ -104,7 +104,16 @@ def market_session(ts: Column) -> Column:
 
 def valuation_status(pe: Column, sector_pe: Column) -> Column:
     discount = F.try_divide(sector_pe - pe, sector_pe) * 100
-    return F.when(discount > 10, "Undervalued").when(discount < -10, "Premium").when(discount.isNotNull(), "Fair")
+    return F.when(discount > 10, "Undervalued").when(discount < -10, "Premium").when(discount.isNotNull(), "Fair Value")
+
+
+def valuation_discount(pe: Column, sector_pe: Column) -> Column:
+    """How far a PE stands under its sector's, in %, to one place."""
+    return F.bround(F.try_divide(sector_pe - pe, sector_pe) * 100, 1)
+
+
+def price_to_book(price: Column, book: Column) -> Column:
+    return F.when((price != 0) & (book > 0), F.try_divide(price, book))
 
 
 def risk_score(volatility: Column, drawdown: Column, beta: Column, var95: Column) -> Column:
@@ -164,9 +173,12 @@ def clean_text(c: Column) -> Column:
 
 
 def build_url(c: Column, prefix: str) -> Column:
-    """An absolute link as it is; a path with slash and extension of 15 characters or more under the prefix; else ''."""
-    path = (F.length(c) >= 15) & c.contains("/") & c.rlike(r"\.[A-Za-z0-9]{2,5}$")
-    return F.when(c.rlike("^https?://"), c).when(path, F.concat(F.lit(prefix.rstrip("/") + "/"), F.ltrim(c, F.lit("/")))).otherwise(F.lit(""))
+    """An absolute link as it is; a path of 15 characters or more, with a folder and a file name with a point, under the
+    prefix; else ''."""
+    path = F.ltrim(c, F.lit("/"))
+    whole = F.rtrim(path, F.lit("/"))
+    ok = (F.length(path) >= 15) & whole.contains("/") & F.substring_index(whole, "/", -1).contains(".")
+    return F.when(c.startswith("http"), c).when(ok, F.concat(F.lit(prefix.rstrip("/") + "/"), path)).otherwise(F.lit(""))
 
 
 def to_crore(x: Column) -> Column:

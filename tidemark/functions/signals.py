@@ -32,13 +32,15 @@ def headline_sentiment(text: Column, good: list[str], bad: list[str]) -> Column:
 
 
 def esg_score(text: Column, environment: list[str], social: list[str], governance: list[str]) -> Column:
-    """struct<e, s, g, overall>: 10, 10 and 11 points per word present, at most 100; half-way 50 without text."""
+    """struct<e, s, g, overall, executive_pay, quality>: 10, 10 and 11 points per word present, at most 100; without text 50
+    each and quality low; executive pay is always 50."""
     e = F.least(F.lit(100), 10 * present(text, environment))
     s = F.least(F.lit(100), 10 * present(text, social))
     g = F.least(F.lit(100), 11 * present(text, governance))
     pick = lambda x: F.when(text.isNull(), F.lit(50)).otherwise(x)
     overall = (pick(e) * 0.33 + pick(s) * 0.33 + pick(g) * 0.34).cast("int")
-    return F.struct(pick(e).alias("e"), pick(s).alias("s"), pick(g).alias("g"), overall.alias("overall"))
+    quality = F.when(text.isNull(), "low").otherwise("medium")
+    return F.struct(pick(e).alias("e"), pick(s).alias("s"), pick(g).alias("g"), overall.alias("overall"), F.lit(50).alias("executive_pay"), quality.alias("quality"))
 
 
 def classify_scope(text: Column, blocked: list[str], probe: str, topics: list[str], general: str) -> Column:
@@ -176,7 +178,7 @@ def is_followup(text: Column) -> Column:
 
 def false_unavailable(text: Column, price: Column) -> Column:
     """Whether a text calls a price unavailable that is known."""
-    return F.lower(text).rlike("price (is )?(unavailable|not available)") & price.isNotNull() & (price > 0)
+    return F.lower(text).rlike("price.*(?:unavailable|not available|data missing)") & price.isNotNull() & (price > 0)
 
 
 #: Labels of an analyst's text in the order in which they are looked for.
@@ -192,7 +194,12 @@ def fact_check(text: Column, year: int) -> Column:
     """Past years (2010 on) that stand within 30 characters of a word of the future, sorted."""
     t = F.lower(text)
     years = F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b(20[12]\d)\b"), F.lit(1)))
-    near = lambda y: F.substring(t, F.greatest(F.instr(t, y) - 30, F.lit(1)), F.lit(64)).rlike("projected|estimated|forecast|future")
+
+    def near(y: Column) -> Column:
+        at = F.instr(t, y)
+        start = F.greatest(at - 30, F.lit(1))
+        return F.substring(t, start, at + 30 - start).rlike("projected|estimated|forecast|future")
+
     return F.sort_array(F.filter(years, lambda y: (y.cast("int") < year) & near(y)))
 
 

@@ -14,7 +14,7 @@ from tidemark.functions.scalar import action_id, build_url, clean_ticker, meetin
 from tidemark.operators.merge import merge_into, split_valid, with_key_date
 
 ROWS = "array<map<string,string>>"
-XBRL = "https://www.bseindia.com/XBRLFILES/"
+XBRL = "https://www.bseindia.com"
 #: For each kind the columns of a filing, the payload's names for it in order, and how it is read.
 KINDS: dict[str, dict[str, tuple[tuple[str, ...], str]]] = {
     "governance": {"quarter": (("Fld_QuarterId",), "text"), "fiscal_year": (("Year",), "text"), "report_date": (("Fld_EndDate",), "date"), "xbrl_url": (("xbrlurl",), "url")},

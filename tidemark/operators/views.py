@@ -63,6 +63,24 @@ def notable_shift(df: DataFrame, key: str, order: str, value: str, least: float
     return ts.latest_n(pairs.select(key, order, "before", F.col(value).alias("after")), [key], [F.desc(order)])
 
 
+def sentiment_report(calls: DataFrame, good: list[str], bad: list[str], n: int = 8, least: int = 1000) -> DataFrame:
+    """(symbol, calls, mean_score, latest, tone, trend, strength, shift_at, shift) from (symbol, d, text): of the last n calls of
+    a symbol those of at least so many characters; the trend of their scores, and the newest change of over 0.4."""
+    last = ts.latest_n(calls.select("symbol", "d", "text"), ["symbol"], [F.desc("d")], n)
+    s = last.where(F.length("text") >= least).select("symbol", "d", sg.lexicon_sentiment(F.col("text"), good, bad).alias("score"))
+    g = s.groupBy("symbol").agg(F.count("*").alias("calls"), F.avg("score").alias("mean_score"), F.max_by("score", "d").alias("latest"))
+    trend = ts.sentiment_trend(s, "symbol", "d", "score").select("symbol", "trend", "strength")
+    shift = notable_shift(s, "symbol", "d", "score").select("symbol", F.col("d").alias("shift_at"), (F.col("after") - F.col("before")).alias("shift"))
+    return g.withColumn("tone", sg.tone(F.col("latest"))).join(trend, "symbol").join(shift, "symbol", "left")
+
+
+def esg_by_symbol(companies: DataFrame, reports: DataFrame, environment: list[str], social: list[str], governance: list[str]) -> DataFrame:
+    """(symbol, e, s, g, overall, executive_pay, quality) of each company by its newest report (symbol, d, text)."""
+    newest = ts.latest_n(reports.select("symbol", "d", "text"), ["symbol"], [F.desc("d")])
+    x = sg.esg_score(F.col("text"), environment, social, governance)
+    return companies.join(newest, "symbol", "left").select("symbol", x.alias("x")).select("symbol", "x.*")
+
+
 def stock_context(snapshots: DataFrame, prices: DataFrame, news: DataFrame, n_news: int = 5) -> DataFrame:
     """One row for each symbol: newest snapshot (symbol, d, price), trend of its last seven, long-term trend of prices
     (symbol, d, close), and the newest headlines (symbol, ts, headline)."""

@@ -413,11 +413,12 @@ def n15_source_relevance(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", *[sg.source_relevance(F.col("text"), n).alias(n) for n in sg.RELEVANCE])
 
 
-@query("""SELECT p_partkey, round((s - p_retailprice) / s * 100, 6) AS discount, CASE WHEN (s - p_retailprice) / s * 100 > 10 THEN 'Undervalued' WHEN (s - p_retailprice) / s * 100 < -10 THEN 'Premium' ELSE 'Fair' END AS status
-FROM (SELECT *, avg(p_retailprice) OVER (PARTITION BY p_type) AS s FROM part)""")
+@query("""SELECT p_partkey, round_even((s - p_retailprice) / s * 100, 1) AS discount, CASE WHEN (s - p_retailprice) / s * 100 > 10 THEN 'Undervalued' WHEN (s - p_retailprice) / s * 100 < -10 THEN 'Premium' ELSE 'Fair Value' END AS status,
+  round(CASE WHEN p_size > 25 THEN p_retailprice / (p_size - 25) END, 6) AS pb FROM (SELECT *, avg(p_retailprice) OVER (PARTITION BY p_type) * 1.08 AS s FROM part)""")
 def f16_valuation_status(spark, d):
-    p = table(spark, d, "part").withColumn("s", F.avg("p_retailprice").over(Window.partitionBy("p_type")))
-    return p.select("p_partkey", r((F.col("s") - F.col("p_retailprice")) / F.col("s") * 100).alias("discount"), sc.valuation_status(F.col("p_retailprice"), F.col("s")).alias("status"))
+    p = table(spark, d, "part").withColumn("s", F.avg("p_retailprice").over(Window.partitionBy("p_type")) * 1.08)
+    pe, s = F.col("p_retailprice"), F.col("s")
+    return p.select("p_partkey", sc.valuation_discount(pe, s).alias("discount"), sc.valuation_status(pe, s).alias("status"), r(sc.price_to_book(pe, F.col("p_size") - 25.0)).alias("pb"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(g, 4) AS gain, round(CASE WHEN g <= 0 THEN 0 WHEN days > 365 THEN greatest(g - 125000, 0) * 0.125 ELSE g * 0.2 END, 4) AS tax

@@ -154,14 +154,29 @@ def c3_exposure_report(spark, d):
 
 
 @query(f"""WITH k AS (SELECT source AS symbol, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS k FROM documents),
-s AS (SELECT symbol, doc_id, {MOOD} AS score FROM k WHERE k <= 8 AND length(text) >= 1000)
-SELECT symbol, count(*) AS calls, round(avg(score), 6) AS mean_score, round(arg_max(score, doc_id), 6) AS latest FROM s GROUP BY 1""")
+s AS (SELECT symbol, doc_id, {MOOD} AS score FROM k WHERE k <= 8 AND length(text) >= 1000), n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY doc_id) AS a, row_number() OVER (PARTITION BY symbol ORDER BY doc_id DESC) AS z, lag(score) OVER (PARTITION BY symbol ORDER BY doc_id) AS b FROM s),
+g AS (SELECT symbol, count(*) AS calls, avg(score) AS m, arg_max(score, doc_id) AS l, avg(score) FILTER (z <= 2) - avg(score) FILTER (a <= 2) AS delta, max(doc_id) FILTER (abs(score - b) > 0.4) AS shift_at, arg_max(score - b, doc_id) FILTER (abs(score - b) > 0.4) AS shift FROM n GROUP BY 1)
+SELECT symbol, calls, round(m, 6) AS mean_score, round(l, 6) AS latest, CASE WHEN l > 0.3 THEN 'bullish' WHEN l > 0.1 THEN 'cautious' WHEN l > -0.1 THEN 'neutral' WHEN l > -0.3 THEN 'concerned' ELSE 'bearish' END AS tone,
+  CASE WHEN calls < 3 THEN 'insufficient' WHEN delta > 0.2 THEN 'improving' WHEN delta < -0.2 THEN 'declining' ELSE 'stable' END AS trend, round(least(1, abs(delta) / 0.5), 6) AS strength, shift_at, round(shift, 6) AS shift FROM g""")
 def c6_sentiment_report(spark, d):
-    """Of the last eight texts of each source those of 1,000 characters or more, as their scores."""
-    last = ts.latest_n(table(spark, d, "documents").select(F.col("source").alias("symbol"), "doc_id", "text"), ["symbol"], [F.desc("doc_id")], 8)
-    s = last.where(F.length("text") >= 1000).withColumn("score", sg.lexicon_sentiment(F.col("text"), GOOD, BAD))
-    g = s.groupBy("symbol").agg(F.count("*").alias("calls"), F.avg("score").alias("m"), F.max_by("score", "doc_id").alias("l"))
-    return g.select("symbol", "calls", r("m").alias("mean_score"), r("l").alias("latest"))
+    from tidemark.operators.views import sentiment_report
+
+    calls = table(spark, d, "documents").select(F.col("source").alias("symbol"), F.col("doc_id").alias("d"), "text")
+    x = sentiment_report(calls, GOOD, BAD)
+    return x.select("symbol", "calls", "tone", "trend", "shift_at", *[r(c).alias(c) for c in ("mean_score", "latest", "strength", "shift")])
+
+
+@query("""WITH k AS (SELECT source AS symbol, lower(text) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS k FROM documents),
+c AS (SELECT DISTINCT source || x AS symbol FROM documents, (VALUES (''), ('-new')) v(x)), j AS (SELECT c.symbol, t FROM c LEFT JOIN k ON k.symbol = c.symbol AND k = 1),
+v AS (SELECT symbol, t, coalesce(10 * (contains(t, 'the ')::int + contains(t, 'und ')::int), 50) AS e, coalesce(10 * contains(t, 'que ')::int, 50) AS s, coalesce(11 * contains(t, 'les ')::int, 50) AS g FROM j)
+SELECT symbol, e, s, g, trunc(e * 0.33 + s * 0.33 + g * 0.34)::int AS overall, 50 AS executive_pay, CASE WHEN t IS NULL THEN 'low' ELSE 'medium' END AS quality FROM v""")
+def n4_esg_by_symbol(spark, d):
+    from tidemark.operators.views import esg_by_symbol
+
+    docs = table(spark, d, "documents").select(F.col("source").alias("symbol"), F.col("doc_id").alias("d"), "text")
+    names = docs.select("symbol").distinct()
+    companies = names.unionByName(names.select(F.concat("symbol", F.lit("-new")).alias("symbol")))
+    return esg_by_symbol(companies, docs, ["the ", "und "], ["que "], ["les "])
 
 
 @query("""SELECT user_id, n, n_purchase, n_error, array_to_string(list_slice(h, greatest(len(h) - 9, 1), len(h)), ',') AS active_hours, CASE WHEN n > 50 THEN 'high' WHEN n > 10 THEN 'medium' ELSE 'low' END AS engagement
