@@ -123,19 +123,24 @@ HORIZON_WORDS = {"short_term": ["intraday", "short term", "swing"], "long_term":
 EXPERT_WORDS = ["pe ratio", "eps", "roce", "ebitda", "dcf", "intrinsic value", "beta", "sharpe"]
 
 
-def build_profiles(log: DataFrame, aliases: dict[str, str], allowed: list[str], concerns: list[str], risk=RISK_WORDS, horizon=HORIZON_WORDS) -> DataFrame:
-    """A profile of each user from (user_id, turn, text): counters, the last stated risk taste and horizon, the last ten
-    different tickers, concerns, verbosity, level, charts, and how engaged the user is."""
+def build_profiles(
+    log: DataFrame, aliases: dict[str, str], allowed: list[str], concerns: list[str], risk=RISK_WORDS, horizon=HORIZON_WORDS, sectors: dict[str, list[str]] | None = None, mixed: list[str] = [" kya ", " hai ", " kaise "]
+) -> DataFrame:
+    """A profile of each user from (user_id, turn, text): counters, the last stated risk taste, horizon and language, the ten
+    tickers, five sectors and five concerns that came up last for the first time, tickers owned, verbosity, level, charts, how
+    engaged the user is, and from two questions on a persona."""
     t, low = F.col("text"), F.lower(F.col("text"))
     rows = log.select(
         "user_id", "turn", sg.first_family(t, risk).alias("risk"), sg.first_family(t, horizon).alias("horizon"), sg.extract_tickers(t, aliases, allowed).alias("tickers"),
         F.array_compact(F.array(*[F.when(low.contains(c), F.lit(c)) for c in concerns])).alias("concerns"), (sg.present(t, EXPERT_WORDS) > 0).alias("expert"),
         (low.contains("chart") | low.contains("graph")).alias("charts"), F.when(F.length(t) > 100, "detailed").when(low.contains("quick") | low.contains("briefly"), "concise").alias("verbosity"),
         (sg.present(t, ["i have", "i own", "my portfolio", "i bought", "i hold"]) > 0).alias("owns"),
+        F.when(sg.detect_style(t, mixed)["mixed"], "hinglish").when(sg.detect_style(t, mixed)["devanagari"], "hindi").alias("language"),
+        F.array_compact(F.array(*[F.when(sg.present(t, ws) > 0, F.lit(n)) for n, ws in (sectors or {}).items()], F.lit(None).cast("string"))).alias("sectors"),
     )
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("turn")))
     g = rows.groupBy("user_id").agg(
-        F.count("*").alias("n"), last("risk").alias("risk"), last("horizon").alias("horizon"), last("verbosity").alias("verbosity"), F.max("expert").alias("expert"), F.max("charts").alias("charts"),
+        F.count("*").alias("n"), last("risk").alias("risk"), last("horizon").alias("horizon"), last("verbosity").alias("verbosity"), F.coalesce(last("language"), F.lit("english")).alias("language"), F.max("expert").alias("expert"), F.max("charts").alias("charts"),
     )
     # the first time that a user names a ticker or concern; the last ten or five of these
     def recent(column: str, n: int, where=None) -> DataFrame:
@@ -145,8 +150,8 @@ def build_profiles(log: DataFrame, aliases: dict[str, str], allowed: list[str],
         return kept.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias(column))
 
     none = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    out = g.join(recent("tickers", 10), "user_id", "left").join(recent("concerns", 5), "user_id", "left")
+    out = g.join(recent("tickers", 10), "user_id", "left").join(recent("concerns", 5), "user_id", "left").join(recent("sectors", 5), "user_id", "left")
     owned = recent("tickers", 100, F.col("owns")).withColumnRenamed("tickers", "owned")
     out = out.join(owned, "user_id", "left")
     engaged = F.when(F.col("n") > 50, "high").when(F.col("n") > 10, "medium").otherwise("low")
-    return out.withColumns({"tickers": none("tickers"), "concerns": none("concerns"), "owned": none("owned"), "engagement": engaged, "level": F.when(F.col("expert"), "expert").otherwise("intermediate")}).drop("expert")
+    return out.withColumns({"tickers": none("tickers"), "concerns": none("concerns"), "sectors": none("sectors"), "persona": F.when(F.col("n") >= 2, F.concat_ws(", ", F.coalesce("risk", F.lit("moderate")), F.coalesce("horizon", F.lit("medium_term")), F.coalesce("verbosity", F.lit("balanced")))), "owned": none("owned"), "engagement": engaged, "level": F.when(F.col("expert"), "expert").otherwise("intermediate")}).drop("expert")

@@ -423,16 +423,21 @@ def c17_triage(spark, d):
     return t.select("conv_id", "turn", "symbol", "comparison", "analysis", F.size("questions").alias("n_questions"))
 
 
+SECTORS = {"north": ["und ", "der "], "south": ["que ", "les "]}
+
+
 @query(f"""WITH r AS (SELECT conv_id AS user_id, turn, text, {families_sql(vw.RISK_WORDS)} AS risk, {_ALIAS_SQL} AS a, CASE WHEN length(text) > 100 THEN 'detailed' WHEN contains(lower(text), 'quick') OR contains(lower(text), 'briefly') THEN 'concise' END AS verbosity,
-  {any_sql(vw.EXPERT_WORDS)} AS expert FROM conversations),
-f AS (SELECT user_id, x, min({{'turn': turn, 'p': p}}) AS f0 FROM (SELECT user_id, turn, unnest(a) AS x, unnest(range(len(a))) AS p FROM r) GROUP BY ALL)
-SELECT g.user_id, g.n, g.risk, g.verbosity, coalesce(t.tickers, '') AS tickers, g.level, g.engagement FROM (SELECT user_id, count(*) AS n, arg_max(risk, turn) FILTER (risk IS NOT NULL) AS risk, arg_max(verbosity, turn) FILTER (verbosity IS NOT NULL) AS verbosity,
+  {any_sql(vw.EXPERT_WORDS)} AS expert, list_filter([{', '.join(f"CASE WHEN {any_sql(w)} THEN '{n}' END" for n, w in SECTORS.items())}], lambda x: x IS NOT NULL) AS se FROM conversations),
+f AS (SELECT user_id, k, x, min({{'turn': turn, 'p': p}}) AS f0 FROM (SELECT user_id, turn, 'a' AS k, unnest(a) AS x, unnest(range(len(a))) AS p FROM r UNION ALL SELECT user_id, turn, 's', unnest(se), unnest(range(len(se))) FROM r) GROUP BY ALL)
+SELECT g.user_id, g.n, g.risk, g.verbosity, coalesce(t.tickers, '') AS tickers, coalesce(t.sectors, '') AS sectors, g.level, g.engagement, CASE WHEN n >= 2 THEN concat_ws(', ', coalesce(risk, 'moderate'), 'medium_term', coalesce(verbosity, 'balanced')) END AS persona
+FROM (SELECT user_id, count(*) AS n, arg_max(risk, turn) FILTER (risk IS NOT NULL) AS risk, arg_max(verbosity, turn) FILTER (verbosity IS NOT NULL) AS verbosity,
   CASE WHEN bool_or(expert) THEN 'expert' ELSE 'intermediate' END AS level, CASE WHEN count(*) > 50 THEN 'high' WHEN count(*) > 10 THEN 'medium' ELSE 'low' END AS engagement FROM r GROUP BY 1) g
-LEFT JOIN (SELECT user_id, string_agg(x, ',' ORDER BY f0) AS tickers FROM f GROUP BY 1) t ON t.user_id = g.user_id""")
+LEFT JOIN (SELECT user_id, string_agg(x, ',' ORDER BY f0) FILTER (k = 'a') AS tickers, string_agg(x, ',' ORDER BY f0) FILTER (k = 's') AS sectors FROM f GROUP BY 1) t ON t.user_id = g.user_id""")
 def c9_build_profiles(spark, d):
+    """Profiles without a stated horizon (the corpus has none of its words)."""
     log = table(spark, d, "conversations").select(F.col("conv_id").alias("user_id"), "turn", "text")
-    p = vw.build_profiles(log, ALIASES, [], ["le ", "der "])
-    return p.select("user_id", "n", "risk", "verbosity", F.array_join("tickers", ",").alias("tickers"), "level", "engagement")
+    p = vw.build_profiles(log, ALIASES, [], ["le ", "der "], horizon={"short_term": ["intraday trading"]}, sectors=SECTORS)
+    return p.select("user_id", "n", "risk", "verbosity", F.array_join("tickers", ",").alias("tickers"), F.array_join("sectors", ",").alias("sectors"), "level", "engagement", "persona")
 
 
 # ---- functions ----
