@@ -15,29 +15,45 @@ from tidemark.llm.common import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text scores under 0.5 for toxicity."""
+    """Rows whose text scores under 0.5 for toxicity.
+
+    Null and empty texts have no words and stay. Rows that share an id go if one of them is toxic; a row without id is judged
+    with the other rows without id. Columns pass through, whatever their names.
+    """
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without the later copies of repeated line runs; n_chars follows the text."""
+    """All rows, without the later copies of repeated lines (smallest id, then earliest, stays); n_chars follows the text.
+
+    Null texts stay null, a text may become empty; equal rows are one occurrence and don't empty each other; a row without id
+    keeps its text. Other columns pass through.
+    """
     out = line_dedup.line_dedup(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (similarity of 0.8 or more) the row with the smallest id."""
+    """Of each group of near-duplicates (similarity of 0.8 or more) the row with the smallest id.
+
+    Null, empty and wordless texts are near to nothing and stay, as do rows without id. Rows that share an id are one document
+    and stay or go together. Columns pass through.
+    """
     gone = minhash.near_duplicates(docs, percent=80).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds no benchmark item."""
+    """Rows whose text holds no benchmark item.
+
+    Null and empty texts hold none. Rows are judged one by one, also those that share an id or have none; equal rows stay or go
+    together. Columns pass through.
+    """
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_ids, ids_sha256, restored, ids) of each row."""
+    """(doc_id, n_ids, ids_sha256, restored, ids) of each row: null ids and counts for a null text, none for an empty one."""
     return sentencepiece.encode(docs).select("doc_id", "n_ids", "ids_sha256", "restored", "ids")
 
 
