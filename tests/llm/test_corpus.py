@@ -238,6 +238,18 @@ def test_minhash_of_shared_ids(spark):
     assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 5, True), (6, 6, True), *[(7, 1, False)] * 3]
 
 
+def test_scratch_tables_can_be_removed(spark):
+    import os
+
+    from tidemark.llm import common
+
+    common.clean(spark)
+    cut = common.cut(spark.range(3), "x")
+    assert cut.count() == 3 and len(common._WRITTEN) == 1
+    path = common._WRITTEN[0]
+    assert os.path.isdir(path) and common.clean(spark) == 1 and not os.path.exists(path)
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
