@@ -12,33 +12,36 @@ from tidemark.operators import indexing as ix
 from tidemark.operators import retrieval as rt
 from tidemark.registry import query, r, table
 
+_ITEMS = "SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 100 = 0"
+_TITLES = "SELECT doc_id AS query_id, string_split(text, chr(10))[1] AS query FROM documents WHERE doc_id % 100 = 0"
 _BM25 = r"""w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents), l AS (SELECT doc_id, count(*) AS dl FROM w GROUP BY 1), n AS (SELECT count(*) AS n, avg(dl) AS a FROM l),
-q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 100 = 0),
+q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM asked),
 p AS (SELECT term, doc_id, count(*) AS tf FROM w SEMI JOIN q USING (term) GROUP BY ALL),
 h AS (SELECT * FROM p JOIN q USING (term) JOIN l USING (doc_id)), f AS (SELECT query_id, term, count(*) AS df FROM h GROUP BY ALL),
 s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 9) AS raw, count(*) AS got FROM h JOIN f USING (query_id, term), n GROUP BY ALL),
 m AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1)"""
 
 
-def _bm25(spark, d, all_terms: bool):
+def _bm25(spark, d, queries, all_terms: bool):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    q = table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    hits, words = rt.query_hits(docs, q)
+    hits, words = rt.query_hits(docs, queries)
     return rt.bm25_search(hits, words, rt.term_stats(docs), all_terms=all_terms).select("query_id", "doc_id", r("score").alias("score"), "rank")
 
 
-@query(f"""WITH {_BM25}, k AS (SELECT query_id, doc_id, raw / (raw + 1) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw / (raw + 1) DESC, doc_id) AS rank FROM s JOIN m USING (query_id) WHERE got = need)
+@query(f"""WITH asked AS ({_TITLES}), {_BM25}, k AS (SELECT query_id, doc_id, raw / (raw + 1) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw / (raw + 1) DESC, doc_id) AS rank FROM s JOIN m USING (query_id) WHERE got = need)
 SELECT query_id, doc_id, round(score, 6) AS score, rank::int AS rank FROM k WHERE rank <= 10""")
 def r5_bm25_search(spark, d):
-    """Texts that hold all terms of an item."""
-    return _bm25(spark, d, True)
+    """Texts that hold all terms of the first line of a document whose id is divisible by 100."""
+    q = table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.split("text", "\n", -1)[0].alias("query"))
+    return _bm25(spark, d, q, True)
 
 
-@query(f"""WITH {_BM25}, k AS (SELECT query_id, doc_id, raw / (raw + 1) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw / (raw + 1) DESC, doc_id) AS rank FROM s)
+@query(f"""WITH asked AS ({_ITEMS}), {_BM25}, k AS (SELECT query_id, doc_id, raw / (raw + 1) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw / (raw + 1) DESC, doc_id) AS rank FROM s)
 SELECT query_id, doc_id, round(score, 6) AS score, rank::int AS rank FROM k WHERE rank <= 10""")
 def r5_bm25_ranked(spark, d):
-    """Texts with the highest sum over the terms of an item that they hold."""
-    return _bm25(spark, d, False)
+    """Texts with the highest sum over the terms of a benchmark item that they hold."""
+    q = table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return _bm25(spark, d, q, False)
 
 
 #: Lines as chunks: section by the place of a line, page of three lines.
