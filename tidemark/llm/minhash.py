@@ -13,7 +13,8 @@ estimate of a small set is not used either, as it rests on too few registers.
 Groups of any size are handled without emitting their pairs: documents with equal sets are one class with the smallest
 id as its representative; each bucket is first a star around its smallest member. Members of a bucket that the confirmed
 star links leave in different components are then compared across components, at places chosen by an exact prefix bound
-on their shingles. So every link between different texts is either confirmed or joins documents connected already.
+on their shingles; a bitmap of each set, part of the join's condition, bounds what two sets can share, so that groups just
+under the threshold don't become rows. So every link between different texts is either confirmed or joins documents connected already.
 
 Defined results: a null or empty text, or one without words, has no shingle, is linked with nothing and is kept. Rows
 with the same id are one document: each row gets its own count, what is near to one of its texts is linked with all, and
@@ -23,6 +24,7 @@ they are kept or not together. A row without id is kept, with a null component.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -172,6 +174,18 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"cell": cell, "n": total[cell]})
 
 
+#: Words of 64 bits in a set's bitmap.
+WORDS = 4
+
+
+def bits_of(shingles: np.ndarray) -> dict[str, int]:
+    """A bitmap of a set: each shingle sets one bit. Two sets differ in as many shingles as their bitmaps in bits, or more."""
+    at = (mix(shingles + np.uint64(3)) & np.uint64(64 * WORDS - 1)).astype(np.int64)
+    table = np.zeros(64 * WORDS, np.uint8)
+    table[at] = 1
+    return {f"b{i}": int(x) for i, x in enumerate(np.packbits(table).view(np.int64))}
+
+
 def _early(percent: int, levels):
     """The shingles that may be the first common one of a similar pair, with their places p from 1 on."""
 
@@ -185,7 +199,7 @@ def _early(percent: int, levels):
                 order = np.lexsort((own, np.minimum(levels.value[one], levels.value[two])))
                 # as the larger set of a pair, n - percent n + 1 places at most
                 first = own[order[: len(own) + 1 + (-percent * len(own)) // 100]]
-                rows.append(pd.DataFrame({"doc_id": key, "component": component, "n": len(own), "p": np.arange(1, len(first) + 1), "shingle": first.view(np.int64)}))
+                rows.append(pd.DataFrame({"doc_id": key, "component": component, "n": len(own), "p": np.arange(1, len(first) + 1), "shingle": first.view(np.int64), **bits_of(own)}))
                 waiting += len(first)
                 if waiting >= 100_000:
                     yield pd.concat(rows)
@@ -213,20 +227,21 @@ def _across(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     levels = np.zeros(2 * CELLS, np.int8)
     levels[found["cell"].to_numpy()] = found["level"].to_numpy()
     each = cut(
-        apart.mapInPandas(_early(percent, spark.sparkContext.broadcast(levels)), "doc_id long, component long, n long, p long, shingle long"),
+        apart.mapInPandas(_early(percent, spark.sparkContext.broadcast(levels)), "doc_id long, component long, n long, p long, shingle long" + "".join(f", b{i} long" for i in range(WORDS))),
         "shingles",
     )
     # only shingles of several components can join any
     several = each.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     early = cut(each.join(several.select("shingle"), "shingle", "left_semi"), "early")
-    cols = ["doc_id", "component", "n", "p"]
+    cols = ["doc_id", "component", "n", "p", *[f"b{i}" for i in range(WORDS)]]
     x = early.where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1)
     x = x.select("shingle", *[F.col(c).alias(f"x_{c}") for c in cols])
     y = early.select("shingle", *[F.col(c).alias(f"y_{c}") for c in cols])
     need = F.ceil((F.col("x_n") + F.col("y_n")) * percent / (100 + percent))
     fits = (F.col("x_component") != F.col("y_component")) & (F.col("x_n") <= F.col("y_n")) & (100 * F.col("x_n") >= percent * F.col("y_n"))
     enough = 1 + F.least(F.col("x_n") - F.col("x_p"), F.col("y_n") - F.col("y_p")) >= need
-    met = x.join(y, (x["shingle"] == y["shingle"]) & fits & enough)
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x_b{i}").bitwiseXOR(F.col(f"y_b{i}"))) for i in range(WORDS)])
+    met = x.join(y, (x["shingle"] == y["shingle"]) & fits & enough & (F.col("x_n") + F.col("y_n") - differ >= 2 * need))
     return met.select(F.greatest("x_doc_id", "y_doc_id").alias("a"), F.least("x_doc_id", "y_doc_id").alias("b")).distinct()
 
 
