@@ -43,12 +43,18 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which clean() removes with all that is under it."""
+    path = f"{shared_dir(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends here, and lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,6 +67,24 @@ def clean(spark: SparkSession) -> int:
     return done
 
 
+#: A name of more than this share of the rows is common; there are fewer than 1 / COMMON of them.
+COMMON = 1 / 1000
+
+
+def join_by_name(rows: DataFrame, names: DataFrame, keys: list[str], columns: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with the columns of names (one row a name, with its number of rows as count).
+
+    Common names are broadcast, so their rows stay where they are; the others, and with how = "left" rows without a name, are
+    joined by an exchange that no name dominates.
+    """
+    names = cut(names.select(*keys, "count", *columns), "names")
+    most = COMMON * rows.count()
+    common = F.broadcast(names.where(F.col("count") > most).drop("count"))
+    rare = names.where(F.col("count") <= most).drop("count")
+    few = rows.join(F.broadcast(common.select(*keys)), keys, "left_anti").join(rare, keys, how)
+    return few.unionByName(rows.join(common, keys).select(*few.columns))
+
+
 # ---- fingerprints, for use inside tasks ----
 
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)

@@ -1,7 +1,9 @@
 """The registered corpus queries and the SQL of those that SQL can express."""
 
 from tidemark.llm import (
+    alignment,
     decontaminate,
+    divergence,
     licenses,
     line_dedup,
     minhash,
@@ -10,6 +12,7 @@ from tidemark.llm import (
     quality_rules,
     sentencepiece,
     substring_dedup,
+    token_files,
     toxicity,
 )
 
@@ -24,8 +27,12 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_token_files": token_files.op11_token_files,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_alignment": alignment.op13_alignment,
 }
 ORACLES = {
     "op2_licenses": licenses.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
+    "op12_source_divergence": divergence.ORACLE_SQL,
 }
