@@ -8,9 +8,9 @@ same pattern) and the library's own model merges each part; everything else goes
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
+from array import array
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -19,9 +19,12 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 LOWER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 #: What is prepared here: Latin letters and ASCII, without control characters.
-_PLAIN = regex.compile(r"[\t-\r\x20-\x7e\xa0-ɏ]*")
+_LAST = "ɏ"
+_PLAIN = regex.compile(rf"[\t-\r\x20-\x7e\xa0-{_LAST}]*")
+#: Marks that often follow a word; each is a part of its own behind letters.
+_MARKS = frozenset(".,;:!?)")
 #: Parts whose ids are remembered at most, and the longest of them in characters.
-REMEMBERED, LONGEST = 200_000, 32
+REMEMBERED, LONGEST = 60_000, 32
 
 
 def byte_characters() -> dict[int, str]:
@@ -38,9 +41,12 @@ class Library:
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.encode_special_tokens = not special
         self.model = self.tokenizer.model
+        self.merge = self.model.tokenize
         told = json.loads(source)
-        self.marks = [t["content"] for t in told.get("added_tokens", [])] if special else []
+        marks = [t["content"] for t in told.get("added_tokens", [])] if special else []
+        self.special = re.compile("|".join(map(re.escape, marks))) if marks else None
         self.pattern, self.lower = self._preparation(told)
+        self.spaced = self.pattern is not None and self.pattern.pattern == BYTE_LEVEL  # a part may begin with a space
         self.table = byte_characters()
         self.known: dict[str, bytes] = {}
 
@@ -61,22 +67,26 @@ class Library:
                 return regex.compile(steps[0]["pattern"]["Regex"]), lower
         return None, False
 
+    def _part(self, part: str, mapped: str) -> bytes:
+        got = array("I", [t.id for t in self.merge(mapped)]).tobytes()
+        if len(part) <= LONGEST:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[part] = got
+        return got
+
+    def _of(self, part: str) -> bytes:
+        """The ids of one part, in normal form."""
+        return self.known.get(part) or self._part(part, part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(self.table))
+
     def ids(self, text: str) -> bytes:
-        """The ids of a stretch as little-endian unsigned 32-bit numbers, one after another."""
-        if self.pattern is None or not _PLAIN.fullmatch(text) or any(m in text for m in self.marks):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.lower:
-            text = unicodedata.normalize("NFC", text).lower()
-        known = self.known
-        out = []
-        for part in [text] if text.isascii() and text.isalpha() else self.pattern.findall(text):
-            got = known.get(part)
-            if got is None:
-                mapped = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(self.table)
-                got = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-                if len(part) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[part] = got
-            out.append(got)
-        return b"".join(out)
+        """The ids of a stretch as unsigned 32-bit numbers of this machine, one after another."""
+        if self.pattern is not None:
+            low = text.lower() if self.lower else text
+            body, mark = (low[:-1], low[-1]) if low[-1:] in _MARKS else (low, "")
+            letters = body[1:] if self.spaced and body[:1] == " " else body
+            if letters.isalpha() and (letters.isascii() or max(letters) <= _LAST):  # one part, and perhaps a mark
+                return self._of(body) + self._of(mark) if mark else self._of(body)
+            if _PLAIN.fullmatch(text) and not (self.special and self.special.search(text)):
+                return b"".join(map(self._of, self.pattern.findall(low)))  # these characters are in normal form
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

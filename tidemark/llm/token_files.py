@@ -47,8 +47,8 @@ BLOCK = 1 << 16
 #: Session setting that names the tokenizer's file, and what is taken without it.
 SETTING, TOKENIZER = "spark.tidemark.word.tokenizer", "/opt/tokenizers/word_bpe_49k.json"
 END = 2
-#: Words whose ids a worker remembers at most, and the longest of them in bytes.
-REMEMBERED, LONGEST = 200_000, 64
+#: Words whose ids a worker remembers at most, as many that came once, and the longest of them in bytes.
+REMEMBERED, NEW, LONGEST = 200_000, 80_000, 64
 
 _CHUNKS = pa.schema([("offset", pa.int64()), ("n", pa.int32()), ("planes", pa.list_(pa.int32()))])
 _DOCS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64())])
@@ -189,17 +189,25 @@ class Reader:
 
 
 class Words(dict):
-    """The packed ids of words, made on first sight."""
+    """The packed ids of words, made on first sight. Words that come again are remembered longer than new ones, so that the many that come
+    once don't push them out."""
 
     def __init__(self, tokenizer: str):
         self.library = Library(tokenizer)
+        self.new: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.library.ids(word.decode("utf-8", "replace"))
-        if len(word) <= LONGEST:
+        ids = self.new.pop(word, None)
+        if ids is not None:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[word] = ids
+            return ids
+        ids = self.library.ids(word.decode("utf-8", "replace"))
+        if len(word) <= LONGEST:
+            if len(self.new) >= NEW:
+                self.new.clear()
+            self.new[word] = ids
         return ids
 
     def of(self, text: bytes | None) -> np.ndarray:
