@@ -11,9 +11,10 @@ first n - ceil(t n) + 1 of either hold a common one. These are the small sets' b
 estimate of a small set is not used either, as it rests on too few registers.
 
 Groups of any size are handled without emitting their pairs: documents with equal sets are one class with the smallest
-id as its representative; each bucket is first a star around its smallest member. Members of a bucket that the confirmed
-star links leave in different components are then compared across components, at places chosen by an exact prefix bound
-on their shingles; a bitmap of each set, part of the join's condition, bounds what two sets can share, so that groups just
+id as its representative; each bucket is first a star around its smallest member, and then, for those that the confirmed links
+leave apart from it, around another one of them, for some rounds: a group of mutually similar texts becomes one component as soon as one
+of them is the middle. Members of a bucket that are still in different components are then compared across components, at places chosen
+by an exact prefix bound on their shingles; a bitmap of each set, part of the join's condition, bounds what two sets can share, so that groups just
 under the threshold don't become rows. So every link between different texts is either confirmed or joins documents connected already.
 
 Defined results: a null or empty text, or one without words, has no shingle, is linked with nothing and is kept. Rows
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut, documents, mix, shingle_set, word_names
+from tidemark.llm.common import components, cut, documents, join_by_name, mix, shingle_set, word_names
 
 REGISTERS = 128
 ROWS = 4
@@ -41,6 +42,8 @@ MANTISSA = 10
 MARGIN = 0.2
 #: Sets of at most so many shingles, and those that may be similar to one, are met by their first shingles.
 SMALL = 64
+#: Rounds of stars around a member of each bucket; what they leave apart is compared across components.
+STARS = 4
 #: Cells in each of the two tables that count shingles; more make the order finer, the results are the same.
 CELLS = 1 << 19
 
@@ -245,6 +248,27 @@ def _across(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return met.select(F.greatest("x_doc_id", "y_doc_id").alias("a"), F.least("x_doc_id", "y_doc_id").alias("b")).distinct()
 
 
+def _merge(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links (a, b)."""
+    of = grouped.select("node", "component")
+    edges = (
+        links.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+        .join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    )
+    merged = components(edges)
+    new = merged.select("node", F.col("node").alias("mid")).join(of.select("node"), "node", "left_anti")
+    every = of.select("node", F.col("component").alias("mid")).unionByName(new)
+    every = every.join(merged.select(F.col("node").alias("mid"), F.col("component").alias("top")), "mid", "left")
+    return cut(every.select("node", F.coalesce("top", "mid").alias("component")), "grouped")
+
+
+def _placed(members: DataFrame, grouped: DataFrame) -> DataFrame:
+    """members (with doc_id) and their component, which is the document itself before its first link."""
+    found = members.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return found.withColumn("component", F.coalesce("component", "doc_id"))
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -252,44 +276,39 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = cut(texts.mapInPandas(_sketches(percent), _SKETCH), "sketches")
     named = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(named.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = cut(named.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("count")), "classes")
     rep = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "f1", "f2")
     reps = named.join(rep, rep.columns, "left_semi").dropDuplicates(rep.columns)
 
-    buckets = reps.select("doc_id", F.explode(_buckets()).alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
-    shared = cut(buckets.join(hubs.select("bucket", "hub"), "bucket"), "buckets")
+    buckets = cut(reps.select("doc_id", F.explode(_buckets()).alias("bucket")), "buckets")
+    hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("count")).where("count > 1")
+    left = shared = cut(join_by_name(buckets, hubs, ["bucket"], ["hub"]), "shared")
     only = texts.join(shared.select("doc_id").distinct(), "doc_id")
     only = cut(only.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h"), "texts")
 
-    stars = shared.where("hub < doc_id").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    first = cut(_links(stars, reps, only, percent), "links")
-    grouped = components(first)
+    grouped = docs.sparkSession.createDataFrame([], "node long, component long")
+    for turn in range(STARS):
+        stars = left.where("hub <> doc_id").select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct()
+        grouped = _merge(grouped, cut(_links(stars, reps, only, percent), "links"))
+        # who is still apart from its bucket's hub is asked again, around another of these
+        of_hub = grouped.select(F.col("node").alias("hub"), F.col("component").alias("_c"))
+        apart = _placed(left, grouped).join(of_hub, "hub", "left").where(F.col("component") != F.coalesce("_c", "hub"))
+        apart = cut(apart.select("doc_id", "bucket"), "apart")
+        pick = F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn)))
+        hubs = apart.groupBy("bucket").agg(pick.alias("hub"), F.count("*").alias("count")).where("count > 1")
+        left = cut(join_by_name(apart, hubs, ["bucket"], ["hub"]), "left")
+        if left.isEmpty():
+            break
 
     # what the stars left apart: members of one bucket in different components
-    placed = shared.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rest = cut(placed.join(open_.select("bucket"), "bucket", "left_semi").select("doc_id", "component").distinct(), "rest")
-    links = cut(_links(_across(rest, only, percent), reps, only, percent), "links")
-    # merge the components that the late links join
-    of = grouped.select("node", "component")
-    edges = (
-        links.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-        .join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    )
-    merged = components(edges)
-    whole = (
-        grouped.select("node", F.col("component").alias("mid"))
-        .unionByName(merged.select("node", F.col("node").alias("mid")).join(grouped.select("node"), "node", "left_anti"))
-        .join(merged.select(F.col("node").alias("mid"), F.col("component").alias("top")), "mid", "left")
-        .select(F.col("node").alias("rep"), F.coalesce("top", "mid").alias("component_id"))
-    )
-    classed = classes.join(whole, "rep", "left").select(
-        "n_shingles", "f1", "f2", F.coalesce("component_id", "rep").alias("component_id")
-    )
-    out = sketches.select("doc_id", "n_shingles", "f1", "f2").join(classed, ["n_shingles", "f1", "f2"], "left")
+    placed = cut(_placed(shared.select("bucket", "doc_id"), grouped), "placed")
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("count")).where("lo < hi")
+    rest = cut(join_by_name(placed, open_, ["bucket"], []).select("doc_id", "component").distinct(), "rest")
+    grouped = _merge(grouped, cut(_links(_across(rest, only, percent), reps, only, percent), "links"))
+    whole = grouped.select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
+    classed = classes.join(whole, "rep", "left").select("n_shingles", "f1", "f2", "count", F.coalesce("component_id", "rep").alias("component_id"))
+    rows = sketches.select("doc_id", "n_shingles", "f1", "f2")
+    out = join_by_name(rows, classed, ["n_shingles", "f1", "f2"], ["component_id"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
