@@ -117,41 +117,78 @@ def triage(queries: DataFrame, aliases: dict[str, str], allowed: list[str], scop
     )
 
 
-#: Words that show a user's taste for risk and horizon, in the order in which they are looked for.
-RISK_WORDS = {"aggressive": ["aggressive", "high risk", "multibagger"], "conservative": ["safe", "conservative", "low risk", "stable"], "moderate": ["balanced", "moderate"]}
-HORIZON_WORDS = {"short_term": ["intraday", "short term", "swing"], "long_term": ["long term", "retirement", "years"], "medium_term": ["medium term", "months"]}
+# Words that show a user's taste for risk, horizon, sectors, concerns, level and language, in the order in which they are looked for.
+RISK_WORDS = {
+    "aggressive": ["yolo", "double", "multibagger", "high growth", "alpha", "momentum", "swing trade"],
+    "conservative": ["safe", "stable", "dividend", "blue chip", "low risk", "fd", "government"],
+    "moderate": ["balanced", "diversified", "index", "etf", "sip"],
+}
+HORIZON_WORDS = {
+    "short": ["intraday", "short term", "quick", "this week", "tomorrow", "swing"],
+    "long": ["long term", "10 year", "retire", "wealth", "compound", "hold forever"],
+    "medium": ["1 year", "few months", "medium term"],
+}
+SECTOR_WORDS = {
+    "banking": ["bank", "hdfc", "icici", "kotak", "axis", "sbi", "nifty bank"],
+    "it": ["tcs", "infosys", "wipro", "tech mahindra", "hcl", "it sector", "software"],
+    "pharma": ["pharma", "sun pharma", "dr reddy", "cipla", "biocon", "healthcare"],
+    "auto": ["auto", "tata motors", "maruti", "m&m", "bajaj", "eicher", "ev"],
+    "fmcg": ["fmcg", "hindustan unilever", "itc", "nestle", "dabur", "marico"],
+    "energy": ["reliance", "oil", "ongc", "power", "adani power", "tata power"],
+    "metals": ["tata steel", "hindalco", "vedanta", "coal india", "nmdc"],
+}
+CONCERN_WORDS = ["risk", "loss", "volatile", "crash", "fall"]
 EXPERT_WORDS = ["pe ratio", "eps", "roce", "ebitda", "dcf", "intrinsic value", "beta", "sharpe"]
+OWNER_WORDS = ["i have", "i own", "my portfolio", "i bought", "i hold"]
+MIXED_WORDS = ["kya", "hai", "nahi", "acha", "kitna", "kaisa", "kaise", "bhai", "yaar"]
 
+#: How many of a user's tickers, concerns and sectors a profile keeps, by last first mention; owned tickers all stay.
+KEPT = {"tickers": 10, "concerns": 5, "sectors": 5}
 
-def build_profiles(
-    log: DataFrame, aliases: dict[str, str], allowed: list[str], concerns: list[str], risk=RISK_WORDS, horizon=HORIZON_WORDS, sectors: dict[str, list[str]] | None = None, mixed: list[str] = [" kya ", " hai ", " kaise "]
+
+def profile_rows(
+    log: DataFrame, aliases: dict[str, str], allowed: list[str], concerns: list[str] = CONCERN_WORDS, risk=RISK_WORDS, horizon=HORIZON_WORDS,
+    sectors: dict[str, list[str]] = SECTOR_WORDS, mixed: list[str] = MIXED_WORDS,
 ) -> DataFrame:
-    """A profile of each user from (user_id, turn, text): counters, the last stated risk taste, horizon and language, the ten
-    tickers, five sectors and five concerns that came up last for the first time, tickers owned, verbosity, level, charts, how
-    engaged the user is, and from two questions on a persona."""
+    """What each row of a log (user_id, turn, text), batch or stream, says about its user."""
     t, low = F.col("text"), F.lower(F.col("text"))
-    rows = log.select(
-        "user_id", "turn", sg.first_family(t, risk).alias("risk"), sg.first_family(t, horizon).alias("horizon"), sg.extract_tickers(t, aliases, allowed).alias("tickers"),
-        F.array_compact(F.array(*[F.when(low.contains(c), F.lit(c)) for c in concerns])).alias("concerns"), (sg.present(t, EXPERT_WORDS) > 0).alias("expert"),
-        (low.contains("chart") | low.contains("graph")).alias("charts"), F.when(F.length(t) > 100, "detailed").when(low.contains("quick") | low.contains("briefly"), "concise").alias("verbosity"),
-        (sg.present(t, ["i have", "i own", "my portfolio", "i bought", "i hold"]) > 0).alias("owns"),
+    some = lambda items: F.array_compact(F.array(*items, F.lit(None).cast("string")))
+    return log.select(
+        "user_id", F.col("turn").cast("long").alias("turn"), sg.first_family(t, risk).alias("risk"), sg.first_family(t, horizon).alias("horizon"),
+        F.when(F.length(t) > 100, "detailed").when(low.contains("quick") | low.contains("briefly"), "concise").alias("verbosity"),
         F.when(sg.detect_style(t, mixed)["mixed"], "hinglish").when(sg.detect_style(t, mixed)["devanagari"], "hindi").alias("language"),
-        F.array_compact(F.array(*[F.when(sg.present(t, ws) > 0, F.lit(n)) for n, ws in (sectors or {}).items()], F.lit(None).cast("string"))).alias("sectors"),
+        (sg.present(t, EXPERT_WORDS) > 0).alias("expert"), F.coalesce(low.contains("chart") | low.contains("graph"), F.lit(False)).alias("charts"), (sg.present(t, OWNER_WORDS) > 0).alias("owns"),
+        F.coalesce(sg.extract_tickers(t, aliases, allowed), F.array().cast("array<string>")).alias("tickers"), some([F.when(low.contains(c), F.lit(c)) for c in concerns]).alias("concerns"),
+        some([F.when(sg.present(t, ws) > 0, F.lit(n)) for n, ws in sectors.items()]).alias("sectors"),
     )
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("turn")))
-    g = rows.groupBy("user_id").agg(
-        F.count("*").alias("n"), last("risk").alias("risk"), last("horizon").alias("horizon"), last("verbosity").alias("verbosity"), F.coalesce(last("language"), F.lit("english")).alias("language"), F.max("expert").alias("expert"), F.max("charts").alias("charts"),
-    )
-    # the first time that a user names a ticker or concern; the last ten or five of these
-    def recent(column: str, n: int, where=None) -> DataFrame:
-        each = (rows if where is None else rows.where(where)).select("user_id", "turn", F.posexplode(column).alias("p", "x")).groupBy("user_id", "x").agg(F.min(F.struct("turn", "p")).alias("at"))
-        w = Window.partitionBy("user_id").orderBy(F.desc("at"))
-        kept = each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-        return kept.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias(column))
-
-    none = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    out = g.join(recent("tickers", 10), "user_id", "left").join(recent("concerns", 5), "user_id", "left").join(recent("sectors", 5), "user_id", "left")
-    owned = recent("tickers", 100, F.col("owns")).withColumnRenamed("tickers", "owned")
-    out = out.join(owned, "user_id", "left")
+
+
+def finish_profiles(facts: DataFrame) -> DataFrame:
+    """Adds how engaged a user is, the level, and from two questions on a persona."""
     engaged = F.when(F.col("n") > 50, "high").when(F.col("n") > 10, "medium").otherwise("low")
-    return out.withColumns({"tickers": none("tickers"), "concerns": none("concerns"), "sectors": none("sectors"), "persona": F.when(F.col("n") >= 2, F.concat_ws(", ", F.coalesce("risk", F.lit("moderate")), F.coalesce("horizon", F.lit("medium_term")), F.coalesce("verbosity", F.lit("balanced")))), "owned": none("owned"), "engagement": engaged, "level": F.when(F.col("expert"), "expert").otherwise("intermediate")}).drop("expert")
+    persona = F.concat_ws(", ", F.coalesce("risk", F.lit("moderate")), F.coalesce("horizon", F.lit("medium")), F.coalesce("verbosity", F.lit("balanced")))
+    return facts.withColumns({
+        "language": F.coalesce("language", F.lit("english")), "persona": F.when(F.col("n") >= 2, persona), "engagement": engaged, "level": F.when(F.col("expert"), "expert").otherwise("intermediate"),
+    }).drop("expert")
+
+
+def build_profiles(log: DataFrame, aliases: dict[str, str], allowed: list[str], *words, **more) -> DataFrame:
+    """A profile of each user from (user_id, turn, text): counters, the last stated risk taste, horizon, verbosity and language, the
+    ten tickers, five sectors and five concerns that came up last for the first time, tickers owned, level, charts, how
+    engaged the user is, and from two questions on a persona. Word lists as for profile_rows."""
+    rows = profile_rows(log, aliases, allowed, *words, **more)
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("turn"))).alias(c)
+    out = rows.groupBy("user_id").agg(F.count("*").alias("n"), last("risk"), last("horizon"), last("verbosity"), last("language"), F.max("expert").alias("expert"), F.max("charts").alias("charts"))
+
+    def recent(column: str, name: str, n: int | None, where: str = "true") -> DataFrame:
+        """The last n by first mention, in that order."""
+        each = rows.where(where).select("user_id", "turn", F.posexplode(column).alias("p", "x")).groupBy("user_id", "x").agg(F.min(F.struct("turn", "p")).alias("at"))
+        if n is not None:
+            each = each.withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("at")))).where(F.col("_r") <= n)
+        return each.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias(name))
+
+    for column, n in KEPT.items():
+        out = out.join(recent(column, column, n), "user_id", "left")
+    out = out.join(recent("tickers", "owned", None, "owns"), "user_id", "left")
+    none = F.array().cast("array<string>")
+    return finish_profiles(out.withColumns({c: F.coalesce(c, none) for c in (*KEPT, "owned")}))

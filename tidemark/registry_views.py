@@ -423,21 +423,46 @@ def c17_triage(spark, d):
     return t.select("conv_id", "turn", "symbol", "comparison", "analysis", F.size("questions").alias("n_questions"))
 
 
-SECTORS = {"north": ["und ", "der "], "south": ["que ", "les "]}
 
 
-@query(f"""WITH r AS (SELECT conv_id AS user_id, turn, text, {families_sql(vw.RISK_WORDS)} AS risk, {_ALIAS_SQL} AS a, CASE WHEN length(text) > 100 THEN 'detailed' WHEN contains(lower(text), 'quick') OR contains(lower(text), 'briefly') THEN 'concise' END AS verbosity,
-  {any_sql(vw.EXPERT_WORDS)} AS expert, list_filter([{', '.join(f"CASE WHEN {any_sql(w)} THEN '{n}' END" for n, w in SECTORS.items())}], lambda x: x IS NOT NULL) AS se FROM conversations),
-f AS (SELECT user_id, k, x, min({{'turn': turn, 'p': p}}) AS f0 FROM (SELECT user_id, turn, 'a' AS k, unnest(a) AS x, unnest(range(len(a))) AS p FROM r UNION ALL SELECT user_id, turn, 's', unnest(se), unnest(range(len(se))) FROM r) GROUP BY ALL)
-SELECT g.user_id, g.n, g.risk, g.verbosity, coalesce(t.tickers, '') AS tickers, coalesce(t.sectors, '') AS sectors, g.level, g.engagement, CASE WHEN n >= 2 THEN concat_ws(', ', coalesce(risk, 'moderate'), 'medium_term', coalesce(verbosity, 'balanced')) END AS persona
-FROM (SELECT user_id, count(*) AS n, arg_max(risk, turn) FILTER (risk IS NOT NULL) AS risk, arg_max(verbosity, turn) FILTER (verbosity IS NOT NULL) AS verbosity,
-  CASE WHEN bool_or(expert) THEN 'expert' ELSE 'intermediate' END AS level, CASE WHEN count(*) > 50 THEN 'high' WHEN count(*) > 10 THEN 'medium' ELSE 'low' END AS engagement FROM r GROUP BY 1) g
-LEFT JOIN (SELECT user_id, string_agg(x, ',' ORDER BY f0) FILTER (k = 'a') AS tickers, string_agg(x, ',' ORDER BY f0) FILTER (k = 's') AS sectors FROM f GROUP BY 1) t ON t.user_id = g.user_id""")
+_NAMED = lambda items: f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
+_CONCERNS = _NAMED([f"CASE WHEN contains(lower(text), '{w}') THEN '{w}' END" for w in vw.CONCERN_WORDS])
+_SECTORS = _NAMED([f"CASE WHEN {any_sql(w)} THEN '{n}' END" for n, w in vw.SECTOR_WORDS.items()])
+
+
+@query(rf"""WITH r AS (SELECT conv_id AS user_id, turn, {families_sql(vw.RISK_WORDS)} AS risk, {families_sql(vw.HORIZON_WORDS)} AS horizon, {_ALIAS_SQL} AS a,
+  CASE WHEN length(text) > 100 THEN 'detailed' WHEN contains(lower(text), 'quick') OR contains(lower(text), 'briefly') THEN 'concise' END AS verbosity,
+  CASE WHEN {any_sql(vw.MIXED_WORDS)} THEN 'hinglish' WHEN regexp_matches(text, '[ऀ-ॿ]') THEN 'hindi' END AS language,
+  {any_sql(vw.EXPERT_WORDS)} AS expert, contains(lower(text), 'chart') OR contains(lower(text), 'graph') AS charts, {any_sql(vw.OWNER_WORDS)} AS owns, {_CONCERNS} AS c, {_SECTORS} AS se FROM conversations),
+u AS (SELECT user_id, turn, 'a' AS k, unnest(a) AS x, unnest(range(len(a))) AS p FROM r UNION ALL SELECT user_id, turn, 'c', unnest(c), unnest(range(len(c))) FROM r UNION ALL SELECT user_id, turn, 's', unnest(se), unnest(range(len(se))) FROM r
+  UNION ALL SELECT user_id, turn, 'o', unnest(a), unnest(range(len(a))) FROM r WHERE owns),
+f AS (SELECT user_id, k, x, min({{'turn': turn, 'p': p}}) AS f0 FROM u GROUP BY ALL),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY f0 DESC) AS n FROM f) WHERE k = 'o' OR n <= CASE k WHEN 'a' THEN 10 ELSE 5 END),
+l AS (SELECT user_id, string_agg(x, ',' ORDER BY f0) FILTER (k = 'a') AS tickers, string_agg(x, ',' ORDER BY f0) FILTER (k = 'c') AS concerns, string_agg(x, ',' ORDER BY f0) FILTER (k = 's') AS sectors, string_agg(x, ',' ORDER BY f0) FILTER (k = 'o') AS owned FROM k GROUP BY 1),
+g AS (SELECT user_id, count(*) AS n, arg_max(risk, turn) FILTER (risk IS NOT NULL) AS risk, arg_max(horizon, turn) FILTER (horizon IS NOT NULL) AS horizon, arg_max(verbosity, turn) FILTER (verbosity IS NOT NULL) AS verbosity,
+  coalesce(arg_max(language, turn) FILTER (language IS NOT NULL), 'english') AS language, bool_or(charts) AS charts, CASE WHEN bool_or(expert) THEN 'expert' ELSE 'intermediate' END AS level,
+  CASE WHEN count(*) > 50 THEN 'high' WHEN count(*) > 10 THEN 'medium' ELSE 'low' END AS engagement FROM r GROUP BY 1)
+SELECT g.*, coalesce(tickers, '') AS tickers, coalesce(concerns, '') AS concerns, coalesce(sectors, '') AS sectors, coalesce(owned, '') AS owned,
+  CASE WHEN n >= 2 THEN concat_ws(', ', coalesce(risk, 'moderate'), coalesce(horizon, 'medium'), coalesce(verbosity, 'balanced')) END AS persona FROM g LEFT JOIN l USING (user_id)""")
 def c9_build_profiles(spark, d):
-    """Profiles without a stated horizon (the corpus has none of its words)."""
     log = table(spark, d, "conversations").select(F.col("conv_id").alias("user_id"), "turn", "text")
-    p = vw.build_profiles(log, ALIASES, [], ["le ", "der "], horizon={"short_term": ["intraday trading"]}, sectors=SECTORS)
-    return p.select("user_id", "n", "risk", "verbosity", F.array_join("tickers", ",").alias("tickers"), F.array_join("sectors", ",").alias("sectors"), "level", "engagement", "persona")
+    p = vw.build_profiles(log, ALIASES, [])
+    return p.withColumns({c: F.array_join(c, ",") for c in ("tickers", "concerns", "sectors", "owned")})
+
+
+@query("""WITH e AS (SELECT 'u' || (user_id % 20) AS symbol, ts, CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN 0 ELSE 2 END AS step, CASE WHEN event_type NOT IN ('signup', 'error') THEN (value % 200) / 100.0 - 1 END AS s FROM events),
+w AS (SELECT *, last_value(CASE WHEN step < 2 THEN step END IGNORE NULLS) OVER o AS active, count(*) FILTER (step < 2) OVER o AS spell FROM e WINDOW o AS (PARTITION BY symbol ORDER BY ts, step, s ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, lag(s) OVER (PARTITION BY symbol, spell ORDER BY ts, step, s) AS previous FROM w)
+SELECT symbol, ts, round(previous, 6) AS previous, round(s, 6) AS sentiment, CASE WHEN s <= -0.3 THEN 'drop' ELSE 'surge' END AS kind, CASE WHEN s <= -0.5 THEN 'high' WHEN s <= -0.3 THEN 'medium' ELSE 'low' END AS severity
+FROM b WHERE step = 2 AND active = 1 AND (s <= -0.3 OR s >= 0.5)""")
+def x5_watched_alerts(spark, d):
+    """Alerts of the symbols on a list that signups add to and errors take from."""
+    from tidemark.streaming.jobs import watched_alerts
+
+    e = table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id") % 20).alias("symbol"), "ts", "event_type", (F.col("value") % 200 / 100.0 - 1).alias("sentiment"))
+    controls = e.where("event_type IN ('signup', 'error')").select("symbol", "ts", F.when(F.col("event_type") == "signup", "add").otherwise("remove").alias("action"))
+    out = watched_alerts(e.where("event_type NOT IN ('signup', 'error')").select("symbol", "ts", "sentiment"), controls)
+    return out.withColumns({"previous": F.round("previous", 6), "sentiment": F.round("sentiment", 6)})
 
 
 # ---- functions ----
