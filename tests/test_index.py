@@ -145,3 +145,50 @@ def test_alert_stream_equals_batch(spark, tiny, tmp_path):
     want = jobs.sentiment_alerts(e)
     assert key(spark.table("alerts").collect()) == key(want.collect())
     assert jobs.alerts_of(want, spark.createDataFrame([("u1",)], "symbol string")).select("symbol").distinct().count() == 1
+
+
+def test_table_lines_and_speakers():
+    rows = {"| a | b |": True, "| a |": False, "Revenue from operations   1,234.5   (98)": True, "Total\t12\t-\t7%": True, "Rs. 5 and INR 7 and ₹8": True, "In 2024  we grew  a lot": False, "Rs 5 only": False, "": False}
+    assert {line: ix.is_table_line(line) for line in rows} == rows
+    speakers = {
+        "Q: how much?": ("letter", "Q", True), "A. Ten": ("letter", "A", False), "Operator: next, please": ("role", "Operator", False), "Analyst One: hello": ("role", "Analyst One", True),
+        "Mr. Rao: thanks": ("role", "Mr. Rao", False), "Jane Roe (Chief Analyst): yes": ("titled", "Jane Roe", True), "Jane Roe - Big Fund": ("firm", "Jane Roe", False),
+        "we sold it - at last": None, "The plan: more": None, "Margins: 5": None,
+    }
+    assert {line: ix.speaker_of(line) for line in speakers} == speakers
+    assert ix.speaker_turns("Q: one\nQ: two\n") == []
+
+
+def test_chunks_in_sql_are_those_of_the_library(spark, tiny):
+    from tidemark.functions.batch import register_chunk_text
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
+    register_chunk_text(spark, name="chunks_here")
+    docs.createOrReplaceTempView("docs_here")
+    columns = "doc_id, chunk_index, section, title, chunk_text, char_start, char_end, page_start, page_end"
+    got = spark.sql(f"SELECT {columns} FROM docs_here, LATERAL chunks_here(text, 'report')")
+    want = ix.chunk_documents(docs).select(*columns.split(", "))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_callables_work_on_batches(spark, tmp_path):
+    from tidemark.functions.batch import batched
+    from tidemark.operators.screening import rerank
+
+    log = str(tmp_path / "calls")
+
+    def shorten(texts):
+        with open(log, "a") as f:
+            f.write(f"{len(texts)}\n")
+        return [None if t is None else t[:3].upper() for t in texts]
+
+    df = spark.createDataFrame([(i, None if i == 7 else f"text {i}") for i in range(1000)], "i int, t string").coalesce(1)
+    got = df.select("i", batched(shorten, most=300)("t").alias("s")).collect()
+    assert {r.s for r in got} == {"TEX", None} and [int(x) for x in open(log)] == [300, 300, 300, 100]
+    with pytest.raises(Exception, match="came back"):
+        df.select(batched(lambda texts: texts[1:])("t")).collect()
+    summed = ix.rollup_summaries(ix.chunk_documents(spark.createDataFrame([(1, "Outlook\n" + SENTENCE * 900)], "doc_id long, text string")), summarize=batched(lambda ts: [t[:10] for t in ts]))
+    assert {len(r.summary) for r in summed.collect()} == {10}
+    found = spark.createDataFrame([(1, "k1", "plant", "a plant", 0.1, 1), (1, "k2", "plant", "other", 0.9, 2)], "query_id int, key string, query string, text string, score double, rank int")
+    score = batched(lambda qs, ts: [float(q in t) for q, t in zip(qs, ts)], "double")
+    assert [r.key for r in rerank(found, "query", "text", score).orderBy("rank").collect()] == ["k1", "k2"]

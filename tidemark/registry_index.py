@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.batch import register_chunk_text
 from tidemark.functions.stemming import STOP_WORDS, stems_sql
 from tidemark.operators import filings as fl
 from tidemark.operators import indexing as ix
@@ -125,21 +126,36 @@ def r6_section_tree(spark, d):
     return t.select("doc_id", "n.section", "n.title", "n.level", "n.start_page", "n.end_page", "n.summary", F.array_join("n.chunk_ids", ",").alias("ids"), F.size("n.children").alias("n_children"))
 
 
-@query(rf"""WITH {LINES}, g AS (SELECT doc_id, section, count(*) AS n_chunks, arg_min(title, chunk_index) AS title, left(trim(left(arg_min(chunk_text, chunk_index), 500), ' '), 300) AS summary, list(chunk_index ORDER BY chunk_index) AS ids FROM c GROUP BY ALL),
+def _tree_sql(which: str = "true") -> str:
+    return rf"""WITH {LINES}, g AS (SELECT doc_id, section, count(*) AS n_chunks, arg_min(title, chunk_index) AS title, left(trim(left(arg_min(chunk_text, chunk_index), 500), ' '), 300) AS summary, list(chunk_index ORDER BY chunk_index) AS ids FROM c WHERE {which} GROUP BY ALL),
 ch AS (SELECT c.doc_id, c.section, c.title, trim(left(c.chunk_text, 200), ' ') AS summary, [c.chunk_index] AS ids FROM c JOIN g ON c.doc_id = g.doc_id AND c.section = g.section WHERE c.title <> g.title AND n_chunks > 3),
 e AS (SELECT doc_id, section, title, summary, ids FROM g UNION ALL SELECT * FROM ch), e2 AS (SELECT *, ids[1] AS at0, len(ids) AS size FROM e),
 q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM benchmark WHERE item_id % 100 = 0),
-q2 AS (SELECT * FROM q WHERE word NOT IN ('the', 'a', 'an', 'and', 'or', 'of', 'in', 'to', 'is', 'what', 'how')),
+q2 AS (SELECT * FROM q WHERE word NOT IN ({', '.join(repr(w) for w in ix.TREE_STOP)})),
 wd AS (SELECT doc_id, section, at0, size, ids, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+'))) AS word, 2.0 AS w FROM e2
   UNION ALL SELECT doc_id, section, at0, size, ids, unnest(list_distinct(regexp_extract_all(lower(summary), '[a-z0-9]+'))), 0.5 FROM e2 UNION ALL SELECT doc_id, section, at0, size, ids, unnest(string_split(section, '_')), 1.0 FROM e2),
 s AS (SELECT query_id, doc_id, at0, size, section, any_value(ids) AS ids, sum(w) AS score FROM wd JOIN q2 USING (word) GROUP BY query_id, doc_id, at0, size, section),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, at0, size, section) AS n FROM s) WHERE n <= 20),
 o AS (SELECT query_id, doc_id, chunk_index, max(score) AS score, min(n) AS n FROM (SELECT query_id, doc_id, score, n, unnest(ids) AS chunk_index FROM t) GROUP BY ALL)
-SELECT query_id, doc_id, chunk_index, score::double AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n, doc_id, chunk_index)::int AS rank FROM o) WHERE rank <= 10""")
-def r7_tree_search(spark, d):
+SELECT query_id, doc_id, chunk_index, score::double AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n, doc_id, chunk_index)::int AS rank FROM o) WHERE rank <= 10"""
+
+
+def _tree_search(spark, d, newest):
     c = line_chunks(spark, d)
     q = table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return ix.tree_search(ix.section_tree(c), q, c)
+    return ix.tree_search(ix.section_tree(c), q, c, newest=newest)
+
+
+@query(_tree_sql())
+def r7_tree_search(spark, d):
+    """Over the trees of all documents."""
+    return _tree_search(spark, d, None)
+
+
+@query(_tree_sql("doc_id IN (SELECT doc_id FROM c GROUP BY 1 ORDER BY 1 DESC LIMIT 50)"))
+def r7_tree_search_newest(spark, d):
+    """Over the newest 50 trees, which is what a search looks at unless told otherwise."""
+    return _tree_search(spark, d, 50)
 
 
 @query(f"""WITH {LINES}, e AS (SELECT doc_id, count(*) AS n, min(page) AS a, max(page) AS b FROM c GROUP BY 1 HAVING count(*) > 3),
@@ -192,6 +208,15 @@ def r3_chunks_cover(spark, d):
     return _chunks(spark, d).groupBy("doc_id").agg(F.sum(F.length("chunk_text")).alias("chars")).where("chars > 0")
 
 
+@query("SELECT doc_id, length(text)::bigint AS chars, 0 AS first_start, length(text)::int AS last_end FROM documents WHERE length(text) > 0")
+def r3_chunk_text_in_sql(spark, d):
+    """The same chunks by the table function, in a lateral join."""
+    register_chunk_text(spark, LINE_STARTS, paragraph=r"\n")
+    table(spark, d, "documents").createOrReplaceTempView("tidemark_docs")
+    return spark.sql("""SELECT doc_id, sum(length(c.chunk_text)) AS chars, min(c.char_start) AS first_start, max(c.char_end) AS last_end
+      FROM tidemark_docs, LATERAL chunk_text(text, CASE WHEN lang = 'en' THEN 'call' ELSE 'report' END) AS c GROUP BY doc_id HAVING sum(length(c.chunk_text)) > 0""")
+
+
 def _index(spark, d) -> dict:
     """The stored index of all documents over 500 characters, built by stages and read back."""
     docs = table(spark, d, "documents")
