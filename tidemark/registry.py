@@ -15,7 +15,9 @@ from tidemark.operators import merge as mg
 from tidemark.operators import portfolio as pf
 from tidemark.operators import retrieval as rt
 from tidemark.operators import timeseries as ts
+from tidemark.operators.stored import read_stored, upsert_stored
 from tidemark.sources import payloads as py
+from tidemark.sources import store
 from tidemark.streaming import jobs
 
 QUERIES: dict = {}
@@ -323,6 +325,17 @@ def m5_columns(spark, d):
     return mg.merge_into(*_upsert(spark, d), ["o_orderkey"], "columns", columns=["o_totalprice"], seq="seq")
 
 
+@query(f"WITH {UPSERT} SELECT * FROM new UNION ALL SELECT * FROM old ANTI JOIN new USING (o_orderkey)")
+def m1_stored(spark, d):
+    """The same upsert into a stored table, of which the batch rewrites the buckets of its keys; the batch comes twice."""
+    old, new = _upsert(spark, d)
+    path = store.new_path(spark, "orders")
+    upsert_stored(path, old, ["o_orderkey"])
+    for _ in range(2):
+        upsert_stored(path, new, ["o_orderkey"], seq="seq")
+    return read_stored(spark, path)
+
+
 @query("""WITH v AS (SELECT p_partkey, CASE WHEN length(p_name) > 12 THEN 'client_name' END AS a, CASE WHEN length(p_type) > 7 THEN 'buy_sell' END AS b FROM part)
 SELECT p_partkey, concat_ws(',', a, b) AS reasons FROM v WHERE a IS NOT NULL OR b IS NOT NULL""")
 def m6_append_rejects(spark, d):

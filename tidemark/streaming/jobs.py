@@ -213,16 +213,13 @@ def profile_stream(log: DataFrame, kinds: list[str]) -> DataFrame:
     return log.groupBy("user_id").agg(F.count("*").alias("n"), *counts, F.sort_array(F.collect_set(F.hour("ts"))).alias("hours"), F.max("ts").alias("last_seen"))
 
 
-def upsert_batches(root: str, keys: list[str], policy: str = "replace", seq: str = "seq"):
-    """A foreachBatch function that keeps a table under root: batch n writes version n from version n - 1, so a batch that is
-    run again writes the same version again."""
-    from tidemark.operators.merge import merge_into
+def upsert_batches(path: str, keys: list[str], policy: str = "replace", seq: str = "seq", buckets: int = 64):
+    """A foreachBatch function that keeps the table under path: a batch rewrites the buckets of its keys only, and merging it
+    again changes nothing."""
+    from tidemark.operators.stored import upsert_stored
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*[c for c in batch.columns if c != seq]) if seq not in keys else batch
-        old = spark.read.schema(rows.schema).parquet(f"{root}/v{number - 1}") if number else spark.createDataFrame([], rows.schema)
-        merge_into(old, batch, keys, policy, seq=seq).write.mode("overwrite").parquet(f"{root}/v{number}")
+        upsert_stored(path, batch, keys, policy, seq=seq, buckets=buckets)
 
     return run
 
