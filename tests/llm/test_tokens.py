@@ -17,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import alignment, divergence, token_files
+from tidemark.llm import alignment, divergence, licenses, minhash, pii, token_files
 from tidemark.llm.bpe_words import Library, byte_characters
 from tidemark.llm.common import scratch
 
@@ -258,3 +258,35 @@ def test_alignment_of_no_rows_and_of_copies(spark, docs):
 def test_alignment_query(spark, tiny):
     rows = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()
     assert collections.Counter(tuple(r) for r in alignment.op13_alignment(spark, tiny).collect()) == expected_alignment(rows)
+
+
+# ---- earlier operators ----
+
+
+def test_redaction_of_rows_that_share_an_id_or_have_none(spark):
+    rows = [(1, "mail a.b@c.de now", "x"), (1, "mail a.b@c.de now", "y"), (1, "clean", "z"), (None, "write to q@r.st", "n"), (None, None, "n"), (2, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    got = sorted((r.doc_id or 0, r.text or "", r.tag) for r in pii.redact(docs.withColumnRenamed("_key", "tag")).collect())
+    assert got == [(0, "", "n"), (0, "write to [REDACTED]", "n"), (1, "clean", "z"), (1, "mail [REDACTED] now", "x"), (1, "mail [REDACTED] now", "y"), (2, "", "e")]
+
+
+def test_two_and_three_clause_licences_are_told_apart(spark):
+    two, third = licenses.TEMPLATES["BSD-2-Clause-text"], licenses.TEMPLATES["BSD-3-Clause"]
+    docs = spark.createDataFrame([(1, "x " + two + " y"), (2, two + " 3. " + third), (3, "as said: " + third)], "doc_id long, text string")
+    found = {r.doc_id: {m.license for m in r.matches} for r in licenses.license_matches(docs).collect()}
+    assert "BSD-3-Clause" not in found[1] and "BSD-3-Clause" in found[2] and "BSD-2-Clause-text" in found[1] and found[3] == {"BSD-3-Clause"}
+
+
+def test_a_group_apart_from_its_first_hub_is_one_star_later(spark, monkeypatch):
+    """Text 0 shares a shingle with all others and is near none of them; these are near each other."""
+    rng = random.Random(3)
+    common, body = [f"c{i}" for i in range(5)], [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(common + [f"a{i}" for i in range(40)]))]
+    for i in range(1, 150):
+        words = list(body)
+        words[rng.randrange(50)] = f"v{i}"
+        rows.append((i, " ".join(common + words)))
+    seen, across = [], minhash._across
+    monkeypatch.setattr(minhash, "_across", lambda rest, texts, percent: (met := across(rest, texts, percent), seen.append(met.count()))[0])
+    out = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 65).collect()}
+    assert out[0] == 0 and {c for i, c in out.items() if i} == {1} and seen[0] < 300
