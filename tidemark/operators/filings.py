@@ -64,33 +64,40 @@ def unwrap(json: Column) -> Column:
     return F.coalesce(F.from_json(inner, ROWS), F.array().cast(ROWS))
 
 
-def normalize_filings(df: DataFrame, kind: str, prefix: str = XBRL) -> DataFrame:
+def normalize_filings(df: DataFrame, kind: str, prefix: str = XBRL, seq: str | None = None) -> DataFrame:
     """(symbol, columns of the kind, content): of each column the first of its names that is not empty; content is the text
-    of the markup in the payload, else the payload's row itself. Shareholder meetings also get their type."""
-    rows = df.select("symbol", F.explode(unwrap(F.col("json"))).alias("_r"))
+    of the markup in the payload, else the payload's row itself. Shareholder meetings also get their type. With seq, the column that
+    orders payloads, rows also carry their place (seq, number within the payload) as _at."""
+    place = [F.struct(F.col(seq).alias("seq"), F.col("_p").alias("p")).alias("_at")] if seq else []
+    rows = df.select("symbol", *([seq] if seq else []), F.posexplode(unwrap(F.col("json"))).alias("_p", "_r"))
     read = {
         "text": lambda c: c, "number": safe_float, "whole": safe_int, "date": lambda c: parse_date(F.regexp_replace(c, r"[T ]\d{2}:\d{2}.*$", "")), "url": lambda c: build_url(F.coalesce(c, F.lit("")), prefix),
     }
     pick = lambda names: F.coalesce(*[F.nullif(F.try_element_at("_r", F.lit(n)), F.lit("")) for n in names])
     columns = [read[how](pick(names)).alias(c) for c, (names, how) in KINDS[kind].items()]
     content = F.coalesce(strip_markup(F.try_element_at("_r", F.lit("content"))), F.to_json("_r"))
-    out = rows.select("symbol", *columns, content.alias("content"))
+    out = rows.select("symbol", *columns, content.alias("content"), *place)
     return out.withColumn("meeting_type", meeting_type(F.coalesce("purpose", F.lit("")))) if kind == "shareholder_meetings" else out
 
 
 def ingest_filings(raw: DataFrame, kind: str, target: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new target, rejects, summary) of payloads of a kind: rows without their key date are skipped, single bad rows are set
     aside with reasons, the rest is merged by the kind's policy."""
-    keys, policy, day = TARGETS[kind]
-    rows = normalize_filings(raw, kind)
+    keys, policy, _ = TARGETS[kind]
+    rows, dated, ok, rejects = checked_filings(raw, kind)
+    new = target.unionByName(ok.select(*target.columns)) if policy == "append" else merge_into(target, ok, keys, policy)
+    return new, rejects, split_summary(rows, dated, rejects, kind)
+
+
+def checked_filings(raw: DataFrame, kind: str, seq: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(all rows, those with their key date, of these the good ones, and the others with reasons) of payloads of a kind."""
+    rows = normalize_filings(raw, kind, seq=seq)
+    day = TARGETS[kind][2]
     dated = with_key_date(rows, day) if day else rows
     rules = {"symbol": F.col("symbol").isNotNull() & (F.col("symbol") != "")}
     if "client_name" in rows.columns:
         rules |= {"client_name": F.length(F.coalesce("client_name", F.lit(""))) <= 1000, "buy_sell": F.length(F.coalesce("buy_sell", F.lit(""))) <= 10}
-    ok, rejects = split_valid(dated, rules)
-    new = target.unionByName(ok.select(*target.columns)) if policy == "append" else merge_into(target, ok, keys, policy)
-    summary = split_summary(rows, dated, rejects, kind)
-    return new, rejects, summary
+    return rows, dated, *split_valid(dated, rules)
 
 
 def split_summary(rows: DataFrame, dated: DataFrame, rejects: DataFrame, kind: str) -> DataFrame:

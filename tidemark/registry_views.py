@@ -16,8 +16,9 @@ from tidemark.operators import portfolio as pf
 from tidemark.operators import screening as sn
 from tidemark.operators import timeseries as ts
 from tidemark.operators import views as vw
+from tidemark.operators.fanout import ingest_all, ingest_report
 from tidemark.registry import BENCH, HOLD, PRICES, VALUES, any_sql, benchmark, company, families_sql, holdings, prices, query, r, table
-from tidemark.sources import feeds
+from tidemark.sources import feeds, store
 
 
 # ---- filings and quotes ----
@@ -50,6 +51,51 @@ def c10_ingest_deals(spark, d):
     return fl.ingest_filings(raw, "deals", empty)[0].withColumn("price", r("price", 2))
 
 
+# Kinds of filings in the order in which orders are dealt to them.
+_FILINGS = list(fl.TARGETS)
+_KEYED = {"governance": "q, y", "shareholding": "q, y", "complaints": "q, y", "related_party": "q, y", "board_meetings": "day, purpose", "shareholder_meetings": "day, purpose", "corporate_actions": "day, purpose", "integrated": "status, q, y"}
+
+
+def _mixed_filings(spark, d):
+    """An order is a row of a payload of one of all kinds; a customer's payloads of a kind come in the order of their first order."""
+    o = table(spark, d, "orders")
+    day = F.when(F.col("o_orderpriority") != "5-LOW", F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise("")
+    quarter, year = F.concat(F.lit("Q"), F.quarter("o_orderdate")), F.year("o_orderdate").cast("string")
+    side = F.when(F.col("o_orderstatus") == "F", "S").otherwise("a very long side")
+    row = F.struct(
+        *[quarter.alias(c) for c in ("Fld_QuarterId", "qtr", "Quarter")], *[year.alias(c) for c in ("Year", "yr")],
+        *[day.alias(c) for c in ("meeting_date", "MEETING_DATE", "BCRD_from", "DEAL_DATE")], *[F.col("o_orderpriority").alias(c) for c in ("Purpose_name", "PURPOSE_NAME", "purpose_name")],
+        F.col("o_orderstatus").alias("category"), side.alias("TRANSACTION_TYPE"), side.alias("Category"), F.col("o_totalprice").cast("string").alias("PROMOTER_HOLDING"), F.concat(F.lit("Clerk "), "o_orderkey").alias("CLIENT_NAME"),
+    )
+    kind = F.element_at(F.array(*[F.lit(k) for k in _FILINGS]), (F.col("o_orderkey") % len(_FILINGS) + 1).cast("int"))
+    symbol = F.when(F.col("o_custkey") % 50 == 0, "").otherwise(F.col("o_custkey").cast("string"))
+    each = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda s: s["r"])
+    rows = o.groupBy(F.col("o_custkey").alias("c"), symbol.alias("symbol"), kind.alias("kind")).agg(F.min("o_orderkey").alias("seq"), F.to_json(F.struct(each.alias("Table"))).alias("json"))
+    return rows.select("symbol", "kind", "json", "seq")
+
+
+def _fanout_sql() -> str:
+    parts = []
+    for kind, (keys, _, key_day) in fl.TARGETS.items():
+        good = "symbol <> ''" + (" AND status = 'F'" if kind in ("deals", "insider_trades") else "") + (" AND day IS NOT NULL" if key_day else "")
+        stored = f"(SELECT count(*) FROM (SELECT DISTINCT symbol, {_KEYED[kind]} FROM p WHERE kind = '{kind}' AND {good}))" if keys else f"(SELECT count(*) FROM p WHERE kind = '{kind}' AND {good})"
+        undated = "count(*) FILTER (day IS NULL)" if key_day else "0::bigint"
+        parts.append(f"SELECT '{kind}' AS kind, count(*) AS rows_read, {undated} AS undated, count(*) FILTER (NOT ({good}){' AND day IS NOT NULL' if key_day else ''}) AS rejected, {stored} AS stored FROM p WHERE kind = '{kind}'")
+    kinds = ", ".join(f"'{k}'" for k in _FILINGS)
+    return f"""WITH p AS (SELECT [{kinds}][o_orderkey % {len(_FILINGS)} + 1] AS kind, CASE WHEN o_custkey % 50 = 0 THEN '' ELSE o_custkey::varchar END AS symbol, quarter(o_orderdate) AS q, year(o_orderdate) AS y,
+  CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderdate::date END AS day, o_orderpriority AS purpose, o_orderstatus AS status FROM orders) {' UNION ALL '.join(parts)}"""
+
+
+@query(_fanout_sql())
+def c10_ingest_all(spark, d):
+    """All kinds of filings from one mixed table, in two batches."""
+    root, raw = store.new_path(spark, "filings"), _mixed_filings(spark, d)
+    early = F.col("symbol") < "5"
+    ingest_all(raw.where(early), root, 0)
+    ingest_all(raw.where(~early), root, 1)
+    return ingest_report(spark, root)
+
+
 @query(f"WITH {DEALS} SELECT 'deals' AS kind, count(*) AS rows_read, 0::bigint AS undated, count(*) FILTER (length(buy_sell) > 10) AS rejected FROM deals")
 def c10_ingest_summary(spark, d):
     raw = _deals(spark, d)
