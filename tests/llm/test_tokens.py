@@ -260,6 +260,13 @@ def test_alignment_query(spark, tiny):
     assert collections.Counter(tuple(r) for r in alignment.op13_alignment(spark, tiny).collect()) == expected_alignment(rows)
 
 
+def test_alignment_of_texts_that_end_in_one_space(spark):
+    rows = [(1, "a "), (2, "two words "), (3, " "), (4, "  "), (5, "end \n "), (6, "x\n "), (7, "a"), (8, " a "), (9, "\u00a0 "), (10, "1,5! ")]
+    want = expected_alignment(rows)
+    assert all(row[1] for row in want)  # each of them has tokens
+    assert collections.Counter(tuple(r) for r in alignment.align(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
 # ---- earlier operators ----
 
 
