@@ -56,6 +56,25 @@ def test_numbers_and_tax(spark):
     assert one.select(sc.insider_role(F.lit("Vice President"), "reference"), sc.insider_role(F.lit("Director"), "reference"), sc.insider_role(F.lit("Director"))).first() == ("CEO", "CTO", "Director")
 
 
+def _matches_sql(spark, folder, name, **rows):
+    """A query over a folder of the given tables (SQL that makes them) has the rows of its SQL."""
+    db = duckdb.connect()
+    for t, made in rows.items():
+        db.execute(f"COPY ({made}) TO '{folder}/{t}.parquet' (FORMAT parquet)")
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    cur = db.execute(registry.ORACLES[name])
+    columns = [c[0] for c in cur.description]
+    got = sorted(tuple(plain(r[c]) for c in columns) for r in registry.QUERIES[name](spark, str(folder)).collect())
+    assert got == sorted(tuple(map(plain, row)) for row in cur.fetchall())
+
+
+def test_dates_and_money_of_odd_orders(spark, tmp_path):
+    """Prices between two places, keys beyond 32 bits, orders by time of day and without a date."""
+    orders = """SELECT 3000000000 + i AS o_orderkey, 500.0 + i * 1000 AS o_totalprice, TIMESTAMP '1996-03-30 17:45:30' + to_days((i % 3)::int) AS o_orderdate FROM range(2000) t(i)
+      UNION ALL SELECT 1, 120000.0, NULL UNION ALL SELECT 2, NULL, TIMESTAMP '1996-01-01'"""
+    _matches_sql(spark, tmp_path, "f_dates_and_money", orders=orders)
+
+
 def test_merge_policies(spark):
     old = spark.createDataFrame([(1, "a"), (2, None), (3, "None")], "k int, v string")
     new = spark.createDataFrame([(1, None), (2, "b"), (3, "c"), (4, "d")], "k int, v string")

@@ -63,13 +63,24 @@ def strip_markup(c: Column) -> Column:
     return F.when((F.length(c) >= 50) & (F.length(t) > 20), t)
 
 
+def two_places(x: Column) -> Column:
+    """A text with two decimals. As in C and Python the binary value decides: a number that is written with a 5 in the third
+    place goes to the side on which its binary value lies, and to the even place only if it is exactly between."""
+    half = F.round(x * 200)  # odd: between two places
+    high = x * 134217729.0 - (x * 134217729.0 - x)  # x in two parts of half as many bits, so that products are exact
+    over = (high * 200 - half) + (x - high) * 200
+    up = (over > 0) | ((over == 0) & (F.pmod(half + 1, F.lit(4.0)) == 0))
+    between = (F.pmod(half, F.lit(2.0)) == 1) & (half / 200 == x)
+    return F.format_string("%.2f", F.when(between, F.when(up, half + 1).otherwise(half - 1) / 200).otherwise(x))
+
+
 def format_indian_number(x: Column) -> Column:
     """Rupees in crore (Cr), lakh (L) or with commas; null and 0 give a plain zero."""
     a = F.abs(x)
     sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
     body = (
-        F.when(a >= 1e7, F.format_string("%.2f Cr", a / 1e7))
-        .when(a >= 1e5, F.format_string("%.2f L", a / 1e5))
+        F.when(a >= 1e7, F.concat(two_places(a / 1e7), F.lit(" Cr")))
+        .when(a >= 1e5, F.concat(two_places(a / 1e5), F.lit(" L")))
         .otherwise(F.format_number(a, 0))
     )
     return F.when(x.isNull() | (x == 0), F.lit("₹0")).otherwise(F.concat(sign, F.lit("₹"), body))
@@ -214,8 +225,8 @@ def insider_name(text: Column) -> Column:
 
 def format_market_cap(crores: Column) -> Column:
     """Crores in lakh crore (L Cr), thousand crore (K Cr) or crore; null and 0 give N/A."""
-    body = F.when(crores >= 100_000, F.format_string("₹%.2f L Cr", crores / 100_000)).when(crores >= 1000, F.format_string("₹%.2fK Cr", crores / 1000))
-    return F.when(crores.isNull() | (crores == 0), F.lit("N/A")).otherwise(body.otherwise(F.format_string("₹%.0f Cr", crores)))
+    body = F.when(crores >= 100_000, F.concat(F.lit("₹"), two_places(crores / 100_000), F.lit(" L Cr"))).when(crores >= 1000, F.concat(F.lit("₹"), two_places(crores / 1000), F.lit("K Cr")))
+    return F.when(crores.isNull() | (crores == 0), F.lit("N/A")).otherwise(body.otherwise(F.format_string("₹%.0f Cr", F.bround(crores))))
 
 
 #: States of trading that call for a warning, and how grave they are.
