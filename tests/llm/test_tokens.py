@@ -270,6 +270,21 @@ def test_alignment_of_texts_that_end_in_one_space(spark):
 # ---- earlier operators ----
 
 
+def test_trees_learn_from_all_candidates(spark, monkeypatch):
+    seen, cut = [], pii.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(pii, "cut", counted)
+    x = F.array(*[F.col("id") % (i + 2) * F.lit(1.0) for i in range(len(pii.FEATURES))])
+    one = F.struct(F.lit(4).alias("k"), F.col("id").cast("int").alias("start"), F.lit(0).alias("end"), (F.col("id") % 2 == 1).alias("valid"), x.alias("x"))
+    score, least = pii.fit_trees(spark.range(25_000).select(F.col("id").alias("doc_id"), F.array(one).alias("found")), trees=2)
+    assert seen == [25_000] and 4 in least
+
+
 def test_redaction_of_rows_that_share_an_id_or_have_none(spark):
     rows = [(1, "mail a.b@c.de now", "x"), (1, "mail a.b@c.de now", "y"), (1, "clean", "z"), (None, "write to q@r.st", "n"), (None, None, "n"), (2, "", "e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _key string")

@@ -2,9 +2,9 @@
 
 Generators of high recall propose spans, which may overlap. The four base kinds keep every match that passes its own
 check. The remaining candidates (obfuscated addresses, local phone numbers, identity numbers, credentials) are described
-by format and context features and scored by gradient-boosted trees that learned from all candidates of a bounded
-sample which of them pass a strict check of their kind; the check itself is no feature. Thresholds by kind are
-calibrated on the part of the sample that the trees did not see. The trees become a nested CASE expression, so scoring
+by format and context features and scored by gradient-boosted trees that learned from all candidates, but for a fifth of them,
+which pass a strict check of their kind; the check itself is no feature. Thresholds by kind are
+calibrated on the fifth that the trees did not see. The trees become a nested CASE expression, so scoring
 is a projection: built-in functions only, no user function, and one scan of the texts.
 
 Spans count code points, the end exclusive. Null or empty text has no spans. Rows are independent: repeated rows give
@@ -42,8 +42,6 @@ KINDS = [*BASE, *MORE]
 HINTS = r"(?i)(mail|contact|phone|tel|call|fax|mobile|card|visa|iban|ssn|social|host|addr|login|user|pass|key|token)[^\n]{0,12}$"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 FEATURES = ("length", "digits", "letters", "others", "groups", "digit_share", "kinds_of_chars", "hinted", "joined_before", "joined_after", "first_digit", "fourth_digit", "last_part")
-#: Candidates that the trees are fitted and calibrated on, at most.
-SAMPLE_ROWS = 20_000
 PRECISION = 0.98
 
 
@@ -159,20 +157,21 @@ def _tree(node, x: Column) -> Column:
     return F.when(x[split.featureIndex()] <= float(split.threshold()), left).otherwise(right)
 
 
-def fit_trees(found: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = 12, depth: int = 3):
-    """From candidates: (score of a feature array as a Column function, least score by kind), or None."""
+def fit_trees(found: DataFrame, trees: int = 12, depth: int = 3):
+    """From all candidates: (score of a feature array as a Column function, least score by kind), or None. A fifth of them, by
+    hash, is for the thresholds, the others are for the trees."""
     rows = found.select(F.explode("found").alias("c"), "doc_id").select(
         "c.k", "c.x", F.col("c.valid").cast("double").alias("label"), F.xxhash64("doc_id", "c.start", "c.k").alias("h")
     )
-    sample = cut(rows.orderBy("h", "k", "x").limit(sample_rows), "pii-sample")
+    rows = cut(rows, "pii-candidates")
     split = F.pmod("h", F.lit(5)) == 0
-    fit = sample.where(~split)
+    fit = rows.where(~split)
     counts = {r["label"]: r["count"] for r in fit.groupBy("label").count().collect()}
     if min(counts.get(0.0, 0), counts.get(1.0, 0)) < 20:
         return None
     parts = fit.select("label", *[F.col("x")[i].alias(c) for i, c in enumerate(FEATURES)])
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(parts)
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, subsamplingRate=1.0).fit(ready.coalesce(2))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, subsamplingRate=1.0).fit(ready)
     pairs = list(zip(model.trees, model.treeWeights))
 
     def score(x: Column) -> Column:
@@ -180,7 +179,7 @@ def fit_trees(found: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = 12,
         return 1 / (1 + F.exp(-2 * margin))
 
     bins = (
-        sample.where(split)
+        rows.where(split)
         .select("k", "label", F.floor(score(F.col("x")) * 100).cast("int").alias("bin"))
         .groupBy("k", "bin")
         .agg(F.count("*").alias("n"), F.sum("label").alias("good"))
