@@ -21,7 +21,7 @@ from tidemark.llm import (
     substring_dedup,
     toxicity,
 )
-from tidemark.llm.common import components
+from tidemark.llm.common import components, join_by_name
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 VOCABULARY = [f"{a}{b}{c}" for a in "bdkmst" for b in "aeiou" for c in ("n", "r", "la", "mo", "x")]
@@ -661,3 +661,15 @@ def test_substring_dedup_of_shared_ids_and_a_common_phrase(spark):
     phrase = words(rng, 12)
     df = spark.createDataFrame([(i, f"{words(rng, 9)} x{i} {phrase} y{i} {words(rng, 9)}") for i in range(300)], "doc_id long, text string")
     assert {r.n_removed for r in substring_dedup.substring_dedup(df).collect()} == {0}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("often", [0, 3000])
+def test_a_join_by_name_passes_each_row_once(spark, how, often):
+    rows = spark.range(6000).select("id", F.when(F.col("id") < often, 7).when(F.col("id") % 10 > 0, F.col("id") % 2500).alias("k"))
+    names = rows.groupBy("k").count().where("count > 1 AND k % 3 > 0").withColumn("x", F.col("k") * 2)
+    got = join_by_name(rows, names, ["k"], ["x"], how)
+    want = rows.join(names.select("k", "x"), "k", how)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("Join ") == (2 if often else 1)
