@@ -312,3 +312,19 @@ def test_a_group_apart_from_its_first_hub_is_one_star_later(spark, monkeypatch):
     monkeypatch.setattr(minhash, "_across", lambda rest, texts, percent: (met := across(rest, texts, percent), seen.append(met.count()))[0])
     out = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 65).collect()}
     assert out[0] == 0 and {c for i, c in out.items() if i} == {1} and seen[0] < 300
+
+
+def test_alignment_takes_ordinary_stretches_together():
+    """Joined stretches have the ids that each has alone, and cost one call of the library."""
+    aligner = alignment.Aligner(open(alignment.A, encoding="utf-8").read(), open(alignment.B, "rb").read())
+    rng = random.Random(5)
+    odd = [" <|endoftext|>", " naïve,", "\n x", " İx", " 日本", " 3.14's", "  two", " ­", " x y", " a_b-c's", "\t", " ▁x", " 'll", " ", " I'll", " 1st!?"]
+    parts = list(dict.fromkeys(odd + [" " + "".join(rng.choice("abcdeéß'.,-3<|>") for _ in range(rng.randint(1, 12))) for _ in range(9000)]))
+    assert aligner.joined
+    packed, of = aligner._ids_a(parts)
+    alone = [aligner.a.tokenizer.encode(p, add_special_tokens=False).ids for p in parts]
+    assert np.frombuffer(packed, "<u4").tolist() == [i for ids in alone for i in ids] and of.tolist() == [len(ids) for ids in alone]
+    taken = []
+    ids, aligner.a.ids = aligner.a.ids, lambda p: (taken.append(p), ids(p))[1]
+    aligner._ids_a(parts)
+    assert 0 < len(taken) < 20
