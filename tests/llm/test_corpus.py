@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -673,3 +674,21 @@ def test_a_join_by_name_passes_each_row_once(spark, how, often):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and plan.count("Join ") == (2 if often else 1)
+
+
+def test_substring_dedup_of_runs_alone_and_of_texts_taken_together(spark, monkeypatch):
+    """Texts without any symbol but runs; and short texts on end keep to themselves, however many are taken together."""
+    runs = spark.createDataFrame([(1, "a " * 30), (2, "a " * 25)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(runs).collect()}
+    assert got == {1: (30, 29), 2: (25, 25)}  # the window at 2 starts at 1 too, and so on
+
+    texts = ["a " * 30, "x", "x y " * 20, " ".join(map(str, range(25))), "a " * 20 + "b", " ".join(map(str, range(3, 24))), None, "b " * 21]
+    part = pd.DataFrame({"text": texts})
+    (together,) = substring_dedup._together(part)
+    monkeypatch.setattr(substring_dedup, "TOGETHER", 1)
+    alone = list(substring_dedup._together(part))
+    assert len(alone) == 6 and list(together.place) == [x.place[0] for x in alone]
+    for i, one in enumerate(alone):
+        mine = together.owner == i
+        assert list(together.run[mine & together.valid]) == list(one.run)
+        assert sorted(together.name[together.text == i]) == sorted(one.name)

@@ -38,6 +38,8 @@ _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Characters that a task turns into symbols at once.
 SLICE_CHARS = 24_000_000
 BUCKET_CHARS = 12_000_000
+#: Words of short texts that are looked at together; longer texts go alone.
+TOGETHER = 1 << 15
 
 
 def _pairs(names, starts, ends, barrier, salt):
@@ -54,10 +56,17 @@ def _pairs(names, starts, ends, barrier, salt):
     return names[keep], starts[keep], ends[keep], barrier[keep]
 
 
-def symbols(words: np.ndarray):
-    """Names, first and end phrase of the symbols after the rounds, and which of them are runs."""
+def symbols(words: np.ndarray, foreign: np.ndarray | None = None):
+    """Names, first and end phrase of the symbols after the rounds, and which of them are runs.
+
+    foreign: the phrases that reach from one text into the next; they join nothing and count as runs.
+    """
     names = gram_names(words, PHRASE)
-    cuts = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+    new = np.append(True, names[1:] != names[:-1])
+    if foreign is not None:
+        new[foreign] = True
+        new[1:][foreign[:-1]] = True
+    cuts = np.flatnonzero(new)
     sizes = np.diff(np.append(cuts, len(names)))
     if (sizes >= 3).any():  # a run symbol; runs of two stay as they are
         run = np.repeat(sizes >= 3, sizes)
@@ -69,34 +78,91 @@ def symbols(words: np.ndarray):
     else:
         starts = np.arange(len(names))
         ends, barrier = starts + 1, np.zeros(len(names), bool)
+    if foreign is not None:
+        barrier = barrier | foreign[starts]
     for salt in (1, 2):
         names, starts, ends, barrier = _pairs(names, starts, ends, barrier, salt)
     return names, starts, ends, barrier
 
 
-def representatives(words: np.ndarray):
-    """For each window of the text: the name and index of its least symbol, and whether a run lies in its stretch."""
+def representatives(words: np.ndarray, foreign: np.ndarray | None = None):
+    """For each window: the name and index of its least symbol, and whether a run lies in its stretch.
+
+    With several texts on end, what is said of a window that reaches into the next text means nothing.
+    """
     n = len(words) - WINDOW + 1
-    names, starts, ends, barrier = symbols(words)
-    p = np.arange(n)
-    low = np.searchsorted(starts, p + EDGE)
-    high = np.searchsorted(ends, p + EDGE + ZONE, "right")
-    worth = np.where(barrier, _TOP, names)
-    best, where = np.full(n, _TOP), np.zeros(n, np.int64)
-    for t in range(ZONE):
-        at = np.minimum(low + t, len(names) - 1)
-        value = np.where(low + t < high, worth[at], _TOP)
-        less = value < best
-        best, where = np.where(less, value, best), np.where(less, at, where)
-    runs = np.zeros(len(words) - PHRASE + 2, np.int64)
-    for a, b in zip(starts[barrier], ends[barrier]):
-        runs[a] += 1
-        runs[b] -= 1
-    in_run = np.append(0, np.cumsum(np.cumsum(runs)[:-1] > 0))
-    run = in_run[p + EDGE + ZONE] > in_run[p + EDGE]
+    names, starts, ends, barrier = symbols(words, foreign)
+    # how many symbols start, and end, before a phrase
+    phrases = len(words) - PHRASE + 1
+    flags = np.zeros((2, phrases + 2), np.int32)
+    flags[0, starts + 1] = 1
+    flags[1, ends] = 1
+    started, ended = np.cumsum(flags, axis=1, dtype=np.int32)
+    low, high = started[EDGE : EDGE + n], ended[EDGE + ZONE : EDGE + ZONE + n]
+    worth = np.append(np.where(barrier, _TOP, names), np.full(ZONE, _TOP))
+    best, where = np.full(n, _TOP), np.zeros(n, np.int32)
+    for t in range(int((high - low).max(initial=0))):
+        at = low + np.int32(t)
+        value = worth[at]
+        less = (value < best) & (at < high)
+        np.copyto(best, value, where=less)
+        np.copyto(where, at, where=less)
+    runs = np.zeros(phrases + 1, np.int32)
+    runs[starts[barrier]] += 1
+    runs[ends[barrier]] -= 1
+    in_run = np.append(0, np.cumsum(np.cumsum(runs)[:-1] > 0, dtype=np.int32))
+    run = in_run[EDGE + ZONE : EDGE + ZONE + n] > in_run[EDGE : EDGE + n]
     return best, where, run | (best == _TOP)
 
 
+class _Texts:
+    """Texts of a window or more on end, so that short ones cost no calls of their own."""
+
+    def __init__(self, found: list[tuple[int, np.ndarray]]):
+        self.place = np.array([i for i, _ in found])
+        sizes = [len(x) for _, x in found]
+        self.words = np.concatenate([x for _, x in found])
+        owner = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
+        n = len(owner) - WINDOW + 1
+        best, where, run = representatives(self.words, owner[: 1 - PHRASE] != owner[PHRASE - 1 :])
+        self.owner, self.valid = owner[:n], owner[:n] == owner[WINDOW - 1 :]
+        self.start = np.cumsum([0, *sizes[:-1]])
+        self.run, self.where = run & self.valid, where
+        # each chosen symbol once for every place where it stands
+        clear = self.valid & ~run
+        of = where[clear]
+        size = int(of.max(initial=-1)) + 1
+        name, text, chosen = np.zeros(size, np.uint64), np.zeros(size, np.int32), np.zeros(size, bool)
+        name[of], text[of], chosen[of] = best[clear], self.owner[clear], True
+        self.clear, self.index = clear, np.flatnonzero(chosen)
+        self.name, self.text = name[self.index], text[self.index]
+
+    def hits(self, names: list) -> np.ndarray:
+        """The windows with a run, or whose symbol is among the names that belong to their text (of each text of the part)."""
+        own = [np.asarray([] if names[i] is None else names[i], np.int64).view(np.uint64) for i in self.place]
+        salt = mix(np.arange(1, len(own) + 1, dtype=np.uint64))  # a chance meeting only adds a window to look at
+        wanted = np.concatenate(own) ^ np.repeat(salt, [len(x) for x in own])
+        found = np.zeros(int(self.index.max(initial=-1)) + 1, bool)
+        found[self.index] = np.isin(self.name ^ salt[self.text], wanted)
+        out = self.run.copy()
+        out[self.clear] = found[self.where[self.clear]]
+        return np.flatnonzero(out)
+
+
+def _together(part: pd.DataFrame) -> Iterator[_Texts]:
+    found, size = [], 0
+    for i, text in enumerate(part["text"]):
+        words = word_names(text)
+        if len(words) >= WINDOW:
+            found.append((i, words))
+            size += len(words)
+        if size >= TOGETHER:
+            yield _Texts(found)
+            found, size = [], 0
+    if found:
+        yield _Texts(found)
+
+
 def _window_names(words: np.ndarray) -> np.ndarray:
     two = join_names(words[:-1], words[1:])
     four = join_names(two[:-2], two[2:])
@@ -144,28 +210,30 @@ def _send_symbols(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _slices(batches):
             docs, names, twice, with_runs = [], [], [], []
-            for key, text in zip(_keys(part), part["text"]):
-                words = word_names(text)
-                if len(words) < WINDOW:
-                    continue
-                best, where, run_ = representatives(words)
-                own, count = np.unique(symbols_at(best, where, run_), return_counts=True)
-                docs.append(np.full(len(own), key, KEY))
-                names.append(own)
-                twice.append(count > 1)
-                if run_.any():
-                    with_runs.append(key)
+            keys = _keys(part)
+            for texts in _together(part):
+                order = np.lexsort((texts.name, texts.text))
+                own, text = texts.name[order], texts.text[order]
+                start = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (text[1:] != text[:-1]))) if len(own) else order
+                docs.append(keys[texts.place[text[start]]])
+                names.append(own[start])
+                twice.append(np.diff(np.append(start, len(own))) > 1)
+                with_runs.append(keys[texts.place[np.unique(texts.owner[texts.run])]])
             if not docs:
                 continue
-            docs, names, twice = map(np.concatenate, (docs, names, twice))
+            docs, names, twice, with_runs = map(np.concatenate, (docs, names, twice, with_runs))
+            rows = []
+            deal = int(names[0] % np.uint64(buckets)) if len(names) else 0
+            if len(with_runs):  # these have windows to look at in any case
+                rows.append(_packed(deal, 2, with_runs, np.full(len(with_runs), _TOP)))
+            if not len(names):
+                yield pd.DataFrame(rows, columns=["bucket", "kind", "docs", "sizes", "names"])
+                continue
             order = np.argsort(names, kind="stable")
             docs, names, twice = docs[order], names[order], twice[order]
             head = np.append(True, names[1:] != names[:-1])
             count = np.diff(np.append(np.flatnonzero(head), len(names)))
             often = np.repeat(count > 1, count) | np.repeat(np.logical_or.reduceat(twice, np.flatnonzero(head)), count)
-            rows = []
-            if with_runs:  # these have windows to look at in any case
-                rows.append(_packed(int(names[0] % np.uint64(buckets)), 2, np.array(with_runs, KEY), np.full(len(with_runs), _TOP)))
             rest = np.flatnonzero(~head)
             if len(rest):
                 rest = rest[_order(docs[rest])]
@@ -182,12 +250,6 @@ def _send_symbols(buckets: int):
     return run
 
 
-def symbols_at(best: np.ndarray, where: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """The name of each chosen symbol, once for every place where it stands."""
-    _, first = np.unique(where[~run], return_index=True)
-    return best[~run][first]
-
-
 def _repeated_symbols(group: pd.DataFrame) -> pd.DataFrame:
     names = [np.frombuffer(x, np.uint64) for x in group["names"]]
     kind = np.repeat(group["kind"].to_numpy(), [len(x) for x in names])
@@ -204,16 +266,13 @@ def _send_windows(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _slices(batches):
             cols: list[list] = [[], [], [], [], []]
-            for key, text, names in zip(_keys(part), part["text"], part["names"]):
-                words = word_names(text)
-                if len(words) < WINDOW:
-                    continue
-                best, _, run_ = representatives(words)
-                some = np.asarray([] if names is None else names, np.int64).view(np.uint64)
-                at = np.flatnonzero(run_ | np.isin(best, some))
-                whole = _window_names(words)[at]
-                check = (_window_names(mix(words + np.uint64(7)))[at] >> np.uint64(32)).astype(np.uint32)
-                for c, x in zip(cols, (np.full(len(at), key, KEY), at.astype(np.uint32), whole, check, (whole % np.uint64(buckets)).astype(np.int64))):
+            keys, names = _keys(part), part["names"].tolist()
+            for texts in _together(part):
+                at = texts.hits(names)
+                own = texts.owner[at]
+                whole = _window_names(texts.words)[at]
+                check = (_window_names(mix(texts.words + np.uint64(7)))[at] >> np.uint64(32)).astype(np.uint32)
+                for c, x in zip(cols, (keys[texts.place[own]], (at - texts.start[own]).astype(np.uint32), whole, check, (whole % np.uint64(buckets)).astype(np.int64))):
                     c.append(x)
             if not cols[0]:
                 continue
