@@ -93,3 +93,15 @@ def test_document_index_by_stages_equals_one_build(spark, tiny):
     whole["chunks"].unpersist()
     words = sg.read_stage(spark, root, "keywords", current)
     assert words.where("array_size(at) = 0").count() == 0 and words.select("doc_id").distinct().count() == sg.read_stage(spark, root, "chunks", current).select("doc_id").distinct().count()
+
+
+def test_batches_whose_documents_are_all_current_meet_no_documents(spark):
+    """The rows of a whole batch are neither joined with versions when written nor when read; those of a partly replaced one are."""
+    root, docs = store.new_path(spark, "staged"), frame(spark, ROWS)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    sg.build(spark, root, docs, STAGES)
+    assert "Join" not in plan(sg.read_stage(spark, root, "lines", docs))
+    again = frame(spark, [(1, "zz|y", "2"), *ROWS[1:]])
+    sg.build(spark, root, again, STAGES)
+    got = sg.read_stage(spark, root, "lines", again)
+    assert "Join" in plan(got) and sorted(map(tuple, got.collect())) == [(1, 0, "zz"), (1, 1, "y"), (2, 0, "x"), (3, 0, "dddd"), (3, 1, "e")]

@@ -4,6 +4,7 @@ Under a root each stage has a table and the ledger says which documents it has d
 batch: first the rows are written to <stage>/batch=<n>, then the ledger's rows to ledger/<stage>/batch=<n>; a batch counts
 once the ledger's part is complete. So what a broken run has written without the ledger's word is not read, and the next run writes the
 same batch again. Each stage takes the documents that its source stage has done and it has not: one anti-join, no look at rows.
+Rows don't carry their version, as the ledger's part of their batch has it, and meet the documents only where some of the batch are not wanted.
 
 A new version of a document (any text or number) is done anew and its older rows are read no more, which is the upsert of trees and
 roll-ups.
@@ -12,6 +13,7 @@ roll-ups.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,18 +42,23 @@ def ledger(spark: SparkSession, root: str, stage: str) -> DataFrame:
 
 
 def read_stage(spark: SparkSession, root: str, stage: str, current: DataFrame) -> DataFrame | None:
-    """The rows of a stage for the current documents (doc_id, version); None before its first batch."""
-    paths = [f"{root}/{stage}/batch={n}" for n in _batches(spark, f"{root}/ledger/{stage}")]
-    if not paths:
-        return None
-    return spark.read.parquet(*paths).join(current.select("doc_id", F.col("version").alias("_version")).distinct(), ["doc_id", "_version"], "left_semi").drop("_version")
+    """The rows of a stage for the current documents (doc_id, version); None before its first batch. Rows of a batch have the
+    version that its ledger names; a batch whose documents are all current is read as it lies."""
+    wanted = current.select("doc_id", F.col("version").cast("string").alias("version")).distinct()
+    parts = []
+    for n in _batches(spark, f"{root}/ledger/{stage}"):
+        rows = spark.read.parquet(f"{root}/{stage}/batch={n}")
+        done = spark.read.schema(LEDGER).parquet(f"{root}/ledger/{stage}/batch={n}")
+        now = done.join(wanted, ["doc_id", "version"], "left_semi")
+        parts.append(rows if now.count() == done.count() else rows.join(now.select("doc_id"), "doc_id", "left_semi"))
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
 
 
 def build(spark: SparkSession, root: str, docs: DataFrame, stages: Stages, until: str | None = None) -> dict[str, int]:
     """Brings the tables under root up to docs (doc_id, version and what the first stage reads); stages are taken in their
     order, the last one being `until`. Returns how many documents each stage has done now."""
     current = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("version").cast("string").alias("version")).where("doc_id IS NOT NULL").distinct()
-    counts = {}
+    counts, every = {}, None
     for stage, (source, make) in stages.items():
         left = current.join(ledger(spark, root, stage), ["doc_id", "version"], "left_anti")
         if source is not None:
@@ -59,11 +66,15 @@ def build(spark: SparkSession, root: str, docs: DataFrame, stages: Stages, until
         counts[stage] = left.count()
         if counts[stage]:
             number = 1 + max([0, *_batches(spark, f"{root}/ledger/{stage}")])
-            rows = docs.withColumn("version", F.col("version").cast("string")) if source is None else read_stage(spark, root, source, left)
             if source is None:
-                rows = rows.join(left, ["doc_id", "version"], "left_semi")
-            versions = left.withColumnRenamed("version", "_version")
-            make(rows).join(versions, "doc_id").write.mode("overwrite").parquet(f"{root}/{stage}/batch={number}")
+                rows, every = docs.withColumn("version", F.col("version").cast("string")), every or current.count()
+                if counts[stage] == every:  # all documents: nothing to look up
+                    rows = rows.where("CAST(doc_id AS LONG) IS NOT NULL AND version IS NOT NULL")
+                else:
+                    rows = rows.join(left, ["doc_id", "version"], "left_semi")
+            else:
+                rows = read_stage(spark, root, source, left)
+            make(rows).write.mode("overwrite").parquet(f"{root}/{stage}/batch={number}")
             _commit(left, f"{root}/ledger/{stage}/batch={number}")
         if stage == until:
             break
