@@ -17,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import alignment, divergence, licenses, minhash, pii, token_files
+from tidemark.llm import alignment, bpe_words, divergence, licenses, minhash, pii, token_files
 from tidemark.llm.bpe_words import Library, byte_characters
 from tidemark.llm.common import scratch
 
@@ -328,3 +328,17 @@ def test_alignment_takes_ordinary_stretches_together():
     ids, aligner.a.ids = aligner.a.ids, lambda p: (taken.append(p), ids(p))[1]
     aligner._ids_a(parts)
     assert 0 < len(taken) < 20
+
+
+def test_words_and_parts_that_come_again_outlast_one_turn_of_the_memory(monkeypatch):
+    monkeypatch.setattr(token_files, "NEW", 4)
+    monkeypatch.setattr(bpe_words, "REMEMBERED", 4)
+    with open(token_files.TOKENIZER, encoding="utf-8") as f:
+        words = token_files.Words(f.read())
+    merged, merge = [], words.library.merge
+    words.library.merge = lambda x: merged.append(x) or merge(x)
+    first = words.of(b"alpha Beta gamma. 12 delta")
+    again = words.of(b"alpha Beta.")  # as many as are remembered came since
+    whole = Tokenizer.from_file(token_files.TOKENIZER).encode("alpha Beta gamma. 12 delta alpha Beta.", add_special_tokens=False).ids
+    assert [*first, *again] == whole
+    assert len(merged) == len(set(merged))

@@ -23,7 +23,7 @@ _LAST = "ɏ"
 _PLAIN = regex.compile(rf"[\t-\r\x20-\x7e\xa0-{_LAST}]*")
 #: Marks that often follow a word; each is a part of its own behind letters.
 _MARKS = frozenset(".,;:!?)")
-#: Parts whose ids are remembered at most, and the longest of them in characters.
+#: Parts whose ids are remembered at most among the newest and among those before them, and the longest of them in characters.
 REMEMBERED, LONGEST = 60_000, 32
 
 
@@ -49,6 +49,7 @@ class Library:
         self.spaced = self.pattern is not None and self.pattern.pattern == BYTE_LEVEL  # a part may begin with a space
         self.table = byte_characters()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _preparation(told: dict):
@@ -70,19 +71,31 @@ class Library:
     def _part(self, part: str, mapped: str) -> bytes:
         got = array("I", [t.id for t in self.merge(mapped)]).tobytes()
         if len(part) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[part] = got
+            self._remember(part, got)
+        return got
+
+    def _remember(self, part: str, ids: bytes) -> None:
+        if len(self.known) >= REMEMBERED:
+            self.known, self.older = {}, self.known
+        self.known[part] = ids
+
+    def _older(self, part: str) -> bytes | None:
+        """The ids of a part that came before the newest ones; it is new again."""
+        got = self.older.get(part)
+        if got:
+            self._remember(part, got)
         return got
 
     def _of(self, part: str) -> bytes:
         """The ids of one part, in normal form."""
-        return self.known.get(part) or self._part(part, part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(self.table))
+        return self.known.get(part) or self._older(part) or self._part(part, part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(self.table))
 
     def ids(self, text: str) -> bytes:
         """The ids of a stretch as unsigned 32-bit numbers of this machine, one after another."""
         if self.pattern is not None:
             low = text.lower() if self.lower else text
+            if low.isascii() and low.isalpha():  # most new words: one part, which stands for itself
+                return self.known.get(low) or self._older(low) or self._part(low, low)
             body, mark = (low[:-1], low[-1]) if low[-1:] in _MARKS else (low, "")
             letters = body[1:] if self.spaced and body[:1] == " " else body
             if letters.isalpha() and (letters.isascii() or max(letters) <= _LAST):  # one part, and perhaps a mark
