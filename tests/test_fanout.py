@@ -76,3 +76,15 @@ def test_stream(spark, whole, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert state(spark, str(tmp_path / "t")) == whole[1]
+
+
+@pytest.mark.parametrize("kind", ["deals", "board_meetings", "governance"])
+def test_a_kind_is_counted_in_one_pass(spark, kind):
+    """Rows read, undated and rejected come from one parse of the payloads, and are those of the parts."""
+    table = '{"Table": [{"meeting_date": "01/02/2024", "CLIENT_NAME": "x"}, {"meeting_date": "", "TRANSACTION_TYPE": "a very long side"}]}'
+    raw = spark.createDataFrame([("A", table), ("", table), (None, table), ("B", "no json"), ("C", None)], "symbol string, json string")
+    rows, dated, _, rejects = fl.checked_filings(raw, kind)
+    counted = fl.count_filings(rows, kind)
+    assert counted.collect() == fl.split_summary(rows, dated, rejects, kind).collect()
+    assert fl.count_filings(rows.limit(0), kind).collect() == [(kind, 0, 0, 0)]
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1

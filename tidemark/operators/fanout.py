@@ -11,24 +11,25 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.filings import KINDS, TARGETS, checked_filings, split_summary
+from tidemark.operators.filings import KINDS, TARGETS, checked_filings, count_filings
 from tidemark.operators.stored import PART, upsert_stored
 from tidemark.sources import store
 
 
 def ingest_all(raw: DataFrame, root: str, number: int, seq: str = "seq", buckets: int = 16) -> None:
     """Writes a batch of (symbol, kind, json, seq) under root; rows of unknown kinds are not read."""
-    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)  # read once for each kind; given back below
+    # kept by kind, so that a kind's jobs pass over the blocks of the others; given back below
+    raw = raw.sortWithinPartitions("kind").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for kind, (keys, policy, _) in TARGETS.items():
-            rows, dated, ok, rejects = checked_filings(raw.where(F.col("kind") == kind), kind, seq)
+            rows, _, ok, rejects = checked_filings(raw.where(F.col("kind") == kind), kind, seq)
             if policy == "append":
                 ok.drop("_at").write.mode("overwrite").parquet(f"{root}/{kind}/batch={number}")
             else:
                 upsert_stored(f"{root}/{kind}", ok, keys, policy, seq="_at", buckets=buckets)
             told = rejects.select("symbol", "reasons", F.to_json(F.struct(*[c for c in rejects.columns if c not in ("symbol", "reasons", "_at")])).alias("row"))
             told.write.mode("overwrite").parquet(f"{root}/rejects/kind={kind}/batch={number}")
-            split_summary(rows, dated, rejects, kind).drop("kind").write.mode("overwrite").parquet(f"{root}/summary/kind={kind}/batch={number}")
+            count_filings(rows, kind).drop("kind").write.mode("overwrite").parquet(f"{root}/summary/kind={kind}/batch={number}")
     finally:
         raw.unpersist()
 

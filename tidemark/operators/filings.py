@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import action_id, build_url, clean_ticker, meeting_type, parse_date, safe_float, safe_int, strip_markup
-from tidemark.operators.merge import merge_into, split_valid, with_key_date
+from tidemark.operators.merge import merge_into, split_valid, validate, with_key_date
 
 ROWS = "array<map<string,string>>"
 XBRL = "https://www.bseindia.com"
@@ -94,10 +94,23 @@ def checked_filings(raw: DataFrame, kind: str, seq: str | None = None) -> tuple[
     rows = normalize_filings(raw, kind, seq=seq)
     day = TARGETS[kind][2]
     dated = with_key_date(rows, day) if day else rows
+    return rows, dated, *split_valid(dated, _rules(rows))
+
+
+def _rules(rows: DataFrame) -> dict[str, Column]:
+    """What a single row has to meet."""
     rules = {"symbol": F.col("symbol").isNotNull() & (F.col("symbol") != "")}
     if "client_name" in rows.columns:
         rules |= {"client_name": F.length(F.coalesce("client_name", F.lit(""))) <= 1000, "buy_sell": F.length(F.coalesce("buy_sell", F.lit(""))) <= 10}
-    return rows, dated, *split_valid(dated, rules)
+    return rules
+
+
+def count_filings(rows: DataFrame, kind: str) -> DataFrame:
+    """(kind, rows_read, undated, rejected) of all rows of payloads of a kind, in one pass."""
+    day = TARGETS[kind][2]
+    dated = F.col(day).isNotNull() if day else F.lit(True)
+    bad = F.size("reasons") > 0
+    return validate(rows, _rules(rows)).agg(F.count("*").alias("rows_read"), F.count_if(~dated).alias("undated"), F.count_if(dated & bad).alias("rejected")).select(F.lit(kind).alias("kind"), "*")
 
 
 def split_summary(rows: DataFrame, dated: DataFrame, rejects: DataFrame, kind: str) -> DataFrame:
