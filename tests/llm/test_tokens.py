@@ -342,3 +342,16 @@ def test_words_and_parts_that_come_again_outlast_one_turn_of_the_memory(monkeypa
     whole = Tokenizer.from_file(token_files.TOKENIZER).encode("alpha Beta gamma. 12 delta alpha Beta.", add_special_tokens=False).ids
     assert [*first, *again] == whole
     assert len(merged) == len(set(merged))
+
+
+def test_latin_texts_are_lower_cased_before_words_are_remembered():
+    with open(token_files.TOKENIZER, encoding="utf-8") as f:
+        words = token_files.Words(f.read())
+    asked, real = [], words.library.ids
+    words.library.ids = lambda w: asked.append(w) or real(w)
+    whole = Tokenizer.from_file(token_files.TOKENIZER)
+    same = lambda t: words.of(t.encode()).tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert same("Übung ALPHA alpha Alpha. übung alpha.") and asked == ["Übung", "alpha", "alpha.", "übung"]
+    # marks that compose with small letters only, special tokens in other cases, and letters whose small form is longer
+    odd = ["H̱ ẖ T̈ W̊ Aʾ J̌", "İ İ Iİ ıI", "<|STARTOFTEXT|> a", "A <|startoftext|>B <|EndOfText|>", "ΑΣ ΑΣ. ΑΣA", "ẞ STRASSE ẞA", "DON'T D'L X'S É́A ǅ"]
+    assert [t for t in odd if not same(t)] == []

@@ -43,8 +43,8 @@ class Library:
         self.model = self.tokenizer.model
         self.merge = self.model.tokenize
         told = json.loads(source)
-        marks = [t["content"] for t in told.get("added_tokens", [])] if special else []
-        self.special = re.compile("|".join(map(re.escape, marks))) if marks else None
+        self.marks = [t["content"] for t in told.get("added_tokens", [])] if special else []
+        self.special = re.compile("|".join(map(re.escape, self.marks))) if self.marks else None
         self.pattern, self.lower = self._preparation(told)
         self.spaced = self.pattern is not None and self.pattern.pattern == BYTE_LEVEL  # a part may begin with a space
         self.table = byte_characters()
