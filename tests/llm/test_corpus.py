@@ -22,7 +22,7 @@ from tidemark.llm import (
     substring_dedup,
     toxicity,
 )
-from tidemark.llm.common import components, join_by_name
+from tidemark.llm.common import components, cut, join_by_name
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 VOCABULARY = [f"{a}{b}{c}" for a in "bdkmst" for b in "aeiou" for c in ("n", "r", "la", "mo", "x")]
@@ -511,6 +511,18 @@ def test_line_dedup_removes_short_lines(spark):
     assert {r.doc_id: r.text for r in line_dedup.line_dedup(runs, min_words=6).collect()} == {1: "a b c\nd e f\nx", 2: "y", 3: "a b c\nz"}
 
 
+def test_line_runs_are_found_by_doubling_to_their_end(spark, tmp_path, monkeypatch):
+    run = [f"line {i}" for i in range(40)]
+    rows = [(1, ["a", *run, "b"]), (2, ["c", *run, "d"]), (3, [*run[5:9], "e", *run[30:], *run[:3]]), (4, ["f", "g"]), (5, ["h"] * 6)]
+    spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    cuts = []
+    monkeypatch.setattr(line_dedup, "cut", lambda df, name: cuts.append(name) or cut(df, name))
+    got = {r.doc_id: (r.n_lines_with_words_left, r.n_runs, r.longest_run) for r in line_dedup.op8_line_dedup(spark, str(tmp_path)).collect()}
+    # in the fifth text the copies of four lines from line 2 and from line 3 on both come from the first line
+    assert got == {1: (42, 0, 0), 2: (2, 1, 40), 3: (1, 3, 10), 4: (2, 0, 0), 5: (1, 2, 4)}
+    assert [c for c in cuts if c.startswith("prefixes")] == [f"prefixes{2**r}" for r in range(1, 7)]  # the sixth finds no run of 64
+
+
 def test_decontamination_of_long_and_five_word_items(spark):
     rng = random.Random(12)
     items = {n: [f"w{n}x{i}" for i in range(n)] for n in (5, 200, 300)}

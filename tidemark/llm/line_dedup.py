@@ -3,10 +3,13 @@
 Every line with a word gets an ID, a 128-bit fingerprint of its text. Only suffixes that start with a line found twice
 are kept. Round r names the first 2**r lines of a suffix by the names of its two halves, and keeps the suffixes whose
 name occurs twice: the members of one name are an interval of the suffix array whose common prefix has at least 2**r
-lines. A run is worth removing from min_words words on, so with one word any repeated line is. Its least stretches, taken from each line forwards and from each
-line backwards until the words suffice, are named by two overlapping halves at the level of their length; the first
-occurrence of a name (smallest id, then earliest) stays, and the lines of all later ones go. Together these stretches
-cover exactly the later copies of all maximal repeated runs of at least min_words words.
+lines. Rounds go on until no name occurs twice. In each, the first occurrence of a name (smallest id, then earliest) stays,
+and all later ones are copies of 2**r lines; copies that continue each other from the same place are one run.
+
+A run is worth removing from min_words words on. The least stretches of so many words, taken from each line forwards and from
+each line backwards, are named by two overlapping halves at the level of their length, and their later occurrences go as
+well. Together these stretches cover exactly the later copies of all maximal repeated runs of at least min_words words. With
+a floor of one word every later copy of a line with a word goes; the longer names then say which runs these lines are.
 
 All steps are DataFrame operations. Lines are grouped by name with partial aggregation and joined back against unique
 names. Names of more than a thousandth of the rows (fewer than a thousand names) are sent to every task instead, so the
@@ -50,7 +53,8 @@ def _reach(words: Column, least: int) -> Column:
 
 
 def late_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_d, _h, gone): for documents with later copies of runs, the ordinals of the lines (with words) that go."""
+    """(_d, _h, gone, _runs, _longest): for documents with later copies of runs, the ordinals of the lines (with words)
+    that go, how many runs they are, and how many lines the longest has."""
     t = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t")).where("_d IS NOT NULL AND _t IS NOT NULL")
     t = t.withColumn("_h", F.xxhash64("_t"))
     each = t.select(*KEY, F.posexplode(F.transform(_with_words(F.col("_t")), lambda s: s["x"])).alias("o", "x"))
@@ -83,26 +87,25 @@ def late_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     )
     runs = active.select(*KEY, F.explode(F.array_distinct(spans)).alias("r")).select(*KEY, "r.s", "r.n").distinct()
 
-    named = None
-    level, k = active.select(*KEY, "o", "p", "q"), 1
+    named, windows = None, []
+    level, k = active.select(*KEY, "o", "p", "q", "n"), 1
     while True:
-        mine = runs.where((F.col("n") >= k) & (F.col("n") < 2 * k))
-        head = level.select(*KEY, F.col("o").alias("s"), "p", "q")
-        if k == 1:
-            keyed = mine.join(head, [*KEY, "s"]).withColumns({"p2": F.col("p"), "q2": F.col("q")})
-        else:
-            tail = level.select(*KEY, F.col("o").alias("e"), F.col("p").alias("p2"), F.col("q").alias("q2"))
-            keyed = mine.withColumn("e", F.col("s") + F.col("n") - k).join(head, [*KEY, "s"]).join(tail, [*KEY, "e"])
-        keyed = keyed.select(
-            *KEY,
-            "s",
-            "n",
-            F.xxhash64("n", "p", "q", "p2", "q2").alias("a"),
-            F.xxhash64(F.lit(2), "p", "n", "q", "p2", "q2").alias("b"),
-        )
-        named = keyed if named is None else named.unionByName(keyed)
-        if 2 * k > min_words:
-            break
+        if k <= min_words:  # no least stretch is longer
+            mine = runs.where((F.col("n") >= k) & (F.col("n") < 2 * k))
+            head = level.select(*KEY, F.col("o").alias("s"), "p", "q")
+            if k == 1:
+                keyed = mine.join(head, [*KEY, "s"]).withColumns({"p2": F.col("p"), "q2": F.col("q")})
+            else:
+                tail = level.select(*KEY, F.col("o").alias("e"), F.col("p").alias("p2"), F.col("q").alias("q2"))
+                keyed = mine.withColumn("e", F.col("s") + F.col("n") - k).join(head, [*KEY, "s"]).join(tail, [*KEY, "e"])
+            keyed = keyed.select(
+                *KEY,
+                "s",
+                "n",
+                F.xxhash64("n", "p", "q", "p2", "q2").alias("a"),
+                F.xxhash64(F.lit(2), "p", "n", "q", "p2", "q2").alias("b"),
+            )
+            named = keyed if named is None else named.unionByName(keyed)
         follow = F.first(F.struct("p", "q")).over(Window.partitionBy(*KEY).orderBy("o").rangeBetween(k, k))
         doubled = level.withColumn("f", follow).where("f IS NOT NULL")
         doubled = doubled.select(
@@ -110,21 +113,56 @@ def late_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
             "o",
             F.xxhash64("p", "f.p").alias("p"),
             F.xxhash64(F.lit(3), "q", "f.q").alias("q"),
+            "n",
         )
-        doubled = cut(doubled, f"prefixes{2 * k}")
-        again = doubled.groupBy("p", "q").count().where("count > 1")
-        level, k = join_by_name(doubled, again, ["p", "q"], []), 2 * k
+        k *= 2
+        doubled = cut(doubled, f"prefixes{k}")
+        start = F.struct(*KEY, F.col("o").alias("s"))
+        again = doubled.groupBy("p", "q").agg(F.min(start).alias("first"), F.count("*").alias("count")).where("count > 1")
+        level = cut(join_by_name(doubled, again, ["p", "q"], ["first"]), f"level{k}")
+        if level.isEmpty():
+            break
+        later = level.where((start > F.col("first")) & (F.col("n") <= k))
+        windows.append(later.select(*KEY, F.col("o").alias("s"), F.lit(k).alias("n"), "first"))
     named = cut(named, "runs")
     place = F.struct(*KEY, "s")
     first = named.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("count"))
     late = join_by_name(named, first.where("first < last"), ["a", "b"], ["first"]).where(place > F.col("first"))
-    return late.groupBy(*KEY).agg(
-        F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("s"), F.col("s") + F.col("n") - 1)))).alias("gone")
+    late = late.select(*KEY, "s", "n", "first")
+    for more in windows:
+        late = late.unionByName(more)
+    return _runs(late)
+
+
+def _runs(late: DataFrame) -> DataFrame:
+    """(_d, _h, gone, _runs, _longest) of later copies of n lines from line s on, with the place of the first.
+
+    Copies within another one say nothing new. The others continue a run if they come from the same place in the same
+    document, next to or over what is there already.
+    """
+    end, by_doc = F.col("s") + F.col("n"), Window.partitionBy(*KEY).orderBy("s", F.desc("n"))
+    before = F.coalesce(F.max(end).over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    new = late.withColumns({"e": end, "before": before}).where("e > before")
+    origin = F.struct("first._d", "first._h", (F.col("first.s") - F.col("s")).alias("shift"))
+    new = new.withColumn("origin", origin)
+    goes_on = (F.lag("origin").over(by_doc) == F.col("origin")) & (F.col("s") <= F.col("before"))
+    new = new.withColumn("run", F.sum(F.when(goes_on, 0).otherwise(1)).over(by_doc))
+    fresh = F.sequence(F.greatest("s", "before"), F.col("e") - 1)
+    each = new.groupBy(*KEY, "run").agg(F.flatten(F.collect_list(fresh)).alias("gone"), (F.max("e") - F.min("s")).alias("lines"))
+    return each.groupBy(*KEY).agg(
+        F.flatten(F.collect_list("gone")).alias("gone"),
+        F.count("*").alias("_runs"),
+        F.max("lines").cast("long").alias("_longest"),
     )
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the later copies of repeated line runs cut out of the text; same columns, same rows."""
+    return _with_runs(docs, min_words, id_col, text_col).select(*docs.columns)
+
+
+def _with_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """line_dedup with (_runs, _longest): the runs cut out of each text, and the lines of the longest."""
     gone = late_lines(docs, min_words, id_col, text_col)
     t = F.col(text_col)
     keyed = docs.withColumns({"_d": F.col(id_col), "_h": F.xxhash64(t)})
@@ -135,16 +173,19 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     keep = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), drop)
     left = F.array_join(F.transform(keep, lambda i: F.get("_l", i)), "\n")
     rest = F.when(F.col("gone").isNotNull() & (F.size("_l") > 0), left).otherwise(t)
-    return out.withColumn(text_col, rest).select(*docs.columns)
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("_runs", "_longest")]
+    return out.withColumn(text_col, rest).select(*docs.columns, *counts)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", F.size(_lines(F.col("text"))).cast("long").alias("n_lines"))
-    out = line_dedup(docs)
+    out = _with_runs(docs)
     kept = F.when(F.col("text").isNotNull(), F.size(F.filter(_lines(F.col("text")), lambda x: x.rlike(WORD))))
     return out.select(
         "doc_id",
         "n_lines",
         kept.cast("long").alias("n_lines_with_words_left"),
         F.sha2("text", 256).alias("kept_sha256"),
+        F.col("_runs").alias("n_runs"),
+        F.col("_longest").alias("longest_run"),
     )
