@@ -82,6 +82,24 @@ def test_hybrid_search_prefers_the_text_that_holds_the_query(spark):
     assert got[0].key == "chunk:0:0" and got[0].methods == ["expansion", "keyword", "tree", "vector"] and len(got) == 3
 
 
+def test_hybrid_search_reads_all_trees_and_whole_texts(spark):
+    """The oldest of more than fifty trees is searched, and words behind the start of a text count in the last order."""
+    texts = ["copper mine output"] + [f"dairy farm {i} reports milk" for i in range(70)] + ["dairy " * 100 + "copper smelter"]
+    c = spark.createDataFrame([(i, 0, "notes", f"T{i}", t, 1, 1) for i, t in enumerate(texts)], "doc_id long, chunk_index int, section string, title string, chunk_text string, page_start int, page_end int")
+    chunks = ix.embed_chunks(c, "chunk_text")
+    q = ix.embed_chunks(spark.createDataFrame([(7, "copper mine output"), (8, "copper smelter")], "query_id long, query string"), "query", keys=["query_id"]).withColumnRenamed("embedding", "vector")
+    got = {(r.query_id, r["rank"]): r for r in rt.hybrid_search({"chunks": chunks, "trees": ix.section_tree(c)}, q, k=3).collect()}
+    assert got[(7, 1)].key == "chunk:0:0" and "tree" in got[(7, 1)].methods
+    assert got[(8, 1)].key == "chunk:71:0"
+
+
+def test_hybrid_query_indexes_short_documents_too(spark, tiny):
+    from tidemark import registry_index
+
+    held = registry_index._index(spark, tiny, least=0)["chunks"].select("doc_id").distinct().count()
+    assert held == spark.read.parquet(f"{tiny}/documents.parquet").where("length(text) > 0").select("doc_id").distinct().count()
+
+
 def test_vector_search_in_blocks(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)] + [(99, [0.0, 0.0, 0.0])], "vec_id long, embedding array<double>").repartition(5)
     q = rows.where("vec_id < 9").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))

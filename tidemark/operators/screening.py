@@ -140,13 +140,14 @@ def user_profiles(log: DataFrame, user: str, ts: str, kind: str, kinds: list[str
     return g.withColumns({"active_hours": F.slice("_h", -F.least(F.lit(hours), F.size("_h")), hours), "engagement": level}).drop("_h")
 
 
-def rerank(hits: DataFrame, query: str, text: str, scorer=None, most: int = 512) -> DataFrame:
-    """Hits in the order of a scorer of (query, start of text), by default the share of the query's terms it holds."""
+def rerank(hits: DataFrame, query: str, text: str, scorer=None, most: int | None = 512) -> DataFrame:
+    """Hits in the order of a scorer of (query, start of text), by default the share of the query's terms it holds. most: the
+    length of that start (None: the whole text)."""
     from tidemark.operators.retrieval import terms
 
     def overlap(q: Column, t: Column) -> Column:
         return F.try_divide(F.size(F.array_intersect(terms(q), terms(t))), F.size(F.array_distinct(terms(q))))
 
-    scored = hits.withColumn("rerank_score", (scorer or overlap)(F.col(query), F.left(text, F.lit(most))))
+    scored = hits.withColumn("rerank_score", (scorer or overlap)(F.col(query), F.col(text) if most is None else F.left(text, F.lit(most))))
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank")
     return scored.withColumn("rank", F.row_number().over(w))
