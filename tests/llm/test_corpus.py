@@ -488,6 +488,36 @@ def test_gibbs_seats_like_a_plain_sampler():
         assert abs(np.mean(got, axis=0) - want).max() < 0.01
 
 
+def test_a_sweep_moves_every_customer_of_large_dishes(monkeypatch):
+    import numpy as np
+
+    rng, c = np.random.default_rng(2), 3000
+    seats = pitman_yor.Seats(np.array([c, 5]), np.arange(2), 2)
+    seats.sweep(np.ones(2), 0.4, 1e9, rng)
+    assert seats.tables().tolist() == [c, 5]
+    seats.sweep(np.full(2, 1e-12), 0.4, 1e-12, rng)  # nobody opens a table: those that all left are gone
+    assert seats.tables()[0] < 0.8 * c
+    # the exact mean of the tables of dishes that move three of three hundred customers in a step
+    discount, strength, p, c = 0.4, 30.0, 0.5, 300
+    log = np.full(c + 1, -np.inf)
+    log[1] = 0
+    for i in range(1, c):
+        stay = np.log(np.maximum(i - discount * np.arange(c + 1), 1e-300)) + log
+        log = np.logaddexp(np.append(-np.inf, log[:-1]), np.where(np.arange(c + 1) <= i, stay, -np.inf))
+    log[1:] += np.cumsum(np.log((strength + discount * np.arange(c)) * p))
+    want = np.exp(log - log.max()) / np.exp(log - log.max()).sum()
+    monkeypatch.setattr(pitman_yor, "STEPS", 100)
+    dishes, got = 300, []
+    seats = pitman_yor.Seats(np.full(dishes, c), np.arange(dishes), dishes)
+    for turn in range(60):
+        seats.sweep(np.full(dishes, p), discount, strength, rng)
+        used = [np.bincount(seats.label[a : a + c], minlength=c) for a in seats.start[:5]]
+        assert all((x == seats.size[a : a + c]).all() and (x > 0).sum() == t for x, a, t in zip(used, seats.start, seats.t))
+        got += seats.tables().tolist() if turn >= 20 else []
+    mean = (want * np.arange(c + 1)).sum()
+    assert abs(np.mean(got) / mean - 1) < 0.03 and np.allclose(seats.all, seats.tables())
+
+
 def test_language_model_deals_common_pairs_over_parts(spark, docs, monkeypatch):
     whole = {(r.doc_id, r.n_tokens): r for r in pitman_yor.language_model_scores(docs).collect()}
     monkeypatch.setattr(pitman_yor, "PART_CHARS", 4000)
